@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as terms_fn
 from ..functions.text import blank_to_null, or_blank
 from . import filters
+from .ordering import chunked
 
 LISTING = [
     "id",
@@ -329,13 +330,10 @@ def size_by(listing: DataFrame, column: str) -> DataFrame:
     return listing.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def methods_by_type(methods: DataFrame) -> DataFrame:
-    """Names and number of a user's methods per type. A user's methods are unique by name."""
-    return (
-        methods.dropDuplicates(["user_id", "entity_type", "entity_name"])
-        .groupBy("user_id", "entity_type")
-        .agg(F.count("*").alias("n"), F.array_sort(F.collect_list("entity_name")).alias("names"))
-    )
+def methods_by_type(methods: DataFrame, size: int = 500) -> DataFrame:
+    """A user's method names per type, in chunks, with the number selected."""
+    unique = methods.dropDuplicates(["user_id", "entity_type", "entity_name"])
+    return chunked(unique, ["user_id", "entity_type"], [F.col("entity_name").asc()], ["entity_name"], size)
 
 
 def trailing_event_count(events: DataFrame, key: str, ts: str, now: str, seconds: int = 3600, limit: int = 3) -> DataFrame:
@@ -349,6 +347,21 @@ def trailing_event_count(events: DataFrame, key: str, ts: str, now: str, seconds
     )
 
 
+def trailing_count_per_event(events: DataFrame, key: str, ts: str, seconds: int = 3600) -> DataFrame:
+    """For every event, the events of its key in the N seconds up to and including it.
+
+    A window of N seconds touches the event's own N-second slot and the one before, so each event is
+    copied into its slot and the next; partitions are (key, slot) and stay small for a busy key.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    width = seconds * 1_000_000
+    slot = F.floor(at / width)
+    copies = events.withColumn("_at", at).withColumn("_own", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    w = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-width + 1, 0)
+    counted = copies.withColumn("trailing", F.count("*").over(w))
+    return counted.filter(F.col("_slot") == F.col("_own")).drop("_at", "_own", "_slot")
+
+
 def run_summary(history: DataFrame, run_id: Column) -> DataFrame:
     """Per run: ok and failed sources, offers found, elapsed seconds."""
     return history.groupBy(run_id.alias("run_id")).agg(
