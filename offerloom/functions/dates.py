@@ -10,7 +10,21 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_accents, first_grab, found, grab, grab_all, norm, or_blank, squeeze
+from .text import (
+    bind,
+    first_grab,
+    first_shape,
+    fold_accents,
+    found,
+    grab,
+    grab_all,
+    norm,
+    not_blank,
+    or_blank,
+    shape,
+    shape_parts,
+    squeeze,
+)
 
 # ---------------------------------------------------------------------------------------------
 # Month and weekday names, and the patterns of each source profile.
@@ -118,15 +132,11 @@ DAY_RANGE = rf"({DAYS})\s+a\s+({DAYS})"
 # ---------------------------------------------------------------------------------------------
 
 
-def _year(as_of: dt.date) -> Column:
-    return F.lit(str(as_of.year))
-
-
 def month_number(word: Column) -> Column:
     """1-12 for a Spanish month name in any case, else NULL."""
     name = F.regexp_replace(F.lower(word), "^setiembre$", "septiembre")
-    n = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-    return F.when(n > 0, n.cast("int"))
+    numbers = F.array(F.lit(None).cast("int"), *[F.lit(i) for i in range(1, 13)])
+    return F.get(numbers, F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int"))
 
 
 def _two(part: Column) -> Column:
@@ -146,36 +156,55 @@ def make_day(day: Column, month: Column, year: Column) -> Column:
     return iso_text(day, month, year).try_cast("date")
 
 
-def _pair(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("date").alias("valid_from"), end.cast("date").alias("valid_until"))
+def _date_of(day: Column, month: Column, year: Column, default_year: str) -> Column:
+    """A date from text parts: the month is a number or a name, a missing year is the default one."""
+    number = F.coalesce(month.try_cast("int"), month_number(month))
+    return make_day(day, number, F.when(year == "", F.lit(default_year)).otherwise(year))
 
 
-def _nothing() -> Column:
-    return F.lit(None).cast("date")
+def _read_range(packed: Column, default_year: str) -> Column:
+    """struct<valid_from,valid_until> from 'd~m~y~d~m~y'; a last day of 'L' means the end of its month."""
 
+    def read(parts: Column) -> Column:
+        part = [F.get(parts, F.lit(i)) for i in range(6)]
+        start = _date_of(part[0], part[1], part[2], default_year)
+        end = F.when(part[3] == "L", F.last_day(_date_of(F.lit("1"), part[4], part[5], default_year))).otherwise(
+            _date_of(part[3], part[4], part[5], default_year)
+        )
+        return F.struct(start.alias("valid_from"), end.alias("valid_until"))
 
-def _parts(text: Column, pattern: str, n: int) -> list[Column]:
-    return [grab(text, pattern, i) for i in range(1, n + 1)]
+    return bind(packed, lambda x: F.when(x.isNotNull(), bind(shape_parts(x), read)))
 
 
-def _whole_month(month_word: Column, year: Column) -> tuple[Column, Column]:
-    first = make_day(F.lit("1"), month_number(month_word), year)
-    return first, F.last_day(first)
+def _named_month(packed: Column, position: int = 1) -> Column:
+    """The packed range when the part at `position` is the name of a month, else NULL."""
+    return bind(packed, lambda x: F.when(month_number(F.get(shape_parts(x), F.lit(position))).isNotNull(), x))
 
 
 # --- single dates ---------------------------------------------------------------------------------
 
 
+def _packed_iso(packed: Column) -> Column:
+    """'y~m~d' -> ISO text; NULL when the month is no number and no month name."""
+
+    def read(parts: Column) -> Column:
+        y, m, d = [F.get(parts, F.lit(i)) for i in range(3)]
+        return iso_text(d, F.coalesce(m.try_cast("int"), month_number(m)), y)
+
+    return bind(packed, lambda x: F.when(x.isNotNull(), bind(shape_parts(x), read)))
+
+
 def normalize_date_text(value: Column) -> Column:
     """ISO text of the accepted date forms, calendar not checked; '' for anything else."""
-    s = F.trim(value)
-    iso = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
-    dmy = r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})$"
-    words = r"^(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})$"
-    y, m, d = _parts(s, iso, 3)
-    d2, m2, y2 = _parts(s, dmy, 3)
-    d3, w3, y3 = _parts(s, words, 3)
-    return or_blank(F.coalesce(iso_text(d, m, y), iso_text(d2, m2, y2), iso_text(d3, month_number(w3), y3)))
+    packed = first_shape(
+        F.trim(value),
+        [
+            (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", "$1~$2~$3"),
+            (r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})$", "$3~$2~$1"),
+            (r"^(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})$", "$3~$2~$1"),
+        ],
+    )
+    return or_blank(_packed_iso(packed))
 
 
 def normalize_date(value: Column) -> Column:
@@ -185,12 +214,10 @@ def normalize_date(value: Column) -> Column:
 def parse_date_loose(value: Column, as_of: dt.date | None = None) -> Column:
     """ISO passthrough, D/M/Y, and D/M with the year of `as_of` when one is given."""
     iso = F.when((F.length(value) == 10) & (F.substring(value, 5, 1) == "-"), value)
-    d, m, y = _parts(value, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})", 3)
-    picks = [iso, iso_text(d, m, y)]
+    shapes = [(r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}).*$", "$3~$2~$1")]
     if as_of is not None:
-        d2, m2 = _parts(value, r"^(\d{1,2})[/-](\d{1,2})", 2)
-        picks.append(iso_text(d2, m2, _year(as_of)))
-    return F.coalesce(*picks)
+        shapes.append((r"^(\d{1,2})[/-](\d{1,2}).*$", f"{as_of.year}~$2~$1"))
+    return F.coalesce(iso, _packed_iso(first_shape(value, shapes)))
 
 
 def dotnet_date(value: Column) -> Column:
@@ -227,109 +254,67 @@ def show_range(start: Column, end: Column) -> Column:
 
 def validity_from_terms(text: Column) -> Column:
     """struct<valid_from,valid_until> of a legal text, ordered patterns, first one wins."""
-    a, b, w, y = _parts(text, TERMS_SAME_MONTH, 4)
-    d2, m2, y2 = _parts(text, TERMS_UNTIL, 3)
-    d3, w3, y3 = _parts(text, TERMS_UNTIL_WORDS, 3)
-    w4, y4 = _parts(text, TERMS_WHOLE_MONTH, 2)
-    first, last = _whole_month(w4, y4)
-    return (
-        F.when(y.isNotNull(), _pair(make_day(a, month_number(w), y), make_day(b, month_number(w), y)))
-        .when(y2.isNotNull(), _pair(_nothing(), make_day(d2, m2, y2)))
-        .when(y3.isNotNull(), _pair(_nothing(), make_day(d3, month_number(w3), y3)))
-        .otherwise(_pair(first, last))
+    packed = first_shape(
+        text,
+        [
+            (TERMS_SAME_MONTH, "$1~$3~$4~$2~$3~$4"),
+            (TERMS_UNTIL, "~~~$1~$2~$3"),
+            (TERMS_UNTIL_WORDS, "~~~$1~$2~$3"),
+            (TERMS_WHOLE_MONTH, "1~$1~$2~L~$1~$2"),
+        ],
     )
-
-
-def _legal(text: Column, as_of: dt.date) -> Column:
-    d1, m1, y1 = _parts(text, LEGAL_UNTIL, 3)
-    a, b, w, y = _parts(text, LEGAL_SAME_MONTH, 4)
-    d3, w3, y3 = _parts(text, LEGAL_UNTIL_WORDS, 3)
-    w4, y4 = _parts(text, LEGAL_WHOLE_MONTH, 2)
-    year, year3 = F.coalesce(y, _year(as_of)), F.coalesce(y3, _year(as_of))
-    first, last = _whole_month(w4, y4)
-    return (
-        F.when(y1.isNotNull(), _pair(_nothing(), make_day(d1, m1, y1)))
-        .when(w.isNotNull(), _pair(make_day(a, month_number(w), year), make_day(b, month_number(w), year)))
-        .when(w3.isNotNull(), _pair(_nothing(), make_day(d3, month_number(w3), year3)))
-        .otherwise(_pair(first, last))
-    )
-
-
-def _masonline(text: Column, as_of: dt.date) -> Column:
-    a, w1, y1, b, w2, y2 = _parts(text, MAS_WORDS, 6)
-    out = F.when(y1.isNotNull(), _pair(make_day(a, month_number(w1), y1), make_day(b, month_number(w2), y2)))
-    for pattern in MAS_NUMERIC:
-        d1, m1, z1, d2, m2, z2 = _parts(text, pattern, 6)
-        out = out.when(z1.isNotNull(), _pair(make_day(d1, m1, z1), make_day(d2, m2, z2)))
-    of_month = grab(text, MAS_DAYS_OF_MONTH)
-    first, last = _whole_month(of_month, _year(as_of))
-    out = out.when(month_number(of_month).isNotNull(), _pair(first, last))
-    word, year = _parts(text, MAS_MONTH, 2)
-    first, last = _whole_month(word, F.coalesce(year, _year(as_of)))
-    return out.otherwise(_pair(first, last))
-
-
-def _coto(text: Column, as_of: dt.date) -> Column:
-    year = _year(as_of)
-    a, w1, y1, b, w2, y2 = _parts(text, COTO_FROM_RANGE, 6)
-    d = [grab(text, COTO_DAYS_RANGE, i) for i in range(3, 9)]
-    start, ends = grab(text, COTO_SPECIFIC, 2), grab(text, COTO_SPECIFIC, 3)
-    word, spec_year = grab(text, COTO_SPECIFIC, 4), F.coalesce(grab(text, COTO_SPECIFIC, 5), year)
-    s1, s2, sw, sy = _parts(text, COTO_SAME_MONTH, 4)
-    sy = F.coalesce(sy, year)
-
-    def spelled(day: Column, month: Column, stated: Column) -> Column:
-        return make_day(day, month_number(month), F.coalesce(stated, year))
-
-    return (
-        F.when(d[0].isNotNull(), _pair(spelled(d[0], d[1], d[2]), spelled(d[3], d[4], d[5])))
-        .when(a.isNotNull(), _pair(spelled(a, w1, y1), spelled(b, w2, y2)))
-        .when(
-            month_number(word).isNotNull(),
-            _pair(
-                make_day(start, month_number(word), spec_year),
-                make_day(F.coalesce(ends, start), month_number(word), spec_year),
-            ),
-        )
-        .when(month_number(sw).isNotNull(), _pair(make_day(s1, month_number(sw), sy), make_day(s2, month_number(sw), sy)))
-        .otherwise(_pair(_nothing(), _nothing()))
+    return _read_range(packed, "")
+
+
+def _coto(text: Column) -> Column:
+    return F.coalesce(
+        shape(text, COTO_DAYS_RANGE, "$3~$4~$5~$6~$7~$8"),
+        shape(text, COTO_FROM_RANGE, "$1~$2~$3~$4~$5~$6"),
+        bind(
+            _named_month(shape(text, COTO_SPECIFIC, "$2~$4~$5~$3~$4~$5")),
+            lambda x: F.regexp_replace(x, r"^(\d+)~(.*)~~(.*)$", "$1~$2~$1~$3"),
+        ),
+        _named_month(shape(text, COTO_SAME_MONTH, "$1~$3~$4~$2~$3~$4")),
     )
 
 
 def validity_from_text(text: Column, profile: str, as_of: dt.date) -> Column:
     """struct<valid_from,valid_until> by source profile."""
-    year = _year(as_of)
     if profile == "base":
-        d, m, y = _parts(text, BASE_UNTIL, 3)
-        d0, m0, y0 = _parts(text, BASE_FROM, 3)
-        return _pair(make_day(d0, m0, F.coalesce(y0, year)), make_day(d, m, F.coalesce(y, year)))
-    if profile == "legal":
-        return _legal(text, as_of)
-    if profile == "simple":
-        a, b, w, y = _parts(text, SIMPLE_RANGE, 4)
-        y = F.coalesce(y, year)
-        return _pair(make_day(a, month_number(w), y), make_day(b, month_number(w), y))
-    if profile == "masonline":
-        return _masonline(text, as_of)
-    if profile == "coto":
-        return _coto(text, as_of)
-    if profile == "cencosud":
-        a, m1, y1, b, m2, y2 = _parts(text, CENCOSUD_RANGE, 6)
-        c, w1, z1, d, w2, z2 = _parts(text, CENCOSUD_WORDS, 6)
-        return F.when(y1.isNotNull(), _pair(make_day(a, m1, y1), make_day(b, m2, y2))).otherwise(
-            _pair(make_day(c, month_number(w1), z1), make_day(d, month_number(w2), z2))
+        start = F.coalesce(shape(text, BASE_FROM, "$1~$2~$3"), F.lit("~~"))
+        packed = F.concat_ws("~", start, F.coalesce(shape(text, BASE_UNTIL, "$1~$2~$3"), F.lit("~~")))
+    elif profile == "legal":
+        packed = first_shape(
+            text,
+            [
+                (LEGAL_UNTIL, "~~~$1~$2~$3"),
+                (LEGAL_SAME_MONTH, "$1~$3~$4~$2~$3~$4"),
+                (LEGAL_UNTIL_WORDS, "~~~$1~$2~$3"),
+                (LEGAL_WHOLE_MONTH, "1~$1~$2~L~$1~$2"),
+            ],
         )
-    if profile == "shell":
-        a, m1, y1, b, m2, y2 = _parts(text, SHELL_RANGE, 6)
-        c, m3, y3 = _parts(text, SHELL_FROM, 3)
-        d, m4, y4 = _parts(text, SHELL_UNTIL, 3)
-        return F.when(
-            a.isNotNull(), _pair(make_day(a, m1, F.coalesce(y1, year)), make_day(b, m2, F.coalesce(y2, year)))
-        ).otherwise(_pair(make_day(c, m3, F.coalesce(y3, year)), make_day(d, m4, F.coalesce(y4, year))))
-    if profile == "page":
-        d, m, y = _parts(text, PAGE_UNTIL, 3)
-        return _pair(_nothing(), make_day(d, m, y))
-    raise ValueError(f"unknown validity profile {profile}")
+    elif profile == "simple":
+        packed = shape(text, SIMPLE_RANGE, "$1~$3~$4~$2~$3~$4")
+    elif profile == "masonline":
+        packed = F.coalesce(
+            shape(text, MAS_WORDS, "$1~$2~$3~$4~$5~$6"),
+            *[shape(text, p, "$1~$2~$3~$4~$5~$6") for p in MAS_NUMERIC],
+            _named_month(shape(text, MAS_DAYS_OF_MONTH, "1~$1~~L~$1~")),
+            _named_month(shape(text, MAS_MONTH, "1~$1~$2~L~$1~$2")),
+        )
+    elif profile == "coto":
+        packed = _coto(text)
+    elif profile == "cencosud":
+        packed = first_shape(text, [(p, "$1~$2~$3~$4~$5~$6") for p in (CENCOSUD_RANGE, CENCOSUD_WORDS)])
+    elif profile == "shell":
+        start = F.coalesce(shape(text, SHELL_FROM, "$1~$2~$3"), F.lit("~~"))
+        ends = F.concat_ws("~", start, F.coalesce(shape(text, SHELL_UNTIL, "$1~$2~$3"), F.lit("~~")))
+        packed = F.coalesce(shape(text, SHELL_RANGE, "$1~$2~$3~$4~$5~$6"), ends)
+    elif profile == "page":
+        packed = shape(text, PAGE_UNTIL, "~~~$1~$2~$3")
+    else:
+        raise ValueError(f"unknown validity profile {profile}")
+    return _read_range(packed, str(as_of.year))
 
 
 # --- weekdays ---------------------------------------------------------------------------------------
@@ -338,8 +323,9 @@ def validity_from_text(text: Column, profile: str, as_of: dt.date) -> Column:
 def canonical_day(word: Column) -> Column:
     """'sabados' -> 'Sábado'; NULL for a word that is no weekday."""
     short = F.array(*[F.lit(x) for x in ("lun", "mar", "mie", "jue", "vie", "sab", "dom")])
-    at = F.array_position(short, F.substring(norm(word), 1, 3))
-    return F.when(at > 0, F.element_at(F.array(*[F.lit(d) for d in WEEK]), F.greatest(at.cast("int"), F.lit(1))))
+    # Positions start at 1; 0 (not found) reads the NULL put in front.
+    week = F.array(F.lit(None).cast("string"), *[F.lit(d) for d in WEEK])
+    return F.get(week, F.array_position(short, F.substring(norm(word), 1, 3)).cast("int"))
 
 
 def day_index(word: Column) -> Column:
@@ -358,38 +344,51 @@ def named_days(text: Column, pattern: str = DAYS) -> Column:
     return F.array_distinct(F.transform(grab_all(text, f"({pattern})"), canonical_day))
 
 
+def _day_parts(packed: Column) -> Column:
+    return F.transform(shape_parts(packed), canonical_day)
+
+
 def _masonline_days(text: Column, default_day: Column) -> Column:
-    pair = F.array_compact(F.array(canonical_day(grab(text, DAY_PAIR, 1)), canonical_day(grab(text, DAY_PAIR, 2))))
-    listed = named_days(or_blank(grab(text, DAY_LIST, 0)))
-    start = F.coalesce(day_index(canonical_day(grab(text, DAY_RANGE, 1))), F.lit(0))
-    stop = F.coalesce(day_index(canonical_day(grab(text, DAY_RANGE, 2))), F.lit(0))
-    week = F.array(*[F.lit(d) for d in WEEK])
-    span = F.when(
-        (start > 0) & (stop >= start), F.slice(week, F.greatest(start, F.lit(1)), F.greatest(stop - start + 1, F.lit(0)))
-    ).otherwise(F.array().cast("array<string>"))
-    days = week_order(F.array_distinct(F.concat(pair, listed, span)))
-    return (
-        F.when(found(text, ALL_WEEK) | (F.size(days) == 7), F.lit(EVERY_DAY))
-        .when(F.size(days) > 0, F.array_join(days, ", "))
-        .otherwise(default_day)
-    )
+    none = F.array().cast("array<string>")
+    pair = F.coalesce(bind(shape(text, DAY_PAIR, "$1~$2"), _day_parts), none)
+    listed = F.coalesce(bind(grab(text, DAY_LIST, 0), lambda x: named_days(x)), none)
+
+    def span(packed: Column) -> Column:
+        ends = F.transform(_day_parts(packed), day_index)
+        start, stop = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+        return F.filter(F.array(*[F.lit(d) for d in WEEK]), lambda d: day_index(d).between(start, stop))
+
+    spanned = F.coalesce(bind(shape(text, DAY_RANGE, "$1~$2"), span), none)
+
+    def shown(days: Column) -> Column:
+        return (
+            F.when(F.size(days) == 7, F.lit(EVERY_DAY))
+            .when(F.size(days) > 0, F.array_join(days, ", "))
+        )
+
+    days = week_order(F.array_distinct(F.array_compact(F.concat(pair, listed, spanned))))
+    return F.when(found(text, ALL_WEEK), F.lit(EVERY_DAY)).otherwise(F.coalesce(bind(days, shown), default_day))
 
 
 def _coto_days(text: Column) -> Column:
-    specific = grab(text, COTO_SPECIFIC, 0)
-    mentions = F.array_join(F.array_distinct(F.transform(grab_all(specific, f"({DAY})"), F.initcap)), ", ")
-    out = None
-    for pattern in (COTO_DAYS_RANGE, COTO_FROM_RANGE, COTO_OF_MONTH, COTO_DAYS, COTO_DAY_TO_DAY):
-        one, two = grab(text, pattern, 1), grab(text, pattern, 2)
-        if pattern == COTO_FROM_RANGE:
-            value = F.lit(None).cast("string")
-        elif pattern == COTO_OF_MONTH:
-            value = F.initcap(one)
-        else:
-            value = F.concat_ws(" y ", F.initcap(one), F.initcap(two))
-        test = found(text, pattern)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return or_blank(F.coalesce(out, mentions))
+    packed = first_shape(
+        text,
+        [
+            (COTO_DAYS_RANGE, "$1~$2"),
+            (COTO_FROM_RANGE, "~"),
+            (COTO_OF_MONTH, "$1~"),
+            (COTO_DAYS, "$1~$2"),
+            (COTO_DAY_TO_DAY, "$1~$2"),
+        ],
+    )
+    named = bind(
+        packed, lambda x: F.array_join(F.filter(F.transform(shape_parts(x), lambda d: F.initcap(d)), lambda d: d != ""), " y ")
+    )
+    mentions = bind(
+        grab(text, COTO_SPECIFIC, 0),
+        lambda x: F.array_join(F.array_distinct(F.transform(grab_all(x, f"({DAY})"), lambda d: F.initcap(d))), ", "),
+    )
+    return or_blank(F.coalesce(not_blank(named), mentions))
 
 
 def extract_valid_days(text: Column, profile: str = "terms", default_day: Column | None = None) -> Column:
@@ -402,11 +401,15 @@ def extract_valid_days(text: Column, profile: str = "terms", default_day: Column
     if profile == "coto":
         return _coto_days(text)
     if profile == "dia":
-        days = F.filter(
-            F.array(*[F.lit(d) for d in WEEK]),
-            lambda d: fold_accents(F.lower(or_blank(text))).contains(fold_accents(F.lower(d))),
+
+        def few(days: Column) -> Column:
+            return F.when(F.size(days).between(1, 5), F.array_join(days, ", ")).otherwise("")
+
+        named = bind(
+            norm(or_blank(text)),
+            lambda t: F.filter(F.array(*[F.lit(d) for d in WEEK]), lambda d: t.contains(fold_accents(F.lower(d)))),
         )
-        return F.when(F.size(days).between(1, 5), F.array_join(days, ", ")).otherwise("")
+        return bind(named, few)
     if profile == "puma":
         return or_blank(squeeze(first_grab(text, [(p, 0) for p in DAYS_PUMA])))
     if profile == "legal":
@@ -416,8 +419,10 @@ def extract_valid_days(text: Column, profile: str = "terms", default_day: Column
     if profile == "page":
         return or_blank(grab(text, DAYS_PAGE, 0))
     if profile == "wallet":
-        hit = F.lower(grab(text, DAYS_WALLET, 0))
-        return F.coalesce(F.concat(F.upper(F.substring(hit, 1, 1)), F.substring(hit, 2, 100)), F.lit(EVERY_DAY))
+        first = bind(
+            F.lower(grab(text, DAYS_WALLET, 0)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100))
+        )
+        return F.coalesce(first, F.lit(EVERY_DAY))
     raise ValueError(f"unknown day profile {profile}")
 
 

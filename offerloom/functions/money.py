@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, clean_text, first_grab, found, grab, or_blank
+from .text import (
+    bind,
+    blank_to_null,
+    clean_text,
+    first_grab,
+    first_shape,
+    found,
+    grab,
+    or_blank,
+    rx,
+    shape,
+    shape_parts,
+)
 
 # ---------------------------------------------------------------------------------------------
 # Patterns per source profile, in order of preference.
@@ -148,17 +160,26 @@ def format_ar_amount(amount: Column) -> Column:
 
 def money_label(raw: Column, keep_raw: bool = True) -> Column:
     """Formatted amount; text that is no number keeps its digits unless `keep_raw` is off."""
-    shown = format_ar_amount(parse_ar_amount(raw))
-    return F.coalesce(shown, F.concat(F.lit("$"), raw)) if keep_raw else shown
+
+    def shown(text: Column) -> Column:
+        formatted = format_ar_amount(parse_ar_amount(text))
+        return F.coalesce(formatted, F.concat(F.lit("$"), text)) if keep_raw else formatted
+
+    return bind(raw, shown)
+
+
+# A readable amount above zero, as written.
+POSITIVE = r"^(?=.*[1-9])[\d.]+(?:,[\d.]*)?$"
+
+
+def positive_amount(raw: Column) -> Column:
+    """The first '~' part when it is an amount above zero: the packed text itself, else NULL."""
+    return bind(raw, lambda x: F.when(F.substring_index(x, "~", 1).rlike(POSITIVE), x))
 
 
 def positive_money(text: Column, patterns: list[str]) -> Column:
     """First pattern whose amount is above zero."""
-    picks = []
-    for pattern in patterns:
-        amount = parse_ar_amount(grab(text, pattern))
-        picks.append(F.when(amount > 0, format_ar_amount(amount)))
-    return F.coalesce(*picks)
+    return money_label(F.coalesce(*[positive_amount(grab(text, p)) for p in patterns]), keep_raw=False)
 
 
 def cap_typed(cap: Column) -> dict[str, Column]:
@@ -183,30 +204,31 @@ def extract_instalments(text: Column, profile: str = "coto") -> Column:
     if profile == "wallet":
         return label(grab(text, r"(\d+)\s*cuotas?"), " cuotas")
     if profile == "cencosud":
-        parts = F.filter(F.array(*[F.regexp_extract(text, "(?iUd)" + INSTALMENTS_LIST, i) for i in (1, 2, 3)]), lambda x: x != "")
-        head = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ", ")
-        listed = F.when(F.size(parts) > 1, F.concat(head, F.lit(" y "), F.element_at(parts, -1))).when(
-            F.size(parts) == 1, F.get(parts, F.lit(0))
-        )
-        return label(F.coalesce(listed, grab(text, INSTALMENTS_SHORT)), " cuotas sin interés")
+        counts = F.coalesce(shape(text, INSTALMENTS_LIST, "$1~$2~$3"), grab(text, INSTALMENTS_SHORT))
+
+        def listed(packed: Column) -> Column:
+            parts = F.filter(shape_parts(packed), lambda x: x != "")
+            head = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ", ")
+            last = F.get(parts, F.size(parts) - 1)
+            return F.when(F.size(parts) > 1, F.concat(head, F.lit(" y "), last)).otherwise(last)
+
+        return label(bind(counts, listed), " cuotas sin interés")
     return label(grab(text, INSTALMENTS), " cuotas sin interés")
 
 
 def percent_above_zero(text: Column, patterns: list[str]) -> Column:
-    picks = []
-    for pattern in patterns:
-        value = grab(text, pattern).try_cast("int")
-        picks.append(F.when(value > 0, label(value.cast("string"), "%")))
-    return F.coalesce(*picks)
+    def positive(found: Column) -> Column:
+        value = found.try_cast("int")
+        return F.when(value > 0, label(value.cast("string"), "%"))
+
+    return F.coalesce(*[bind(F.regexp_extract(text, rx(p), 1), positive) for p in patterns])
 
 
 def base_discount(text: Column) -> Column:
-    times = F.regexp_extract(text, r"(?iUd)(\d+)\s*x\s*(\d+)", 1)
-    by = F.regexp_extract(text, r"(?iUd)(\d+)\s*x\s*(\d+)", 2)
     return or_blank(
         F.coalesce(
             label(grab(text, PERCENT), "%"),
-            F.when(times != "", F.concat(times, F.lit("x"), by)),
+            shape(text, r"(\d+)\s*x\s*(\d+)", "$1x$2"),
             F.concat(F.lit("$"), grab(text, r"\$\s*(\d+[\d.,]*)")),
             F.substring(text, 1, 50),
         )
@@ -237,7 +259,7 @@ def extract_discount(text: Column, profile: str = "base") -> Column:
         refund = grab(text, REFUND_MASONLINE)
         return or_blank(
             F.coalesce(
-                F.when(refund.try_cast("int") > 0, label(refund, "% reintegro")),
+                bind(refund, lambda x: F.when(x.try_cast("int") > 0, label(x, "% reintegro"))),
                 percent_above_zero(text, PERCENT_MASONLINE),
                 extract_instalments(text, "masonline"),
             )
@@ -270,38 +292,52 @@ def discount_value(label_text: Column) -> Column:
 # --- cap, minimum, rates, delay --------------------------------------------------------------------
 
 
+def _amount_and_period(packed: Column) -> tuple[Column, Column]:
+    parts = shape_parts(packed)
+    return F.get(parts, F.lit(0)), blank_to_null(F.lower(F.get(parts, F.lit(1))))
+
+
 def _masonline_cap(text: Column) -> Column:
-    picks = []
-    for i, pattern in enumerate(CAP_MASONLINE):
-        amount = parse_ar_amount(grab(text, pattern))
-        shown = format_ar_amount(amount)
-        if i == 0:
-            period = grab(text, pattern, 2)
-            shown = F.concat(shown, F.coalesce(F.concat(F.lit(" "), F.lower(period)), F.lit("")))
-        picks.append(F.when(amount > 0, shown))
-    cap = F.coalesce(*picks, F.when(found(text, NO_CAP), F.lit("Sin tope")))
-    each = F.lower(grab(text, CAP_FREQUENCY))
-    often = (
-        F.when(each == "mes", " mensual")
-        .when(each == "semana", " semanal")
-        .when(each.isin("día", "dia"), " diario")
-        .otherwise(F.concat(F.lit(" por "), each))
+    packed = F.coalesce(
+        *[positive_amount(shape(text, p, "$1~$2" if i == 0 else "$1~")) for i, p in enumerate(CAP_MASONLINE)]
     )
-    named = F.lower(cap).rlike("usuario|mensual|semanal|diario|transacci")
-    return or_blank(F.when(named | each.isNull(), cap).otherwise(F.concat(cap, often)))
+
+    def shown(x: Column) -> Column:
+        raw, period = _amount_and_period(x)
+        return F.concat(format_ar_amount(parse_ar_amount(raw)), F.coalesce(F.concat(F.lit(" "), period), F.lit("")))
+
+    cap = F.coalesce(bind(packed, shown), F.when(found(text, NO_CAP), F.lit("Sin tope")))
+    each = F.lower(grab(text, CAP_FREQUENCY))
+
+    def with_frequency(x: Column) -> Column:
+        name, often = x["cap"], x["each"]
+        suffix = (
+            F.when(often == "mes", " mensual")
+            .when(often == "semana", " semanal")
+            .when(often.isin("día", "dia"), " diario")
+            .otherwise(F.concat(F.lit(" por "), often))
+        )
+        named = F.lower(name).rlike("usuario|mensual|semanal|diario|transacci")
+        return F.when(named | often.isNull(), name).otherwise(F.concat(name, suffix))
+
+    return or_blank(bind(F.struct(cap.alias("cap"), each.alias("each")), with_frequency))
 
 
 def _coto_cap(text: Column) -> Column:
-    amount = period = None
-    for pattern in CAP_COTO:
-        raw, named = grab(text, pattern), grab(text, pattern, 2)
-        amount = F.when(raw.isNotNull(), raw) if amount is None else amount.when(raw.isNotNull(), raw)
-        period = F.when(raw.isNotNull(), named) if period is None else period.when(raw.isNotNull(), named)
-    shown = format_ar_amount(parse_ar_amount(amount))
-    shown = F.concat(shown, F.coalesce(F.concat(F.lit(" "), F.lower(period)), F.lit("")))
-    each_client = F.upper(text).contains("POR CLIENTE") & ~shown.contains("por cliente")
-    shown = F.when(each_client, label(shown, " por cliente")).otherwise(shown)
-    return or_blank(F.coalesce(shown, F.concat(F.lit("$"), amount)))
+    packed = first_shape(text, [(p, "$1~$2") for p in CAP_COTO])
+    per_client = F.upper(text).contains("POR CLIENTE")
+
+    def shown(x: Column) -> Column:
+        raw, period = _amount_and_period(x["packed"])
+        label_text = F.concat(
+            format_ar_amount(parse_ar_amount(raw)), F.coalesce(F.concat(F.lit(" "), period), F.lit(""))
+        )
+        each_client = x["per_client"] & ~F.coalesce(period, F.lit("")).contains("por cliente")
+        return F.coalesce(
+            F.when(each_client, label(label_text, " por cliente")).otherwise(label_text), F.concat(F.lit("$"), raw)
+        )
+
+    return or_blank(bind(F.struct(packed.alias("packed"), per_client.alias("per_client")), shown))
 
 
 def extract_cap(text: Column, profile: str = "terms") -> Column:
@@ -359,9 +395,10 @@ def extract_rates(text: Column, profile: str = "cencosud") -> dict[str, Column]:
 
 
 def extract_credit_delay(text: Column) -> Column:
-    picks = []
-    for pattern in CREDIT_DELAY:
-        days, whole = grab(text, pattern), grab(text, pattern, 0)
-        kind = F.when(found(whole, r"h[aá]biles?"), " días hábiles").otherwise(" días")
-        picks.append(F.concat(days, kind, F.lit(" posteriores a la compra")))
-    return or_blank(F.coalesce(*picks))
+    packed = first_shape(text, [(p, "$1~$0") for p in CREDIT_DELAY])
+
+    def shown(x: Column) -> Column:
+        kind = F.when(found(x, r"h[aá]biles?"), " días hábiles").otherwise(" días")
+        return F.concat(F.substring_index(x, "~", 1), kind, F.lit(" posteriores a la compra"))
+
+    return or_blank(bind(packed, shown))

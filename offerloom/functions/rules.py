@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, contains_any, fold_accents, found, grab, or_blank, rx, spaced_name
+from .text import bind, blank_to_null, contains_any, fold_accents, found, grab, or_blank, rx, spaced_name
 
 # ---------------------------------------------------------------------------------------------
 # Canonical names and the patterns that stand for them, in order of preference.
@@ -668,16 +668,19 @@ def bank_in_context(text: Column) -> Column:
     mode, _, rules = RULE_SETS["cencosud_text"]
     present = bank_mentions(text)
     via_modo = upper.contains("TRAVÉS DE MODO") | upper.contains("CON MODO")
-    issuer = grab(upper, ISSUED_BY, 1, ci=False)
+    issuer = bind(grab(upper, ISSUED_BY, 1, ci=False), issuer_name)
     modo_list = found(upper, r"PAGANDO\s+CON\s+MODO", False) & found(upper, r"PARTICIPAN\s+BANCO", False)
     contextual = None
     for pattern, name in rules:
         test = found(upper, f"{CLIENTS_OF}(?:{pattern})", False)
         contextual = F.when(test, F.lit(name)) if contextual is None else contextual.when(test, F.lit(name))
-    by_mention = F.when(F.size(present) == 1, F.get(present, F.lit(0))["name"]).when(F.size(present) > 1, contextual)
+    by_mention = bind(
+        present,
+        lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))["name"]).when(F.size(x) > 1, contextual),
+    )
     return or_blank(
         F.coalesce(
-            F.when(via_modo & issuer.isNotNull(), issuer_name(issuer)),
+            F.when(via_modo, issuer),
             F.when(via_modo & modo_list, F.lit("MODO")),
             by_mention,
             classify(upper, "cencosud_wallet", prepared=True),
@@ -685,8 +688,8 @@ def bank_in_context(text: Column) -> Column:
     )
 
 
-def bank_and_wallet(text: Column, image_alt: Column) -> tuple[Column, Column]:
-    """Layered rules: loyalty, beneficiary, image, text, wallet promoted to issuer, card network."""
+def bank_and_wallet(text: Column, image_alt: Column) -> Column:
+    """struct<bank,wallet> by layers: loyalty, beneficiary, image, text, wallet promoted to issuer, card network."""
     alt = spaced_name(image_alt)
     upper = F.upper(F.concat_ws(" ", or_blank(text), or_blank(image_alt)))
     club = F.coalesce(
@@ -699,12 +702,16 @@ def bank_and_wallet(text: Column, image_alt: Column) -> tuple[Column, Column]:
     wallet = F.coalesce(
         classify(alt, "layered_wallet", prepared=True), classify(upper, "layered_wallet", prepared=True)
     )
-    promoted = bank.isNull() & wallet.isin(*WALLET_AS_ISSUER)
-    issuer = F.coalesce(
-        club, bank, F.when(promoted, wallet), classify(upper, "network", prepared=True), F.lit("")
-    )
-    rest = F.when(club.isNotNull() | F.coalesce(promoted, F.lit(False)), F.lit(None).cast("string")).otherwise(wallet)
-    return issuer, rest
+    network = classify(upper, "network", prepared=True)
+    facts = F.struct(club.alias("club"), bank.alias("bank"), wallet.alias("wallet"), network.alias("network"))
+
+    def decide(x: Column) -> Column:
+        promoted = F.coalesce(x["bank"].isNull() & x["wallet"].isin(*WALLET_AS_ISSUER), F.lit(False))
+        issuer = F.coalesce(x["club"], x["bank"], F.when(promoted, x["wallet"]), x["network"], F.lit(""))
+        rest = F.when(~(x["club"].isNotNull() | promoted), x["wallet"])
+        return F.struct(issuer.alias("bank"), rest.alias("wallet"))
+
+    return bind(facts, decide)
 
 
 EXCLUDED_WALLETS = (
@@ -719,17 +726,20 @@ def fanout_wallets(text: Column) -> Column:
     multi = found(upper, r"BILLETERAS?\s+VIRTUALES?", False) & ~found(upper, EXCLUDED_WALLETS, False)
     default = F.array(*[F.lit(n) for n in WALLET_FANOUT_DEFAULT])
     none = F.array().cast("array<string>")
-    return F.when(multi & (F.size(names) >= 2), names).when(multi & (F.size(names) == 0), default).otherwise(none)
+    chosen = bind(names, lambda x: F.when(F.size(x) >= 2, x).when(F.size(x) == 0, default).otherwise(none))
+    return F.when(multi, chosen).otherwise(none)
 
 
 def combined_wallet(text: Column) -> Column:
     """Fuel-app wallet combined with the others it is used with, else the first wallet."""
     names = all_hits(text, WALLET_SHELL)
-    others = F.array_remove(names, "Shell Box")
-    both = F.array_contains(names, "Shell Box") & (F.size(others) > 0)
-    return or_blank(
-        F.when(both, F.concat(F.lit("Shell Box + "), F.array_join(others, " + "))).otherwise(F.get(names, F.lit(0)))
-    )
+
+    def join(x: Column) -> Column:
+        others = F.array_remove(x, "Shell Box")
+        both = F.array_contains(x, "Shell Box") & (F.size(others) > 0)
+        return F.when(both, F.concat(F.lit("Shell Box + "), F.array_join(others, " + "))).otherwise(F.get(x, F.lit(0)))
+
+    return or_blank(bind(names, join))
 
 
 def entity_from_image(image: Column, text: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dates, money
@@ -401,20 +401,32 @@ def promotion_passage(text: Column) -> Column:
 # --- the composed parser -------------------------------------------------------------------------------
 
 
-def parse_terms(raw: Column) -> dict[str, Column]:
-    """All fields of a legal text as columns; empty text gives empty fields."""
-    upper = strip(F.upper(or_blank(raw)))
-    cap = money.extract_cap(upper, "terms")
-    validity = dates.validity_from_terms(upper)
-    return {
-        "exclusions": extract_exclusions_terms(upper),
-        "requirements": extract_requirements_terms(upper),
-        "valid_days": dates.extract_valid_days(upper, "terms"),
-        "cap": cap,
-        "stackable": extract_stackable(upper),
-        "valid_from": validity["valid_from"],
-        "valid_until": validity["valid_until"],
-    }
+PARSED = ("exclusions", "requirements", "valid_days", "cap", "stackable", "valid_from", "valid_until")
+
+
+def parse_terms(df: DataFrame, raw: str) -> DataFrame:
+    """All fields of the legal text column `raw` added as columns; empty text gives empty fields.
+
+    The upper-case text and the validity range get a projection of their own, so each is computed once.
+    """
+    keep = [F.col(c) for c in df.columns if c not in PARSED]
+    upper = df.withColumn("_upper", strip(F.upper(or_blank(F.col(raw)))))
+    text = F.col("_upper")
+    fields = upper.select(
+        *keep,
+        extract_exclusions_terms(text).alias("exclusions"),
+        extract_requirements_terms(text).alias("requirements"),
+        dates.extract_valid_days(text, "terms").alias("valid_days"),
+        money.extract_cap(text, "terms").alias("cap"),
+        extract_stackable(text).alias("stackable"),
+        dates.validity_from_terms(text).alias("_validity"),
+    )
+    return fields.select("*", "_validity.valid_from", "_validity.valid_until").drop("_validity")
+
+
+def listed(joined: Column) -> Column:
+    """Items of a ', '-joined field."""
+    return F.filter(F.split(joined, ", "), lambda x: x != "")
 
 
 # --- arrays, JSON text, titles ---------------------------------------------------------------------------

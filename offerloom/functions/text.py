@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -25,9 +25,36 @@ def found(text: Column, pattern: str, ci: bool = True) -> Column:
     return F.coalesce(text, F.lit("")).rlike(rx(pattern, ci))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def not_blank(value: Column) -> Column:
+    """NULL for '', for costly expressions (see `blank_to_null` for plain columns)."""
+    return bind(value, lambda x: F.when(x != "", x))
+
+
 def grab(text: Column, pattern: str, group: int = 1, ci: bool = True) -> Column:
     """The group of the first match; NULL when nothing (or an empty group) matched."""
-    return blank_to_null(F.regexp_extract(text, rx(pattern, ci), group))
+    return not_blank(F.regexp_extract(text, rx(pattern, ci), group))
+
+
+def shape(text: Column, pattern: str, template: str, ci: bool = True) -> Column:
+    """The first match rewritten by a template of its groups ('$1~$2'); NULL when nothing matched.
+
+    One scan finds the match; the template is then applied to the short matched text only.
+    """
+    p = rx(pattern, ci)
+    return not_blank(F.regexp_replace(F.regexp_extract(text, p, 0), p, template))
+
+
+def first_shape(text: Column, shapes: Iterable[tuple[str, str]], ci: bool = True) -> Column:
+    return F.coalesce(*[shape(text, pattern, template, ci) for pattern, template in shapes])
+
+
+def shape_parts(shaped: Column) -> Column:
+    return F.split(shaped, "~", -1)
 
 
 def grab_all(text: Column, pattern: str, group: int = 1, ci: bool = True) -> Column:
@@ -53,8 +80,12 @@ def or_blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+# White space characters trimmed at the ends of a text.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rx(r"^\s+|\s+$"), "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -117,7 +148,7 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 def split_csv(c: Column, also_y: bool = False) -> Column:
     """Trimmed, non-empty items; `also_y` lets ' y ' separate items as well."""
     text = F.regexp_replace(or_blank(c), " y ", ",") if also_y else or_blank(c)
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def absolutize(url: Column, base: str) -> Column:

@@ -309,27 +309,29 @@ def _blocks(html: str, rule: BlockRule) -> Iterator[tuple[int, str, str]]:
 
 
 def select_blocks(pages: DataFrame, rule: BlockRule, html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Nested blocks of the pages: (id, block_pos, field, value), read partition by partition."""
+    """Nested blocks of the pages: (id, block_pos, seq, field, value), read partition by partition."""
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (page_id, *row)
+                (page_id, pos, seq, name, value)
                 for page_id, body in zip(batch[id_col], batch[html])
-                for row in _blocks(body, rule)
+                for seq, (pos, name, value) in enumerate(_blocks(body, rule))
             ]
-            yield pd.DataFrame(rows, columns=[id_col, "block_pos", "field", "value"])
+            yield pd.DataFrame(rows, columns=[id_col, "block_pos", "seq", "field", "value"])
 
-    return pages.select(id_col, html).mapInPandas(run, f"{id_col} {kind}, block_pos int, field string, value string")
+    return pages.select(id_col, html).mapInPandas(
+        run, f"{id_col} {kind}, block_pos int, seq int, field string, value string"
+    )
 
 
 def block_table(blocks: DataFrame, fields: list[str], id_col: str = "page_id") -> DataFrame:
     """One row per block with its fields as columns; repeated fields are joined by ' | '."""
-    grouped = blocks.withColumn("_n", F.monotonically_increasing_id()).groupBy(id_col, "block_pos")
+    grouped = blocks.groupBy(id_col, "block_pos")
     columns = []
     for name in fields:
-        items = F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("_n", "value"))))
+        items = F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("seq", "value"))))
         columns.append(F.array_join(F.transform(items, lambda x: x["value"]), " | ").alias(name))
     return grouped.agg(*columns)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dates, terms as terms_fn
+from ..functions.money import extract_min_purchase
 from ..functions.text import blank_to_null, or_blank
 from .dedup import dedup_keep_richest, keep_best
 from .unify import offer_id, offer_key
@@ -145,23 +146,21 @@ def replace_terms(current: DataFrame, fresh: DataFrame, key: str = "offer_id") -
 
 def terms_rows(offers: DataFrame) -> DataFrame:
     """Parsed terms rows of the offers that carry legal text."""
-    kept = offers.filter(or_blank(F.col("terms_raw")) != "")
-    parsed = terms_fn.parse_terms(F.col("terms_raw"))
-    as_list = {
-        name: F.filter(F.split(parsed[name], ", "), lambda x: x != "") for name in ("exclusions", "requirements")
-    }
-    from ..functions.money import extract_min_purchase
-
-    return kept.select(
+    kept = offers.filter(or_blank(F.col("terms_raw")) != "").select(
         offer_id().alias("offer_id"),
         F.col("terms_raw").alias("raw_text"),
-        as_list["exclusions"].alias("exclusions"),
-        as_list["requirements"].alias("requirements"),
-        parsed["cap"].alias("max_discount"),
-        extract_min_purchase(F.col("terms_raw"), "coto").alias("min_purchase"),
-        parsed["valid_days"].alias("valid_days"),
         F.filter(F.array("bank", "wallet"), lambda x: or_blank(x) != "").alias("payment_methods"),
     )
+    return terms_fn.parse_terms(kept, "raw_text").select(
+        "offer_id",
+        "raw_text",
+        terms_fn.listed(F.col("exclusions")).alias("exclusions"),
+        terms_fn.listed(F.col("requirements")).alias("requirements"),
+        F.col("cap").alias("max_discount"),
+        extract_min_purchase(F.col("raw_text"), "coto").alias("min_purchase"),
+        "valid_days",
+        "payment_methods",
+    )
 
 
 def append_history(history: DataFrame, rows: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def with_terms(offers: DataFrame, terms: DataFrame) -> DataFrame:
     for name in ("exclusions", "requirements"):
         parsed = F.when(F.size(F.col(f"_{name}")) > 0, F.col(f"_{name}"))
         own = F.col(name) if name in offers.columns else F.lit(None).cast("array<string>")
-        joined = joined.withColumn(name, F.coalesce(parsed, own)).drop(f"_{name}")
+        joined = joined.withColumn(name, F.coalesce(parsed, own, F.array().cast("array<string>"))).drop(f"_{name}")
     return joined
 
 

@@ -310,7 +310,8 @@ def with_clauses(names: list[str], table: Callable[[str], str]) -> str:
 
 def oracle(names: str, body: str) -> str:
     """Oracle text: fixtures as common table expressions in front of the body."""
-    return f"{with_clauses(names.split(), lambda t: t)} {body}"
+    clause = with_clauses(names.split(), lambda t: t)
+    return f"{clause}, {body[5:]}" if body.startswith("with ") else f"{clause} {body}"
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
