@@ -13,6 +13,7 @@ from .text import (
     found,
     grab,
     grab_all,
+    is_json,
     or_blank,
     rx,
     squeeze,
@@ -439,7 +440,7 @@ def json_text_to_array(raw: Column, keep_invalid: bool = True) -> Column:
     listed = F.from_json(F.when(text.startswith("["), text), NO_ITEMS)
     boxed = F.from_json(F.when(text.startswith('"'), F.concat(F.lit("["), text, F.lit("]"))), NO_ITEMS)
     single = F.filter(F.transform(boxed, F.trim), lambda x: x != "")
-    other_json = F.try_parse_json(text).isNotNull()
+    other_json = is_json(text)
     rest = F.when(other_json | (text == ""), empty).otherwise(F.array(text) if keep_invalid else empty)
     return F.coalesce(
         F.when(text.startswith("["), F.filter(listed, lambda x: x.isNotNull())), F.when(text.startswith('"'), single), rest

@@ -137,6 +137,12 @@ def html_to_text(html: Column) -> Column:
     return squeeze(F.regexp_replace(out, r"<[^>]+>", " "))
 
 
+def is_json(text: Column) -> Column:
+    """One JSON value and nothing after it (the parser alone accepts trailing text)."""
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return bind(boxed, lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull())
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Literal substring test; `text` must already be in the form of the words."""
     out = F.lit(False)

@@ -7,7 +7,9 @@ the old one and switches the pointer last, so a job that dies half way leaves th
 from __future__ import annotations
 
 import datetime as dt
+import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -125,8 +127,7 @@ def upsert_offers(current: DataFrame, batch: DataFrame, now: str, deactivate_cra
         elif name in ("merchant_id", "title", "source"):
             value = F.coalesce(F.col(name), fresh(name, F.lit(None)))
         elif name == "bank":
-            value = F.coalesce(or_blank(F.col("bank")), F.col("_n_bank")) if "bank" in have else F.col("bank")
-            value = F.when(is_old, or_blank(F.col("bank"))).otherwise(value)
+            value = F.when(is_old, or_blank(F.col("bank"))).otherwise(F.col("_n_bank"))
         elif name in REPLACED:
             value = F.when(is_new, fresh(name, F.col(name))).otherwise(F.col(name))
         elif name == "is_active":
@@ -327,22 +328,21 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, batch_id: int | str)
         else:
             df.write.mode("overwrite").parquet(target)
     # The pointer is a log: one appended line per finished batch, the newest line counts.
-    seq = _last_pointer(spark, root)[1] + 1
-    pointer = spark.createDataFrame([(str(batch_id), seq)], POINTER)
+    _, seq, _ = _last_pointer(spark, root)
+    schemas = {name: df.schema.json() for name, df in tables.items()}
+    pointer = spark.createDataFrame([(str(batch_id), seq + 1, schemas)], POINTER)
     pointer.coalesce(1).write.mode("append").json(f"{root}/_current")
 
 
-POINTER = "batch_id string, seq long"
+POINTER = "batch_id string, seq long, schemas map<string,string>"
 
 
-def _last_pointer(spark: SparkSession, root: str) -> tuple[str | None, int]:
-    from pyspark.errors import AnalysisException
-
+def _last_pointer(spark: SparkSession, root: str) -> tuple[str | None, int, dict[str, str]]:
     try:
         rows = spark.read.schema(POINTER).json(f"{root}/_current").orderBy(F.desc("seq")).take(1)
     except AnalysisException:
-        return None, 0
-    return (rows[0]["batch_id"], rows[0]["seq"]) if rows else (None, 0)
+        return None, 0, {}
+    return (rows[0]["batch_id"], rows[0]["seq"], rows[0]["schemas"]) if rows else (None, 0, {})
 
 
 def current_batch(spark: SparkSession, root: str) -> str | None:
@@ -350,13 +350,15 @@ def current_batch(spark: SparkSession, root: str) -> str | None:
 
 
 def read_snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
-    batch = current_batch(spark, root)
+    """Tables of the newest snapshot, with the schema they were written with (an empty table has no files)."""
+    batch, _, schemas = _last_pointer(spark, root)
     if batch is None:
         raise FileNotFoundError(f"no snapshot under {root}")
     out = {}
     for name in names:
-        df = spark.read.parquet(f"{root}/{name}/snapshot={batch}")
-        out[name] = df.drop("bucket") if "bucket" in df.columns else df
+        kind = StructType.fromJson(json.loads(schemas[name]))
+        df = spark.read.schema(kind).parquet(f"{root}/{name}/snapshot={batch}")
+        out[name] = df.select(*kind.fieldNames())
     return out
 
 

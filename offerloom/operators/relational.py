@@ -120,6 +120,25 @@ def with_terms(offers: DataFrame, terms: DataFrame) -> DataFrame:
     return joined
 
 
+def with_raw_terms(offers: DataFrame, raw_terms: DataFrame) -> DataFrame:
+    """As `with_terms`, for unparsed terms (offer_id, raw_text): only the joined rows are parsed."""
+    packed = offers.select("id", F.struct(*[F.col(c) for c in offers.columns]).alias("_offer"))
+    side = raw_terms.select(F.col("offer_id").alias("id"), "raw_text")
+    parsed = terms_fn.parse_terms(packed.join(side, "id", "left"), "raw_text")
+    joined = parsed.select(
+        "_offer.*",
+        "raw_text",
+        F.when(F.col("raw_text").isNotNull(), F.col("cap")).alias("max_discount"),
+        terms_fn.listed(F.col("exclusions")).alias("_exclusions"),
+        terms_fn.listed(F.col("requirements")).alias("_requirements"),
+    )
+    for name in ("exclusions", "requirements"):
+        own = F.col(name) if name in offers.columns else F.array().cast("array<string>")
+        parsed_items = F.when(F.size(F.col(f"_{name}")) > 0, F.col(f"_{name}"))
+        joined = joined.withColumn(name, F.coalesce(parsed_items, own)).drop(f"_{name}")
+    return joined
+
+
 def merchant_active_counts(merchants: DataFrame, offers: DataFrame, as_of: dt.date | str) -> DataFrame:
     """Every merchant with its number of valid offers, zero included."""
     counts = offers.filter(filters.valid_on(as_of)).groupBy("merchant_id").agg(F.count("*").alias("n"))

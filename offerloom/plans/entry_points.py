@@ -62,10 +62,12 @@ def list_offers(
     page: int = 1,
     size: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page of the listing, total and page count). Terms join only the rows of the page."""
+    """(page of the listing, total and page count). Terms, parsed or raw, join only the rows of the page."""
     rows = filtered(offers, merchants, f, as_of)
     shown = ordering.paginate(rows, _newest(), page, size)
-    listing = relational.offer_list_view(relational.with_terms(shown, terms))
+    parsed = "max_discount" in terms.columns
+    joined = relational.with_terms(shown, terms) if parsed else relational.with_raw_terms(shown, terms)
+    listing = relational.offer_list_view(joined)
     return listing, ordering.page_count(rows, size)
 
 

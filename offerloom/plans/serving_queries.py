@@ -10,7 +10,7 @@ from ..operators import digest, filters, match, ordering, relational
 from ..schema import OFFERS, evolve_schema
 from ..sources.catalog import ENTITY_LABELS
 from . import entry_points as ask
-from .fixtures import AS_OF, NOW_EVENTS
+from .fixtures import AS_OF, NOW_EVENTS, fixture
 from .registry import base, cards, history, merchants, methods, promos, query, raw_terms, show, store_terms
 
 VALID = (
@@ -691,7 +691,8 @@ Q1 = ask.OfferFilters(category="supermarket,fuel", modality="presencial", discou
     f"{LISTING_SQL} where {Q1_WHERE} order by p.scraped_at desc, p.id desc limit 20",
 )
 def q1_list_offers(s, sf):
-    page, _ = ask.list_offers(promos(s, sf), merchants(s, sf), store_terms(s, sf), Q1, AS_OF)
+    raw = fixture(s, sf, "fx_terms").withColumnRenamed("promotion_id", "offer_id")
+    page, _ = ask.list_offers(promos(s, sf), merchants(s, sf), raw, Q1, AS_OF)
     return show(page, *LISTING_COLUMNS)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from .. import schema
 from ..functions import dates, money, terms
 from ..functions.rules import is_offer_text
-from ..functions.text import blank_to_null, clean_text, fold_accents, found, grab, grab_all, or_blank, rx, squeeze
+from ..functions.text import blank_to_null, clean_text, fold_accents, found, grab, grab_all, is_json, or_blank, squeeze
 from .catalog import TAB_DAYS
 
 
@@ -62,7 +62,7 @@ def read_json_envelope(df: DataFrame, text_col: str, keep: list[str]) -> DataFra
     """Offers inside a `{"promotions": […]}` envelope; broken JSON gives no rows."""
     body = F.regexp_extract(F.col(text_col), r"(?s)(\{.*\})", 1)
     # Real JSON only: the permissive reader would return half-filled rows for cut-off text.
-    valid = F.when(F.try_parse_json(body).isNotNull(), body)
+    valid = F.when(is_json(body), body)
     parsed = F.from_json(valid, schema.VISION_ENVELOPE)
     offers = df.select(*keep, F.posexplode(parsed["promotions"]).alias("pos", "offer"))
     named = offers.filter(
@@ -92,7 +92,7 @@ EMBEDDED_JSON = [
 def embedded_blobs(html: Column) -> Column:
     """Valid JSON texts a page embeds for its own scripts."""
     blobs = F.concat(*[F.regexp_extract_all(or_blank(html), F.lit(p), F.lit(1)) for p in EMBEDDED_JSON])
-    return F.filter(blobs, lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(blobs, lambda b: is_json(b))
 
 
 def read_embedded_json(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -121,7 +121,7 @@ def runtime_fields(pages: DataFrame, html_col: str = "html", id_col: str = "page
         id_col,
         field.alias("field"),
         F.col("x.blob").alias("blob"),
-        F.try_parse_json("x.blob").isNotNull().alias("valid"),
+        is_json(F.col("x.blob")).alias("valid"),
         F.regexp_count(F.lower("x.blob"), F.lit("descuento")).alias("discount_mentions"),
     )
 
@@ -152,8 +152,8 @@ def read_detail_json(details: DataFrame, payload_col: str, id_col: str) -> DataF
 
 def extract_detail_ids(pages: DataFrame, pattern: str = r"/promocion/(\d+)", html_col: str = "html") -> DataFrame:
     """Distinct numeric ids named by the links of listing pages."""
-    ids = F.explode(F.array_distinct(grab_all(F.col(html_col), rf'href="[^"]*{pattern}')))
-    return pages.select(ids.try_cast("long").alias("detail_id")).distinct()
+    ids = F.explode(F.array_distinct(grab_all(F.col(html_col), rf'href="[^"]*{pattern}'))).alias("id")
+    return pages.select(ids).select(F.col("id").try_cast("long").alias("detail_id")).distinct()
 
 
 def id_suffix(element_id: Column) -> Column:
