@@ -24,6 +24,7 @@ from .text import (
     shape,
     shape_parts,
     squeeze,
+    words,
 )
 
 # ---------------------------------------------------------------------------------------------
@@ -135,8 +136,8 @@ DAY_RANGE = rf"({DAYS})\s+a\s+({DAYS})"
 def month_number(word: Column) -> Column:
     """1-12 for a Spanish month name in any case, else NULL."""
     name = F.regexp_replace(F.lower(word), "^setiembre$", "septiembre")
-    numbers = F.array(F.lit(None).cast("int"), *[F.lit(i) for i in range(1, 13)])
-    return F.get(numbers, F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int"))
+    at = F.array_position(words(*MONTHS), name).cast("int")
+    return bind(at, lambda n: F.when(n > 0, n))
 
 
 def _two(part: Column) -> Column:
@@ -227,7 +228,7 @@ def dotnet_date(value: Column) -> Column:
 
 
 def weekday_es(day: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in WEEK]), F.weekday(day) + 1)
+    return F.element_at(words(*WEEK), F.weekday(day) + 1)
 
 
 def weekday_name(day: dt.date) -> str:
@@ -322,14 +323,14 @@ def validity_from_text(text: Column, profile: str, as_of: dt.date) -> Column:
 
 def canonical_day(word: Column) -> Column:
     """'sabados' -> 'Sábado'; NULL for a word that is no weekday."""
-    short = F.array(*[F.lit(x) for x in ("lun", "mar", "mie", "jue", "vie", "sab", "dom")])
+    short = words("lun", "mar", "mie", "jue", "vie", "sab", "dom")
     # Positions start at 1; 0 (not found) reads the NULL put in front.
-    week = F.array(F.lit(None).cast("string"), *[F.lit(d) for d in WEEK])
+    week = words(None, *WEEK)
     return F.get(week, F.array_position(short, F.substring(norm(word), 1, 3)).cast("int"))
 
 
 def day_index(word: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(d) for d in WEEK]), word).cast("int")
+    return F.array_position(words(*WEEK), word).cast("int")
 
 
 def week_order(days: Column) -> Column:
@@ -356,7 +357,7 @@ def _masonline_days(text: Column, default_day: Column) -> Column:
     def span(packed: Column) -> Column:
         ends = F.transform(_day_parts(packed), day_index)
         start, stop = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
-        return F.filter(F.array(*[F.lit(d) for d in WEEK]), lambda d: day_index(d).between(start, stop))
+        return F.filter(words(*WEEK), lambda d: day_index(d).between(start, stop))
 
     spanned = F.coalesce(bind(shape(text, DAY_RANGE, "$1~$2"), span), none)
 
@@ -407,7 +408,7 @@ def extract_valid_days(text: Column, profile: str = "terms", default_day: Column
 
         named = bind(
             norm(or_blank(text)),
-            lambda t: F.filter(F.array(*[F.lit(d) for d in WEEK]), lambda d: t.contains(fold_accents(F.lower(d)))),
+            lambda t: F.filter(words(*WEEK), lambda d: t.contains(fold_accents(F.lower(d)))),
         )
         return bind(named, few)
     if profile == "puma":
@@ -433,5 +434,5 @@ def fill_tab_day(days: Column, tab_day: Column) -> Column:
 
 def day_badges(days: Column) -> Column:
     """Short labels of the weekdays a text names."""
-    short = F.array(*[F.lit(x) for x in ("Lun", "Mar", "Mié", "Jue", "Vie", "Sáb", "Dom")])
+    short = words("Lun", "Mar", "Mié", "Jue", "Vie", "Sáb", "Dom")
     return F.transform(named_days(days), lambda d: F.element_at(short, F.greatest(day_index(d), F.lit(1))))

@@ -25,6 +25,11 @@ def found(text: Column, pattern: str, ci: bool = True) -> Column:
     return F.coalesce(text, F.lit("")).rlike(rx(pattern, ci))
 
 
+def words(*items: str | None) -> Column:
+    """Constant array of texts, as one SQL expression (cheap to build)."""
+    return F.expr("array(" + ", ".join("cast(null as string)" if w is None else f"'{w}'" for w in items) + ")")
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with `value` evaluated once, however often `use` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions import dates, terms as terms_fn
 from ..functions.money import extract_min_purchase
 from ..functions.text import blank_to_null, or_blank
+from ..session import reliable_checkpoint
 from .dedup import dedup_keep_richest, keep_best
 from .unify import offer_id, offer_key
 
@@ -74,7 +75,7 @@ def touch_merchants(merchants: DataFrame, touched: DataFrame, now: str) -> DataF
 def batch_offers(batch: DataFrame) -> DataFrame:
     """The batch reduced to its last row per natural key (column pos gives the order)."""
     merchant, title, bank = offer_key()
-    keyed = batch.withColumn("title", title).withColumn("bank", bank)
+    keyed = batch.withColumns({"title": title, "bank": bank})
     return keep_best(
         keyed, {"merchant": merchant, "title": F.col("title"), "bank": F.col("bank")}, [F.col("pos")], largest=True
     )
@@ -88,17 +89,18 @@ def upsert_offers(current: DataFrame, batch: DataFrame, now: str, deactivate_cra
     and sources in the batch that the batch does not name become inactive.
     """
     reduced = batch_offers(batch)
-    columns = current.columns
-    renamed = reduced.select(*[F.col(c).alias(f"_n_{c}") for c in reduced.columns])
-    base = current.withColumn("_old", F.lit(True))
+    kinds = dict(current.dtypes)
+    columns, batch_columns = list(kinds), reduced.columns
+    renamed = reduced.select(*[F.col(c).alias(f"_n_{c}") for c in batch_columns], F.lit(True).alias("_new"))
+    base = current.select("*", F.lit(True).alias("_old"))
     same = (
         (F.col("merchant_id") == F.col("_n_merchant_id"))
         & (F.col("title") == F.col("_n_title"))
         & (or_blank(F.col("bank")) == F.col("_n_bank"))
     )
-    joined = base.join(renamed.withColumn("_new", F.lit(True)), same, "full_outer")
+    joined = base.join(renamed, same, "full_outer")
     is_new, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
-    have = set(reduced.columns)
+    have = set(batch_columns)
 
     def fresh(name: str, fallback: Column) -> Column:
         return F.col(f"_n_{name}") if name in have else fallback
@@ -106,12 +108,12 @@ def upsert_offers(current: DataFrame, batch: DataFrame, now: str, deactivate_cra
     if deactivate_crawled:
         crawled = reduced.select(
             F.col("merchant_id").alias("_c_merchant"),
-            (F.col("source") if "source" in have else F.lit("")).alias("_c_source"),
-        ).distinct()
+            or_blank(F.col("source") if "source" in have else F.lit("")).alias("_c_source"),
+        ).distinct().select("*", F.lit(True).alias("_crawled"))
         source = or_blank(F.col("source")) if "source" in columns else F.lit("")
         joined = joined.join(
-            crawled.withColumn("_crawled", F.lit(True)),
-            (F.col("merchant_id") == F.col("_c_merchant")) & (source == or_blank(F.col("_c_source"))),
+            crawled,
+            (F.col("merchant_id") == F.col("_c_merchant")) & (source == F.col("_c_source")),
             "left",
         )
         still = F.col("is_active").cast("boolean") & F.col("_crawled").isNull()
@@ -120,7 +122,7 @@ def upsert_offers(current: DataFrame, batch: DataFrame, now: str, deactivate_cra
 
     out = []
     for name in columns:
-        kind = dict(current.dtypes)[name]
+        kind = kinds[name]
         if name == "id":
             new_id = F.md5(F.concat_ws("|", F.col("_n_merchant_id").cast("string"), "_n_title", "_n_bank"))
             value = F.coalesce(F.col("id"), new_id)
@@ -243,15 +245,20 @@ def backfill_dates(offers: DataFrame, columns: tuple[str, ...] = ("valid_from",
     return out
 
 
-def apply_crawl(store: dict[str, DataFrame], batch: DataFrame, runs: DataFrame, now: str) -> dict[str, DataFrame]:
+def apply_crawl(
+    store: dict[str, DataFrame], batch: DataFrame, runs: DataFrame, now: str, materialize: bool = False
+) -> dict[str, DataFrame]:
     """Merge one crawl batch into the store.
 
     `batch` holds unified offers with merchant_id and pos, `runs` one row per crawled merchant with its
     error. Batch rows of failed merchants are ignored. Per merchant: richest duplicate kept, offers of
     the merchant deactivated, batch upserted; merchants with an empty or failed crawl only get history.
+    All four results read the reduced batch; `materialize` stores it once instead of computing it for each.
     """
     good = batch.join(runs.filter(F.col("error").isNull()).select("merchant_id"), "merchant_id", "left_semi")
     kept = dedup_keep_richest(good, ["merchant_id"])
+    if materialize:
+        kept = reliable_checkpoint(kept)
     stored = batch_offers(kept)
     offers = upsert_offers(store["offers"], kept, now, deactivate_crawled=True)
     terms = replace_terms(store["terms"], terms_rows(stored))

@@ -68,7 +68,7 @@ def ingest_batch(root: str, now: str, names: list[str]) -> Callable[[DataFrame,
             return
         store = lifecycle.read_snapshot(spark, root, names)
         runs = batch.select("merchant_id").distinct().withColumn("error", F.lit(None).cast("string"))
-        state = lifecycle.apply_crawl(store, batch, runs, now)
+        state = lifecycle.apply_crawl(store, batch, runs, now, materialize=True)
         lifecycle.write_snapshot(state, root, batch_id + 1)
 
     return merge
