@@ -10,6 +10,8 @@ Modes of a rule set:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -561,27 +563,58 @@ def shaped(text: Column, mode: str) -> Column:
     return text
 
 
+def required_literal(pattern: str) -> str | None:
+    """Leading letters every match must hold, or None: a cheap test before the regular expression."""
+    body = pattern.removeprefix(r"\b")
+    depth = 0
+    for char in body:
+        depth += (char in "([") - (char in ")]")
+        if char == "|" and depth == 0:
+            return None
+    lead = re.match(r"[^\W\d_]+", body)
+    if lead is None:
+        return None
+    word = lead.group()
+    if body[len(word) : len(word) + 1] in ("?", "*", "{"):
+        word = word[:-1]
+    return word if len(word) >= 3 else None
+
+
 def hit(prepared: Column, mode: str, pattern: str) -> Column:
+    """Does the rule match? Plain words are searched as substrings, which is far cheaper than a regex."""
     if mode in ("word", "fold"):
         return prepared.contains(pattern)
-    return prepared.rlike(rx(pattern, ci=mode == "any"))
+    alternatives = pattern.split("|")
+    if mode != "any" and all(re.fullmatch(r"[\w ]+", a) for a in alternatives):
+        test = prepared.contains(alternatives[0])
+        for word in alternatives[1:]:
+            test = test | prepared.contains(word)
+        return test
+    test = prepared.rlike(rx(pattern, ci=mode == "any"))
+    word = required_literal(pattern) if mode != "any" else None
+    return prepared.contains(word) & test if word else test
 
 
 def classify(text: Column, rule_set: str, prepared: bool = False) -> Column:
     """Name of the first rule that matches; NULL when none does."""
     mode, _, rules = RULE_SETS[rule_set]
-    form = text if prepared else shaped(text, mode)
-    first, *rest = rules
-    out = F.when(hit(form, mode, first[0]), F.lit(first[1]))
-    for pattern, name in rest:
-        out = out.when(hit(form, mode, pattern), F.lit(name))
-    return out
+
+    def chain(form: Column) -> Column:
+        first, *rest = rules
+        out = F.when(hit(form, mode, first[0]), F.lit(first[1]))
+        for pattern, name in rest:
+            out = out.when(hit(form, mode, pattern), F.lit(name))
+        return out
+
+    return chain(text) if prepared else bind(shaped(text, mode), chain)
 
 
 def all_hits(text: Column, rules: list[tuple[str, str]], mode: str = "upper") -> Column:
     """Names of every matching rule, in rule order."""
-    form = shaped(text, mode)
-    return F.array_compact(F.array(*[F.when(hit(form, mode, p), F.lit(n)) for p, n in rules]))
+    return bind(
+        shaped(text, mode),
+        lambda form: F.array_compact(F.array(*[F.when(hit(form, mode, p), F.lit(n)) for p, n in rules])),
+    )
 
 
 def cascade(text: Column, rules: list) -> dict[str, Column]:
@@ -616,8 +649,12 @@ def first_label(text: Column, pairs: list[tuple[str, str]], ci: bool = True) ->
 
 
 def bank_folded(text: Column) -> Column:
-    form = fold_accents(F.lower(or_blank(text)))
-    return F.coalesce(classify(form, "bank_folded", prepared=True), classify(form, "bank_abbreviation", prepared=True))
+    return bind(
+        fold_accents(F.lower(or_blank(text))),
+        lambda form: F.coalesce(
+            classify(form, "bank_folded", prepared=True), classify(form, "bank_abbreviation", prepared=True)
+        ),
+    )
 
 
 def wallet_folded(text: Column) -> Column:
@@ -647,12 +684,16 @@ def issuer_name(raw: Column) -> Column:
 def bank_mentions(text: Column, rule_set: str = "cencosud_text") -> Column:
     """How often each issuer pattern occurs: array<struct<name,n>> of the issuers present."""
     mode, _, rules = RULE_SETS[rule_set]
-    form = shaped(text, mode)
-    counts = [
-        F.struct(F.lit(name).alias("name"), F.regexp_count(form, F.lit(rx(pattern, False))).alias("n"))
-        for pattern, name in rules
-    ]
-    return F.filter(F.array(*counts), lambda x: x["n"] > 0)
+
+    def counts(form: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(F.lit(name).alias("name"), F.regexp_count(form, F.lit(rx(pattern, False))).alias("n"))
+                for pattern, name in rules
+            ]
+        )
+
+    return F.filter(bind(shaped(text, mode), counts), lambda x: x["n"] > 0)
 
 
 CLIENTS_OF = r"(?:CLIENTES?\s+(?:DE\s+)?|TARJETAS?\s+(?:DE\s+)?)"
@@ -664,9 +705,12 @@ ISSUED_BY = (
 
 def bank_in_context(text: Column) -> Column:
     """Issuer of a text that may name several: wallet route first, then the single or contextual mention."""
-    upper = F.upper(or_blank(text))
-    mode, _, rules = RULE_SETS["cencosud_text"]
-    present = bank_mentions(text)
+    return bind(F.upper(or_blank(text)), _bank_in_context)
+
+
+def _bank_in_context(upper: Column) -> Column:
+    _, _, rules = RULE_SETS["cencosud_text"]
+    present = bank_mentions(upper)
     via_modo = upper.contains("TRAVÉS DE MODO") | upper.contains("CON MODO")
     issuer = bind(grab(upper, ISSUED_BY, 1, ci=False), issuer_name)
     modo_list = found(upper, r"PAGANDO\s+CON\s+MODO", False) & found(upper, r"PARTICIPAN\s+BANCO", False)
@@ -690,8 +734,14 @@ def bank_in_context(text: Column) -> Column:
 
 def bank_and_wallet(text: Column, image_alt: Column) -> Column:
     """struct<bank,wallet> by layers: loyalty, beneficiary, image, text, wallet promoted to issuer, card network."""
-    alt = spaced_name(image_alt)
-    upper = F.upper(F.concat_ws(" ", or_blank(text), or_blank(image_alt)))
+    forms = F.struct(
+        spaced_name(image_alt).alias("alt"),
+        F.upper(F.concat_ws(" ", or_blank(text), or_blank(image_alt))).alias("upper"),
+    )
+    return bind(forms, lambda x: _layers(x["upper"], x["alt"]))
+
+
+def _layers(upper: Column, alt: Column) -> Column:
     club = F.coalesce(
         classify(upper, "loyalty", prepared=True),
         classify(upper, "beneficiary", prepared=True),
@@ -721,8 +771,11 @@ EXCLUDED_WALLETS = (
 
 def fanout_wallets(text: Column) -> Column:
     """Wallets a multi-wallet card stands for; empty when the card is not one."""
-    upper = F.upper(or_blank(text))
-    names = all_hits(text, WALLET_FANOUT)
+    return bind(F.upper(or_blank(text)), _fanout)
+
+
+def _fanout(upper: Column) -> Column:
+    names = all_hits(upper, WALLET_FANOUT)
     multi = found(upper, r"BILLETERAS?\s+VIRTUALES?", False) & ~found(upper, EXCLUDED_WALLETS, False)
     default = F.array(*[F.lit(n) for n in WALLET_FANOUT_DEFAULT])
     none = F.array().cast("array<string>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -412,17 +415,22 @@ def parse_terms(df: DataFrame, raw: str) -> DataFrame:
     """
     keep = [F.col(c) for c in df.columns if c not in PARSED]
     upper = df.withColumn("_upper", strip(F.upper(or_blank(F.col(raw)))))
+    fields = upper.select(*keep, *_parsed_fields(id(SparkContext._gateway)))
+    return fields.select("*", "_validity.valid_from", "_validity.valid_until").drop("_validity")
+
+
+@lru_cache(maxsize=1)
+def _parsed_fields(_gateway: int) -> list[Column]:
+    """The field expressions over `_upper`; built once per JVM, as they never change."""
     text = F.col("_upper")
-    fields = upper.select(
-        *keep,
+    return [
         extract_exclusions_terms(text).alias("exclusions"),
         extract_requirements_terms(text).alias("requirements"),
         dates.extract_valid_days(text, "terms").alias("valid_days"),
         money.extract_cap(text, "terms").alias("cap"),
         extract_stackable(text).alias("stackable"),
         dates.validity_from_terms(text).alias("_validity"),
-    )
-    return fields.select("*", "_validity.valid_from", "_validity.valid_until").drop("_validity")
+    ]
 
 
 def listed(joined: Column) -> Column:
