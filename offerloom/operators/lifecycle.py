@@ -317,9 +317,6 @@ def empty_tables(spark: SparkSession, schemas: dict[str, StructType]) -> dict[st
     return {name: spark.createDataFrame([], kind) for name, kind in schemas.items()}
 
 
-BUCKETS = 64
-
-
 def write_snapshot(tables: dict[str, DataFrame], root: str, batch_id: int | str) -> None:
     """Write every table under `root/<table>/snapshot=<batch>` and switch the pointer last.
 
@@ -327,13 +324,9 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, batch_id: int | str)
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        target = f"{root}/{name}/snapshot={batch_id}"
-        if name == "offers":
-            # Hash buckets of the offer id: a hot merchant still spreads over all of them.
-            df = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
-            df.write.mode("overwrite").partitionBy("bucket").parquet(target)
-        else:
-            df.write.mode("overwrite").parquet(target)
+        # Files follow the partitions of the merge (hashed by key, sized by adaptive execution): a hot
+        # merchant is spread, and no task writes more than its own file.
+        df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot={batch_id}")
     # The pointer is a log: one appended line per finished batch, the newest line counts.
     _, seq, _ = _last_pointer(spark, root)
     schemas = {name: df.schema.json() for name, df in tables.items()}

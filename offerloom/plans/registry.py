@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,13 @@ def query(name: str, fixtures: str | None = None, sql: str | None = None) -> Cal
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle(fixtures, sql) if fixtures else sql
         return fn
@@ -41,7 +48,7 @@ def merchants(spark: SparkSession, sf: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for text work on an input of few files; a large input is read as it is split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def raw_terms(spark: SparkSession, sf: str) -> DataFrame:

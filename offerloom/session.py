@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Pages can be large: few rows per Arrow batch keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -120,6 +120,7 @@ def stream_ttl(stream: DataFrame, key: str, ts: str, days: int = 2, delay: str =
     """
     kind = dict(stream.dtypes)[key]
     gap_ms = days * 86_400_000
+    gap_us = gap_ms * 1000
 
     def watch(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def stale(last_us: int) -> pd.DataFrame:
@@ -131,12 +132,20 @@ def stream_ttl(stream: DataFrame, key: str, ts: str, days: int = 2, delay: str =
             state.remove()
             yield stale(last)
             return
-        seen = sorted(int(t.value // 1000) for batch in batches for t in batch[ts])
+        # First and last observation per slot of one gap length: no silence fits inside a slot, so the
+        # gaps between slots are all there are, and memory is bounded by the time span, not by the rows.
+        slots: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            at_us = batch[ts].astype("datetime64[us]").astype("int64")
+            for slot, low, high in at_us.groupby(at_us // gap_us).agg(["min", "max"]).itertuples():
+                old = slots.get(slot, (low, high))
+                slots[slot] = (min(old[0], int(low)), max(old[1], int(high)))
         last = state.get[0] if state.exists else None
-        for at in seen:
-            if last is not None and at - last > gap_ms * 1000:
+        for slot in sorted(slots):
+            low, high = slots[slot]
+            if last is not None and low - last > gap_us:
                 yield stale(last)
-            last = at if last is None else max(last, at)
+            last = high if last is None else max(last, high)
         if last is None:
             return
         state.update((last,))
