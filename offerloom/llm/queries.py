@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from offerloom.llm.simhash import op6_simhash
 from offerloom.llm.suffix_dedup import op5_suffix_dedup
+from offerloom.llm.winnowing import OP10_SQL, op10_winnowing
 
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_simhash": op6_simhash,
+    "op10_winnowing": op10_winnowing,
+}
+ORACLES = {
+    "op10_winnowing": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
