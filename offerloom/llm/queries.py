@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from offerloom.llm.cross_parsing import op3_language_id
 from offerloom.llm.simhash import op6_simhash
+from offerloom.llm.string_kernel import op1_toxicity
 from offerloom.llm.suffix_dedup import op5_suffix_dedup
 from offerloom.llm.winnowing import OP10_SQL, op10_winnowing
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_language_id": op3_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op10_winnowing": op10_winnowing,
