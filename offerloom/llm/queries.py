@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from offerloom.llm.cross_parsing import op3_language_id
+from offerloom.llm.pivot_search import OP4_SQL, op4_pivot_search
 from offerloom.llm.simhash import op6_simhash
 from offerloom.llm.string_kernel import op1_toxicity
 from offerloom.llm.suffix_dedup import op5_suffix_dedup
@@ -11,10 +12,12 @@ from offerloom.llm.winnowing import OP10_SQL, op10_winnowing
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_pivot_search": op4_pivot_search,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op10_winnowing": op10_winnowing,
 }
 ORACLES = {
+    "op4_pivot_search": OP4_SQL,
     "op10_winnowing": OP10_SQL,
 }
