@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder of the session; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder.
+    Only a local session without one (tests) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None:
@@ -32,7 +32,18 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="offerloom-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder; lineage ends there.
+
+    The shuffle files of the steps before are of no more use; a collection on the driver lets Spark's cleaner drop them.
+    """
+    shared_folder(df.sparkSession)
+    out = df.checkpoint()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
