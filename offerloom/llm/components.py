@@ -30,7 +30,7 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends])
 
 
-def _links(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _links(near: Callable[..., np.ndarray], extra: bool):
     """Links of each group of rows (bucket, one, two); the rows of a group follow each other."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -40,7 +40,8 @@ def _links(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         found = []
         for a, b in zip(np.r_[0, cut], np.r_[cut, len(node)], strict=True):
             if b - a > 1:
-                x, y = _forest(near(first[a:b].view(np.uint64), second[a:b].view(np.uint64)))
+                own = (batch.column("extra")[a:b].to_pylist(),) if extra else ()
+                x, y = _forest(near(first[a:b].view(np.uint64), second[a:b].view(np.uint64), *own))
                 found.append(np.stack([node[a:b][x], node[a:b][y]]))
         ends = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         ends = ends[:, ends[0] != ends[1]]
@@ -66,10 +67,11 @@ def _links(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return rows
 
 
-def bucket_links(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def bucket_links(rows: DataFrame, near: Callable[..., np.ndarray], extra: DataFrame | None = None) -> DataFrame:
     """Spanning links (a > b) between near nodes that share a bucket.
 
-    rows: bucket long, node long, s1 long, s2 long. near takes both signature halves of a group and gives its matrix.
+    rows: bucket long, node long, s1 long, s2 long. near takes both signature halves of a group and gives its matrix;
+    extra (node, extra binary) has a third part, which only rows in company carry.
     A bucket of over BLOCK rows is cut into blocks by node, and each pair of blocks is a group of its own, so that no
     task holds a whole bucket and every pair of rows still meets.
     """
@@ -88,8 +90,10 @@ def bucket_links(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.nd
         .withColumn("two", F.greatest("own", "other"))
         .select("bucket", "one", "two", "node", "s1", "s2")
     )
+    if extra is not None:
+        met = met.join(extra, "node").select("bucket", "one", "two", "node", "s1", "s2", "extra")
     sorted_rows = met.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return sorted_rows.mapInArrow(_links(near), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(_links(near, extra is not None), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

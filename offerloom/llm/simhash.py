@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import U64, saved, table
+from offerloom.llm.common import U64, mixed, saved, table
 from offerloom.llm.components import bucket_links, components
 
 BITS = 64
@@ -134,3 +134,77 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SKETCH = 6  # smallest shingle hashes of a text; texts that share two of them are compared
+NEAR_BITS = 28  # of 128; shingle similarity 0.8 is an angle that turns 0.15 of the bits, or 19, give or take 4
+CELLS = 256  # cells of the smallest hashes by which a similarity is estimated, to within about 0.025
+NEAR_SHARE = 0.79  # of cells that agree
+
+
+def _signatures(size: int):
+    """One row for each text: what its words are, two halves of a 128-bit SimHash, and its smallest shingle hashes."""
+
+    @F.pandas_udf("node long, s1 long, s2 long, sketch array<long>, extra binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            raw = (text or "").encode()
+            hashes = np.unique(shingle_hashes(raw, size))
+            node = xxhash.xxh3_64_intdigest(b" ".join(raw.translate(LOWER).split()))
+            halves = fingerprint(hashes), fingerprint(mixed(hashes))
+            cells = np.zeros(CELLS, np.uint8)
+            cell, least = np.unique(hashes >> U64(56), return_index=True)
+            cells[cell.astype(np.int64)] = np.maximum(1, mixed(hashes[least]) & U64(255))
+            sketch = hashes[:SKETCH].view(np.int64)
+            rows.append((node - (1 << 64) if node >> 63 else node, *halves, sketch, cells.tobytes()))
+        return pd.DataFrame(rows, columns=["node", "s1", "s2", "sketch", "extra"])
+
+    return of(F.col("text"))
+
+
+def _near(one: np.ndarray, two: np.ndarray, cells: list[bytes]) -> np.ndarray:
+    """Pairs within NEAR_BITS whose cells agree in NEAR_SHARE of those that either fills."""
+    differ = np.bitwise_count(one[:, None] ^ one[None, :]).astype(np.int16)
+    differ += np.bitwise_count(two[:, None] ^ two[None, :])
+    near = differ <= NEAR_BITS
+    grid = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), CELLS)
+    x, y = np.nonzero(np.triu(near, 1))
+    for at in range(0, len(x), 1 << 14):
+        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+        filled = ((grid[i] | grid[j]) > 0).sum(axis=1)
+        agree = ((grid[i] == grid[j]) & (grid[i] > 0)).sum(axis=1) >= NEAR_SHARE * filled
+        near[i, j] = near[j, i] = agree
+    return near
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
+
+    A group is what links reach. Texts link if their words are the same, or if their SimHashes over sets of `shingle`-word
+    shingles (128 bits) differ in at most NEAR_BITS bits and their smallest hashes agree in as many cells as a similarity
+    of 0.8 gives. Such a radius leaves a ring of segments no selective chain, so the texts to compare are those that share
+    two of their SKETCH smallest shingle hashes, which similar texts do. Null and empty texts are one group; rows without an id stay only where no row of
+    their group has one; of rows that repeat id and text one stays. An empty table gives no rows.
+    """
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    marked = saved(docs.select("doc_id", key.alias("text_key"), _signatures(shingle).alias("s")).select("doc_id", "text_key", "s.*"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = saved(
+        marked.groupBy("node").agg(first, F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("sketch").alias("sketch"), F.min("extra").alias("extra"))
+    )
+    pairs = [(i, j) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
+    # A text of one shingle has that one for its key; those of fewer than SKETCH have no pair for the missing ones.
+    one = F.when(F.size("sketch") == 1, F.xxhash64(F.get("sketch", F.lit(0))))
+    two = [
+        F.when(F.size("sketch") > j, F.xxhash64(F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j)))) for i, j in pairs
+    ]
+    kept_keys = F.array_compact(F.array(one, *two))
+    rows = classes.where(F.size("sketch") > 0).select(F.explode(kept_keys).alias("bucket"), "node", "s1", "s2")
+    roots = components(bucket_links(rows, _near, classes.select("node", "extra")))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = saved(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), key.alias("key"))
+    stay = whole.join(kept, whole["id"].eqNullSafe(kept["doc_id"]) & (whole["key"] == kept["text_key"]), "left_semi")
+    place = F.expr("row_number() over (partition by id, key order by hash(doc))")
+    return stay.withColumn("place", place).where("place = 1").select("doc.*")
