@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -15,7 +16,13 @@ HELD_OUT_FOLDS = 5
 U64 = np.uint64
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts can be long, so Python workers get them in batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)) or BATCH_ROWS)))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,15 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder; lineage ends there.
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle and checkpoint files of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    The shuffle files of the steps before are of no more use; a collection on the driver lets Spark's cleaner drop them.
-    """
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder; lineage ends there, and files of finished steps can go."""
     shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession._jvm.System.gc()
-    return out
+    release(df.sparkSession)
+    return df.checkpoint()
 
 
 def held_out(doc_id: Column) -> Column:

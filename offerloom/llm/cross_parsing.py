@@ -19,7 +19,7 @@ from offerloom.llm.common import held_out, table
 SAMPLE_DOCS = 64  # texts per language that are learnt from
 SAMPLE_CHARS = 320  # characters of each, so that an automaton has at most 2 * 64 * 320 states
 BLOCK = 256
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 19
 UNDETERMINED = "und"
 PAD, SPACE, UNKNOWN, FIRST = 0, 1, 2, 3
 

@@ -32,7 +32,7 @@ DECAY = 0.5
 SYMBOLS = 64
 EDGE = 0
 STEPS = [(1, 1, 1.0), (1, 2, DECAY), (2, 1, DECAY), (1, 3, DECAY**2), (2, 2, DECAY**2), (3, 1, DECAY**2)]
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import U64, longs, mixed, pieces, saved, table, utf8_bytes
+from offerloom.llm.common import U64, longs, mixed, pieces, release, saved, table, utf8_bytes
 
 LENGTH = 200
 GRAM = 8
 CORE = 32
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 POSITION_BITS = 24
 RUN_BITS = 24  # a run is packed as first start << RUN_BITS | number of windows
 RUN_MASK = (1 << RUN_BITS) - 1
@@ -254,7 +254,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         )
         twice = saved(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
         found = found.unionByName(windows.join(twice, ["w1", "w2"]).select("text_key", "run"))
-    return saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
+    runs = saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
+    del found, small, live, groups, whole, closer, alone
+    release(docs.sparkSession)
+    return runs
 
 
 def _marked(text: str | None, runs, length: int) -> tuple[bytes, np.ndarray]:

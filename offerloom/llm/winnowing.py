@@ -23,7 +23,7 @@ from offerloom.llm.common import U64, mixed, pieces, saved, table, utf8_bytes
 WINDOW = 10
 GRAM = 5
 SLOTS = 1 << 22
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 POSITION_BITS = 24
 WORD_BYTE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
