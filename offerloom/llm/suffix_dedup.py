@@ -37,7 +37,9 @@ PIECE_BYTES = 1 << 18
 POSITION_BITS = 24
 RUN_BITS = 24  # a run is packed as first start << RUN_BITS | number of windows
 RUN_MASK = (1 << RUN_BITS) - 1
-BUCKET_ROWS = 512  # larger buckets are counted by Spark, window by window
+BUCKET_ROWS = 2048  # larger buckets are dealt over SALTS tasks, and Spark counts the windows that are left
+SALTS = 16
+BATCH_RUNS = 8192
 
 
 def _names(data: np.ndarray, top: int) -> np.ndarray:
@@ -165,23 +167,33 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
     return row, (run >> RUN_BITS)[row] + step, _span_names(ids, where, full, 2), _span_names(ids, where, full, 3)
 
 
+def _repeated(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are there twice, and which is the first of its name."""
+    order = np.lexsort((two, one))
+    same = (np.diff(one[order].view(np.int64)) == 0) & (np.diff(two[order].view(np.int64)) == 0)
+    twice, first = np.zeros(len(one), bool), np.ones(len(one), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    first[order[1:][same]] = False
+    return twice, first
+
+
+def _joined(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and packed run of consecutive windows."""
+    new = np.r_[True, (np.diff(row) != 0) | (np.diff(start) != 1)][: len(row)]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(row)])
+    return row[first], start[first] << RUN_BITS | size
+
+
 def _repeated_in_buckets(length: int):
     """Windows that are there twice. The rows of a bucket come one after another, so the last one waits for more."""
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, one, two = _windows(batch, length)
-        order = np.lexsort((two, one))
-        same = (np.diff(one[order].view(np.int64)) == 0) & (np.diff(two[order].view(np.int64)) == 0)
-        twice = np.zeros(len(row), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        # Consecutive windows become one run again.
-        row, start = row[twice], start[twice]
-        new = np.r_[True, (np.diff(row) != 0) | (np.diff(start) != 1)][: len(row)]
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(row)])
+        twice, _ = _repeated(one, two)
+        row, run = _joined(row[twice], start[twice])
         return pa.RecordBatch.from_arrays(
-            [batch.column("text_key").take(pa.array(row[first])), longs(start[first] << RUN_BITS | size)],
-            names=["text_key", "run"],
+            [batch.column("text_key").take(pa.array(row)), longs(run)], names=["text_key", "run"]
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +215,32 @@ def _repeated_in_buckets(length: int):
 
 
 def _window_rows(length: int):
-    """A row for each window, for buckets that are too large for one task."""
+    """For buckets that are too large for one task: runs that repeat within a batch (without names), and one row for each
+    window name of the batch; `open` names have not been seen twice yet."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, one, two = _windows(batch, length)
+        twice, first = _repeated(one, two)
+        found, run = _joined(row[twice], start[twice])
+        keys = batch.column("text_key").take(pa.array(np.r_[found, row[first]]))
+        none, some = len(found), int(first.sum())
+        names = [pa.array(np.r_[np.zeros(none, np.int64), x[first].view(np.int64)], mask=np.arange(none + some) < none) for x in (one, two)]
+        runs = np.r_[run, start[first] << RUN_BITS | 1]
+        return pa.RecordBatch.from_arrays(
+            [keys, longs(runs), *names, pa.array(np.r_[np.zeros(none, bool), ~twice[first]])],
+            names=["text_key", "run", "w1", "w2", "open"],
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            row, start, one, two = _windows(batch, length)
-            keys = batch.column("text_key").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [keys, longs(start << RUN_BITS | 1), longs(one), longs(two)], names=["text_key", "run", "w1", "w2"]
-            )
+            waiting.append(batch)
+            size += len(batch)
+            if size >= BATCH_RUNS:
+                yield of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+                waiting, size = [], 0
+        if size:
+            yield of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
 
     return rows
 
@@ -249,11 +278,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = found.unionByName(small.mapInArrow(_repeated_in_buckets(length), "text_key binary, run long"))
     large = f"members > {BUCKET_ROWS}"
     if not closer.where(large).isEmpty():
+        spread = contexts(large).repartition("core", F.pmod(F.xxhash64("text_key", "run"), F.lit(SALTS)))
         windows = saved(
-            contexts(large).mapInArrow(_window_rows(length), "text_key binary, run long, w1 long, w2 long")
+            spread.mapInArrow(_window_rows(length), "text_key binary, run long, w1 long, w2 long, open boolean")
         )
-        twice = saved(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
-        found = found.unionByName(windows.join(twice, ["w1", "w2"]).select("text_key", "run"))
+        found = found.unionByName(windows.where("w1 is null").select("text_key", "run"))
+        twice = saved(windows.where("w1 is not null").groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
+        found = found.unionByName(windows.where("open").join(twice, ["w1", "w2"]).select("text_key", "run"))
     runs = saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
     del found, small, live, groups, whole, closer, alone
     release(docs.sparkSession)
