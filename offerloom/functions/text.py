@@ -277,7 +277,8 @@ SQL_FUNCTIONS = {
         "STRING",
         "CASE WHEN lower(x) LIKE '%cuota%' OR lower(x) LIKE '%csi%' THEN 'cuotas' "
         "WHEN lower(x) LIKE '%cashback%' OR lower(x) LIKE '%reintegro%' THEN 'cashback' "
-        "WHEN x LIKE '%\\%%' THEN 'percent' ELSE 'other' END",
+        "WHEN contains(x, '%') THEN 'percent' WHEN contains(lower(x), 'x2') OR contains(lower(x), 'x3') "
+        "OR contains(lower(x), '2x1') THEN 'bundle' ELSE 'other' END",
     ),
     "offer_weekday": (
         "d DATE",

@@ -75,7 +75,7 @@ def legal_spans(pages: DataFrame, text: Column, keep: list[str]) -> DataFrame:
 
     def legal(b: Column) -> tuple[Column, Column]:
         """Legal text of a block, and how far from its start the next card text may begin."""
-        hit = F.regexp_instr(F.substring(b, 151, 1_000_000), F.lit(rx(CARD_MARKERS, ci=False)))
+        hit = F.regexp_instr(F.substring(b, F.lit(151), F.length(b)), F.lit(rx(CARD_MARKERS, ci=False)))
         cut = strip(F.substring(b, 1, 2500))
         return (
             F.when(hit > 0, strip(F.substring(b, F.lit(1), hit + 149))).otherwise(cut),
@@ -200,7 +200,7 @@ class BlockRule:
     attribute: tuple[str, str] | None = None
     text_pattern: str = ""
     min_chars: int = 0
-    max_chars: int = 1_000_000
+    max_chars: int | None = None
     climb: int = 0
     outermost: bool = False
     fields: tuple[Field, ...] = field(default_factory=tuple)
@@ -278,11 +278,12 @@ def _blocks(html: str, rule: BlockRule) -> Iterator[tuple[int, str, str]]:
         if rule.text_pattern and not re.search(rule.text_pattern, text, re.I):
             continue
         for _ in range(rule.climb):
-            if node.parent is None or not node.parent.tag or len(node.parent.text()) >= rule.max_chars:
+            if node.parent is None or not node.parent.tag or (rule.max_chars is not None and len(node.parent.text()) >= rule.max_chars):
                 break
             node = node.parent
             text = node.text()
-        if not rule.min_chars <= len(text) <= rule.max_chars or id(node) in seen:
+        too_long = rule.max_chars is not None and len(text) > rule.max_chars
+        if len(text) < rule.min_chars or too_long or id(node) in seen:
             continue
         ancestor = node.parent
         while rule.outermost and ancestor is not None and id(ancestor) not in seen:

@@ -45,7 +45,7 @@ def dedup_keep_richest(offers: DataFrame, scope: list[str] | None = None, source
         **{s: F.col(s) for s in scope},
         "entity": or_blank(entity()),
         "discount": discount,
-        "days": F.substring(days if source_variant else F.trim(days), 1, 40),
+        "days": days if source_variant else F.trim(days),
         "online": has_online(strict=source_variant),
     }
     order = [-F.length(or_blank(F.col("terms_raw"))), F.col("pos")]

@@ -202,7 +202,7 @@ def deactivate_all(offers: DataFrame, merchants: DataFrame) -> DataFrame:
 def deactivate_missing(offers: DataFrame, crawl: DataFrame) -> DataFrame:
     """Deactivate active offers of crawled merchants that the crawl no longer shows."""
     keys = crawl.select(
-        "merchant_id", F.substring("title", 1, 200).alias("title"), or_blank(F.col("bank")).alias("_bank")
+        "merchant_id", "title", or_blank(F.col("bank")).alias("_bank")
     ).distinct()
     seen = keys.withColumn("_seen", F.lit(True))
     crawled = crawl.select("merchant_id").distinct().withColumn("_crawled", F.lit(True))

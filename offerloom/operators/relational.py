@@ -157,10 +157,10 @@ def history_with_merchant(history: DataFrame, merchants: DataFrame) -> DataFrame
 def missing_from_crawl(offers: DataFrame, crawl: DataFrame) -> DataFrame:
     """Active offers of crawled merchants whose key is not in the crawl.
 
-    Keys compare the stored form: title cut to 200 characters, missing bank as ''. An empty crawl names
+    Keys compare the stored form: missing bank as ''. An empty crawl names
     no merchant and so misses nothing.
     """
-    keys = crawl.select("merchant_id", F.substring("title", 1, 200).alias("title"), or_blank(F.col("bank")).alias("bank"))
+    keys = crawl.select("merchant_id", "title", or_blank(F.col("bank")).alias("bank"))
     crawled = keys.select("merchant_id").distinct()
     stored = offers.filter(filters.is_active()).withColumn("bank", or_blank(F.col("bank")))
     return stored.join(crawled, "merchant_id", "left_semi").join(

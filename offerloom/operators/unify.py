@@ -28,7 +28,6 @@ ALIASES = {
     "plazo_acreditacion": "credit_delay",
     "mes": "month",
 }
-TITLE_CHARS = 200
 
 
 def _merge_aliases(df: DataFrame) -> DataFrame:
@@ -52,7 +51,7 @@ def _as_list(df: DataFrame, name: str) -> Column:
 
 
 def unify_offer(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Common schema: aliases merged, blanks filled, titles cut, dates typed, lists as arrays."""
+    """Common schema: aliases merged, blanks filled, dates typed, lists as arrays."""
     df = _merge_aliases(df)
     have = dict(df.dtypes)
     out = []
@@ -65,7 +64,7 @@ def unify_offer(df: DataFrame, source: str | None = None) -> DataFrame:
         elif name not in have:
             value = F.lit("") if field.dataType.simpleString() == "string" and name not in ("id", "merchant_id") else F.lit(None)
         elif name == "title":
-            value = F.substring(or_blank(F.col(name)), 1, TITLE_CHARS)
+            value = or_blank(F.col(name))
         elif name == "stackable":
             value = terms.normalize_flag(F.col(name))
         elif name in ("valid_from", "valid_until"):
@@ -85,10 +84,10 @@ def unify_offer(df: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def offer_key() -> list[Column]:
-    """Natural key of a stored offer: merchant, cut title, bank with missing as ''."""
+    """Natural key of a stored offer: merchant, title, bank with missing as ''."""
     return [
         F.col("merchant_id"),
-        F.substring(or_blank(F.col("title")), 1, TITLE_CHARS),
+        or_blank(F.col("title")),
         or_blank(F.col("bank")),
     ]
 

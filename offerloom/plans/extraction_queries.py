@@ -1247,7 +1247,7 @@ def _(s, sf):
 @query(
     "p4_unify_offer",
     "fx_promos",
-    """select id, left(title, 200) as title, coalesce(store_types, '') as store_types, concat('$', id) as min_purchase, coalesce(wallet, '') as wallet,
+    """select id, title, coalesce(store_types, '') as store_types, concat('$', id) as min_purchase, coalesce(wallet, '') as wallet,
     cast(valid_from as varchar) as valid_from, concat(bank, '|b') as exclusions, id % 2 = 0 as stackable from fx_promos""",
 )
 def _(s, sf):

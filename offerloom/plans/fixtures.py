@@ -21,9 +21,8 @@ select s_suppkey as id, s_name as name, concat('http://m', cast(s_suppkey as var
 from @supplier@
 """
 
-# The hints name relations of a proven size: 25 nations, and the 200 parts the filter leaves (unique key).
 PROMOS = """
-select /*+ broadcast(few_nations, few_parts) */ o_orderkey as id, o_custkey % 100 as supermarket_id,
+select o_orderkey as id, o_custkey % 100 as supermarket_id,
   concat(p_name, ' ', o_orderpriority) as title,
   case when o_orderkey % 5 = 0 then concat(cast(1 + o_orderkey % 12 as varchar(10)), ' cuotas sin interes')
        when o_orderkey % 7 = 0 then concat(cast(5 * (1 + o_orderkey % 8) as varchar(10)), '% reintegro')
@@ -39,9 +38,9 @@ select /*+ broadcast(few_nations, few_parts) */ o_orderkey as id, o_custkey % 10
   case when o_orderkey % 10 = 0 then null else cast(o_orderdate + interval '60' day as date) end as valid_until,
   case when o_orderstatus = 'F' then 0 else 1 end as is_active,
   o_orderdate as scraped_at
-from @orders@ join @customer@ on o_custkey = c_custkey join @nation@ as few_nations on c_nationkey = n_nationkey
-  join @part@ as few_parts on p_partkey = o_orderkey % 200
-where p_partkey between 0 and 199
+from (select *, o_orderkey % (select count(*) from @part@) as part_number from @orders@)
+  join @customer@ on o_custkey = c_custkey join @nation@ on c_nationkey = n_nationkey
+  join @part@ on p_partkey = part_number
 """
 
 TERMS = """
@@ -69,9 +68,9 @@ from @events@
 
 METHODS = """
 select c_custkey as user_id, n_name as entity_name, 'bank' as entity_type
-from @customer@ join @nation@ on c_nationkey = n_nationkey where c_custkey < 50
+from @customer@ join @nation@ on c_nationkey = n_nationkey
 union all
-select c_custkey, c_mktsegment, 'wallet' from @customer@ where c_custkey < 50 and c_custkey % 2 = 0
+select c_custkey, c_mktsegment, 'wallet' from @customer@ where c_custkey % 2 = 0
 """
 
 USERS = """

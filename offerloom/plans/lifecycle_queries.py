@@ -19,7 +19,7 @@ from .registry import history, merchants, methods, promos, query, show
 NOW = "1998-06-01 12:00:00"
 ENTITY = "coalesce(nullif(lower(trim(bank)), ''), nullif(lower(trim(wallet)), ''))"
 HAS_ONLINE = "(contains(lower(coalesce(store_types, '')), '.com') or contains(lower(coalesce(store_types, '')), 'online'))"
-RICH_KEY = f"{ENTITY}, lower(trim(coalesce(discount, ''))), left(lower(trim(coalesce(valid_days, ''))), 40), {HAS_ONLINE}"
+RICH_KEY = f"{ENTITY}, lower(trim(coalesce(discount, ''))), lower(trim(coalesce(valid_days, ''))), {HAS_ONLINE}"
 
 
 def crawl(spark: SparkSession, sf: str, batch: int | None = None) -> DataFrame:
@@ -110,8 +110,8 @@ def _(s, sf):
 
 
 KEY = "merchant_id, title, bank"
-STORED = """select supermarket_id as merchant_id, left(title, 200) as title, coalesce(bank, '') as bank, coalesce(wallet, '') as wallet, discount, valid_days, store_types, terms_raw, pos
-  from ({source}) qualify row_number() over (partition by supermarket_id, left(title, 200), coalesce(bank, '') order by pos desc) = 1"""
+STORED = """select supermarket_id as merchant_id, title, coalesce(bank, '') as bank, coalesce(wallet, '') as wallet, discount, valid_days, store_types, terms_raw, pos
+  from ({source}) qualify row_number() over (partition by supermarket_id, title, coalesce(bank, '') order by pos desc) = 1"""
 BATCH_ONE = STORED.format(source=f"select * from ({RICHEST}) where batch = 1")
 BATCH_TWO = STORED.format(source=f"select * from ({RICHEST}) where batch = 2")
 
@@ -266,7 +266,7 @@ def _(s, sf):
     return lifecycle.deactivate_all(p, some).select("id", "is_active")
 
 
-CRAWLED = "select distinct supermarket_id as m, left(title, 200) as t, coalesce(bank, '') as b from fx_crawl where batch = 2"
+CRAWLED = "select distinct supermarket_id as m, title as t, coalesce(bank, '') as b from fx_crawl where batch = 2"
 
 
 @query(

@@ -10,13 +10,13 @@ from ..operators import blocks, dedup, filters, match, relational
 from ..sources import catalog, tables
 from . import sqltext as q
 from .extraction_queries import HTML_TEXT
-from .registry import base, cards, history, merchants, promos, query, raw_terms, show, spread
+from .registry import base, cards, history, merchants, promos, query, raw_terms, show
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def pages(s, sf):
-    return spread(base(s, sf, "pages"))
+    return base(s, sf, "pages")
 
 
 @query("a1_read_tables", None, " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in TABLES))
@@ -305,7 +305,7 @@ WORD = r"\bthe\b"
     select doc_id, count(*) as n, cast(sum(length(hit)) as bigint) as chars from h group by 1""",
 )
 def _(s, sf):
-    docs = spread(base(s, sf, "documents"))
+    docs = base(s, sf, "documents")
     found = blocks.match_contexts(docs, F.col("text"), ["doc_id"], r"(?-i)ing[^a-z]", 30, 60)
     ok = F.substring("context", F.least(F.col("start"), F.lit(30)) + 1, F.length("hit")) == F.col("hit")
     return found.filter(ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("hit")).alias("chars"))
@@ -389,7 +389,7 @@ def _(s, sf):
 )
 def _(s, sf):
     """Upper-cased documents, so that long runs exist in every language."""
-    docs = spread(base(s, sf, "documents")).select("doc_id", F.upper(F.replace("text", F.lit("ß"), F.lit("SS"))).alias("t"))
+    docs = base(s, sf, "documents").select("doc_id", F.upper(F.replace("text", F.lit("ß"), F.lit("SS"))).alias("t"))
     found = docs.select("doc_id", terms.longest_uppercase_block(F.col("t"), 100).alias("block")).filter(F.col("block") != "")
     return found.select("doc_id", F.length("block").alias("n"), F.md5("block").alias("block"))
 

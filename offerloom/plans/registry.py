@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as terms_fn
+from ..session import tune
 from .fixtures import fixture, oracle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,7 @@ def query(name: str, fixtures: str | None = None, sql: str | None = None) -> Cal
 
         @wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf)
+            return fn(tune(spark), sf)
 
         QUERIES[name] = run
         if sql is not None:
@@ -45,18 +45,12 @@ def merchants(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf, "fx_merchants")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for text work on an input of few files; a large input is read as it is split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def raw_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(fixture(spark, sf, "fx_terms"))
+    return fixture(spark, sf, "fx_terms")
 
 
 def cards(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(fixture(spark, sf, "fx_cards"))
+    return fixture(spark, sf, "fx_cards")
 
 
 def methods(spark: SparkSession, sf: str) -> DataFrame:

@@ -105,7 +105,7 @@ def read_embedded_json(pages: DataFrame, html_col: str = "html", id_col: str = "
     offers = values.select(id_col, text.alias("text")).filter(
         (F.length("text") > 40) & found(F.col("text"), r"\d+\s*%|cuotas?\s*sin\s*inter") & is_offer_text(F.col("text"))
     )
-    return offers.select(id_col, F.substring("text", 1, 3000).alias("text")).distinct()
+    return offers.select(id_col, "text").distinct()
 
 
 def runtime_fields(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -144,7 +144,7 @@ def read_detail_json(details: DataFrame, payload_col: str, id_col: str) -> DataF
         dates.dotnet_date(F.col("e.Beneficio.fecha_hasta")).alias("valid_until"),
         terms.exclusion_lines(lines).alias("exclusions"),
         terms.requirement_lines(lines).alias("requirements"),
-        squeeze(F.substring(or_blank(F.col("e.Beneficio.legal")), 1, 800)).alias("terms_raw"),
+        squeeze(or_blank(F.col("e.Beneficio.legal"))).alias("terms_raw"),
         blank_to_null(F.array_join(categories, ", ")).alias("store_types"),
         F.get(links, F.lit(0)).alias("url"),
     )
