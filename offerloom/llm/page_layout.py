@@ -205,7 +205,10 @@ def lay_out(top: Node, depth: int = 0) -> list[str]:
     pre = 1 if top.tag in ("pre", "xmp") else 0
     while todo:
         node, parent, leaving = todo.pop()
+        closed = parent is not None and parent.tag == "details" and "open" not in parent.attrs
         if isinstance(node, str):
+            if closed:
+                continue
             if pre:
                 rows = node.replace("\r\n", "\n").split("\n")
                 for k, row in enumerate(rows):
@@ -235,7 +238,7 @@ def lay_out(top: Node, depth: int = 0) -> list[str]:
             continue
         if not visible(node):
             continue
-        if parent is not None and parent.tag == "details" and "open" not in parent.attrs and tag != "summary":
+        if closed and tag != "summary":
             continue
         if tag == "br":
             if not out.line and out.lines and not out.gap:

@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import held_out, table
 
-LANDMARKS = 192
+LANDMARKS = 256
 SAMPLE = {1: 1500, 0: 2000}  # labelled texts to learn from, of each label
 SAMPLE_CHARS = 20_000  # longer texts are not learnt from
 NEGATIVES = 15_000
 ROUNDS = 4
 DECAY = 0.5
+PENALTY = 1e-5
 SYMBOLS = 64
 EDGE = 0
 STEPS = [(1, 1, 1.0), (1, 2, DECAY), (2, 1, DECAY), (1, 3, DECAY**2), (2, 2, DECAY**2), (3, 1, DECAY**2)]
@@ -135,11 +136,11 @@ class Machine:
             out[start : start + 2000] /= np.maximum(_norms()[np.minimum(lengths - 1, 255)], 1e-9)[:, None]
         return out @ self.root
 
-    def fit(self, words: list[bytes], labels: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-        """Weight of each subsequence number, and the bias."""
+    def fit(self, words: list[bytes], labels: np.ndarray, mass: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+        """Weight of each subsequence number; both classes count alike in all, and their words by their mass."""
         x = np.c_[self.features(words), np.ones(len(words))]
         y = np.where(labels > 0, 1.0, -1.0)
-        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        share = mass * np.where(y > 0, 0.5 / mass[y > 0].sum(), 0.5 / mass[y < 0].sum())
         ridge = np.full(x.shape[1], penalty)
         ridge[-1] = 1e-9
         beta = np.zeros(x.shape[1])
@@ -152,7 +153,7 @@ class Machine:
             beta = new
         weights = np.zeros(SYMBOLS**3)
         weights[self.numbers] = self.matrix[:-1] @ (self.root @ beta[:-1])
-        return weights, float(beta[-1])
+        return weights
 
 
 def _words(text: str) -> set[bytes]:
@@ -178,14 +179,16 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float, float
     bags = [_words(t) for t in texts]
     if not (y == 1).any() or not (y == 0).any():
         return np.zeros(SYMBOLS**3), 0.0, 6.0 if (y == 1).any() else -6.0
-    toxic = [sorted(b) for b, label in zip(bags, y, strict=True) if label == 1 and b]
     clean = sorted({w for b, label in zip(bags, y, strict=True) if label == 0 for w in b})
     rng = np.random.default_rng(1)
     negatives = [clean[i] for i in sorted(rng.permutation(len(clean))[:NEGATIVES])]
+    # A word that clean texts hold is no insult, so it is no witness either.
     clean_set = set(clean)
-    # A word that clean texts hold is no insult.
-    witnesses = _first_witness([[w for w in b if w not in clean_set] or b for b in toxic], clean)
-    weights, bias = np.zeros(SYMBOLS**3), 0.0
+    toxic = [sorted(b - clean_set) for b, label in zip(bags, y, strict=True) if label == 1 and b - clean_set]
+    if not toxic:
+        return np.zeros(SYMBOLS**3), 0.0, -6.0
+    witnesses = _first_witness(toxic, clean)
+    weights = np.zeros(SYMBOLS**3)
     for turn in range(ROUNDS):
         if turn:
             scored = lambda words: word_scores(
@@ -198,7 +201,8 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float, float
         ranked = sorted(counts.index, key=lambda w: (-counts[w], w))
         step = max(1, len(negatives) // (LANDMARKS // 3))
         machine = Machine([*ranked[: LANDMARKS - LANDMARKS // 3], *negatives[::step][: LANDMARKS // 3]])
-        weights, bias = machine.fit([*ranked, *negatives], np.r_[np.ones(len(ranked)), np.zeros(len(negatives))])
+        mass = np.r_[[counts[w] for w in ranked], np.ones(len(negatives))]
+        weights = machine.fit([*ranked, *negatives], np.r_[np.ones(len(ranked)), np.zeros(len(negatives))], mass)
     best = np.array([word_scores(word_symbols(t), weights).max(initial=-1.0) for t in texts])
     slope, offset = _logistic(best, y)
     return weights, slope, offset
