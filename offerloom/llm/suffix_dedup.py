@@ -12,9 +12,12 @@ Buckets are named by fingerprints, so that no global numbering is needed:
 2. Anchors whose prefix bucket holds one suffix are final; Spark counts buckets with map-side combining.
 3. Buckets that are left are refined by the bucket names at the offsets of the whole run that the anchor owns. Runs
    with a partner are repeated as a whole.
-4. Only runs without a partner, and one member of each other run of their bucket, are refined down to single windows.
+4. Only runs without a partner, and one member of each other run of their bucket, are looked at further: a bucket that
+   fits a task window by window, a larger one by halving. The windows are split by the offset of their anchor, each half
+   gets the name of the bytes that its windows share as its bucket, and steps 2 and 3 are repeated, down to one window.
 
-Names of 128 bits decide (64 bits only select what is looked at further).
+Two names of 64 bits decide, one alone only selects what is looked at further. Both derive from 64-bit names of 32 bytes,
+so two different windows of a bucket pass for equal with a chance of about 2^-64.
 """
 
 from __future__ import annotations
@@ -37,9 +40,7 @@ PIECE_BYTES = 1 << 18
 POSITION_BITS = 24
 RUN_BITS = 24  # a run is packed as first start << RUN_BITS | number of windows
 RUN_MASK = (1 << RUN_BITS) - 1
-BUCKET_ROWS = 2048  # larger buckets are dealt over SALTS tasks, and Spark counts the windows that are left
-SALTS = 16
-BATCH_RUNS = 8192
+BUCKET_ROWS = 2048  # larger buckets are halved
 
 
 def _names(data: np.ndarray, top: int) -> np.ndarray:
@@ -167,14 +168,13 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
     return row, (run >> RUN_BITS)[row] + step, _span_names(ids, where, full, 2), _span_names(ids, where, full, 3)
 
 
-def _repeated(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which names are there twice, and which is the first of its name."""
+def _repeated(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which names are there twice."""
     order = np.lexsort((two, one))
     same = (np.diff(one[order].view(np.int64)) == 0) & (np.diff(two[order].view(np.int64)) == 0)
-    twice, first = np.zeros(len(one), bool), np.ones(len(one), bool)
+    twice = np.zeros(len(one), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    first[order[1:][same]] = False
-    return twice, first
+    return twice
 
 
 def _joined(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def _repeated_in_buckets(length: int):
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, one, two = _windows(batch, length)
-        twice, _ = _repeated(one, two)
+        twice = _repeated(one, two)
         row, run = _joined(row[twice], start[twice])
         return pa.RecordBatch.from_arrays(
             [batch.column("text_key").take(pa.array(row)), longs(run)], names=["text_key", "run"]
@@ -214,33 +214,68 @@ def _repeated_in_buckets(length: int):
     return rows
 
 
-def _window_rows(length: int):
-    """For buckets that are too large for one task: runs that repeat within a batch (without names), and one row for each
-    window name of the batch; `open` names have not been seen twice yet."""
+NODES = "text_key binary, run long, at int, low int, core long, whole long, context binary"
 
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, start, one, two = _windows(batch, length)
-        twice, first = _repeated(one, two)
-        found, run = _joined(row[twice], start[twice])
-        keys = batch.column("text_key").take(pa.array(np.r_[found, row[first]]))
-        none, some = len(found), int(first.sum())
-        names = [pa.array(np.r_[np.zeros(none, np.int64), x[first].view(np.int64)], mask=np.arange(none + some) < none) for x in (one, two)]
-        runs = np.r_[run, start[first] << RUN_BITS | 1]
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with `at`, the offset of the anchor: the first place of the context where the bytes of the bucket are."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        data, starts = _context_bytes(batch)
+        row = np.repeat(np.arange(len(batch)), np.diff(starts))
+        ids = _names(data, CORE)
+        hits = np.flatnonzero(ids == batch.column("core").to_numpy().view(np.uint64)[row[: len(ids)]])
+        _, first = np.unique(row[hits], return_index=True)
+        at = pa.array((hits[first] - starts[:-1]).astype(np.int32))
+        low = pa.array(np.zeros(len(batch), np.int32))
+        columns = [batch.column("text_key"), batch.column("run"), at, low, batch.column("context")]
+        yield pa.RecordBatch.from_arrays(columns, names=["text_key", "run", "at", "low", "context"])
+
+
+def _context_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    contexts = batch.column("context").to_pylist()
+    return np.frombuffer(b"".join(contexts), np.uint8), np.cumsum([0, *map(len, contexts)])
+
+
+def _halves(length: int, width: int):
+    """Each run cut in two: windows whose anchor is `low` to low + width - 1 bytes after their start, and the next `width`.
+
+    `core` names the bytes that all windows of such offsets share, `whole` those under the windows that the run has.
+    """
+
+    def half(batch: pa.RecordBatch, data: np.ndarray, ids: np.ndarray, starts: np.ndarray, upper: bool) -> pa.RecordBatch:
+        run, at = batch.column("run").to_numpy(), batch.column("at").to_numpy().astype(np.int64)
+        low = batch.column("low").to_numpy().astype(np.int64) + (width if upper else 0)
+        high = np.minimum(low + width - 1, length - CORE)
+        least, most = np.maximum(low, at - (run & RUN_MASK) + 1), np.minimum(high, at)
+        own = np.flatnonzero(least <= most)
+        run, at, low, high, least, most = (x[own] for x in (run, at, low, high, least, most))
+        begin, first, size = starts[own], at - most, most - least + 1
+        core = _span_names(ids, begin + at - low, length - (high - low), width) ^ mixed(low.astype(np.uint64), width)
+        whole = _span_names(ids, begin + first, size - 1 + length, width + length) ^ mixed(most.astype(np.uint64))
+        cuts = zip((begin + first).tolist(), (begin + first + size - 1 + length).tolist(), strict=True)
         return pa.RecordBatch.from_arrays(
-            [keys, longs(runs), *names, pa.array(np.r_[np.zeros(none, bool), ~twice[first]])],
-            names=["text_key", "run", "w1", "w2", "open"],
+            [
+                batch.column("text_key").take(pa.array(own)),
+                longs(((run >> RUN_BITS) + first) << RUN_BITS | size),
+                pa.array(most.astype(np.int32)),
+                pa.array(low.astype(np.int32)),
+                longs(core),
+                longs(whole),
+                pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary()),
+            ],
+            names=["text_key", "run", "at", "low", "core", "whole", "context"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
         for batch in batches:
-            waiting.append(batch)
-            size += len(batch)
-            if size >= BATCH_RUNS:
-                yield of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
-                waiting, size = [], 0
-        if size:
-            yield of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+            if not len(batch):
+                continue
+            data, starts = _context_bytes(batch)
+            ids = _names(data, CORE)
+            for upper in (False, True):
+                yield half(batch, data, ids, starts, upper)
 
     return rows
 
@@ -249,6 +284,17 @@ def _text_key():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text_key")
 
 
+def _grouped(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with a partner, which are repeated as a whole; and `member` (text_key, run), one of each group of equal runs in
+    the buckets where others have none, with the number of groups, `members`."""
+    groups = saved(
+        runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "run")).alias("member"))
+    )
+    found = runs.join(saved(groups.where("n > 1").select("core", "whole")), ["core", "whole"]).select("text_key", "run")
+    alone = groups.groupBy("core").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("least = 1")
+    return found, groups.join(saved(alone.where("members > 1").select("core", "members")), "core")
+
+
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """text_key and runs (array of packed window runs) of the texts with repeated windows."""
     texts = docs.select(_text_key(), F.coalesce("text", F.lit("")).alias("text"))
@@ -257,15 +303,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     shared = saved(anchors.groupBy("core").count().where("count > 1").select("core"))
     live = saved(anchors.join(shared, "core"))
-    groups = saved(
-        live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "run")).alias("member"))
-    )
-    # Runs with a partner are repeated as a whole.
-    whole = groups.where("n > 1").select("core", "whole")
-    found = live.join(saved(whole), ["core", "whole"]).select("text_key", "run")
-    # The others are looked at window by window, against one member of each group of their bucket.
-    alone = groups.groupBy("core").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("least = 1")
-    closer = groups.join(saved(alone.where("members > 1").select("core", "members")), "core")
+    found, closer = _grouped(live)
 
     def contexts(which: str) -> DataFrame:
         runs = F.collect_list(F.struct("member.run", "core")).alias("runs")
@@ -274,19 +312,26 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             _contexts(length), "text_key binary, run long, core long, context binary"
         )
 
-    small = contexts(f"members <= {BUCKET_ROWS}").repartition("core").sortWithinPartitions("core")
-    found = found.unionByName(small.mapInArrow(_repeated_in_buckets(length), "text_key binary, run long"))
-    large = f"members > {BUCKET_ROWS}"
+    fits, large = f"members <= {BUCKET_ROWS}", f"members > {BUCKET_ROWS}"
+    small = contexts(fits)
     if not closer.where(large).isEmpty():
-        spread = contexts(large).repartition("core", F.pmod(F.xxhash64("text_key", "run"), F.lit(SALTS)))
-        windows = saved(
-            spread.mapInArrow(_window_rows(length), "text_key binary, run long, w1 long, w2 long, open boolean")
-        )
-        found = found.unionByName(windows.where("w1 is null").select("text_key", "run"))
-        twice = saved(windows.where("w1 is not null").groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
-        found = found.unionByName(windows.where("open").join(twice, ["w1", "w2"]).select("text_key", "run"))
+        nodes = contexts(large).mapInArrow(_anchored, "text_key binary, run long, at int, low int, context binary")
+        width = length - CORE + 1
+        while width > 1:
+            width = -(-width // 2)
+            halves = saved(nodes.mapInArrow(_halves(length, width), NODES))
+            whole, members = _grouped(halves.select("text_key", "run", "core", "whole"))
+            found = found.unionByName(whole)
+            left = members.select("core", "members", "member.*")
+            left = saved(halves.join(left, ["text_key", "run", "core"]))
+            small = small.unionByName(left.where(fits).select("text_key", "run", "core", "context"))
+            nodes = left.where(large).select("text_key", "run", "at", "low", "context")
+            if nodes.isEmpty():
+                break
+    dealt = small.repartition("core").sortWithinPartitions("core")
+    found = found.unionByName(dealt.mapInArrow(_repeated_in_buckets(length), "text_key binary, run long"))
     runs = saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
-    del found, small, live, groups, whole, closer, alone
+    del found, small, dealt, live, closer
     release(docs.sparkSession)
     return runs
 
