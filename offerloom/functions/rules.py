@@ -915,17 +915,20 @@ def best_by_rules(texts: DataFrame, text_col: str, rules: DataFrame, rule_set: s
     """Data-driven form of `classify` for literal rule sets too long for one expression.
 
     Rules are literal substrings here, so the match is an equi join on the leading characters of the
-    pattern; every offset of the text yields one candidate key and `min_by` keeps the first rule.
+    pattern (the whole of a shorter one); every offset of the text yields a candidate key of each size and `min_by`
+    keeps the first rule.
     """
     size = 3
-    chosen = rules.filter((F.col("rule_set") == rule_set) & (F.length("pattern") >= size)).select(
+    chosen = rules.filter((F.col("rule_set") == rule_set) & (F.length("pattern") > 0)).select(
         F.substring("pattern", 1, size).alias("_key"), "pattern", "name", "priority"
     )
     lower = F.lower(or_blank(F.col(text_col)))
     keys = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(lower) - size + 1, F.lit(1))),
-            lambda i: F.substring(lower, i, F.lit(size)),
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(lower), F.lit(1))),
+                lambda i: F.array(*[F.substring(lower, i, F.lit(n)) for n in range(1, size + 1)]),
+            )
         )
     )
     pairs = texts.select("*", lower.alias("_lower"), F.explode(keys).alias("_key")).join(chosen, "_key")

@@ -340,7 +340,9 @@ POINTER = "batch_id string, seq long, schemas map<string,string>"
 def _last_pointer(spark: SparkSession, root: str) -> tuple[str | None, int, dict[str, str]]:
     try:
         rows = spark.read.schema(POINTER).json(f"{root}/_current").orderBy(F.desc("seq")).take(1)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, 0, {}
     return (rows[0]["batch_id"], rows[0]["seq"], rows[0]["schemas"]) if rows else (None, 0, {})
 

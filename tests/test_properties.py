@@ -150,3 +150,19 @@ def test_match_plan_has_no_cross_join(spark, sf):
 def test_dedup_combines_before_the_shuffle(spark, sf):
     text = plan(dedup.dedup_keep_richest(fixture(spark, sf, "fx_crawl").withColumnRenamed("supermarket_id", "merchant_id"), ["merchant_id"]))
     assert "partial_min_by" in text and "Window" not in text
+
+
+def test_short_literal_rules_match(spark):
+    from offerloom.functions.rules import best_by_rules
+
+    rules = spark.createDataFrame(
+        [("r", "mp", "two", 2), ("r", "x", "one", 3), ("r", "banco x", "long", 1), ("s", "mp", "other", 0)],
+        "rule_set string, pattern string, name string, priority int",
+    )
+    texts = spark.createDataFrame([(1, "Paga MP"), (2, "x"), (3, "Banco X mp"), (4, "nada"), (5, None), (6, "")], "id int, t string")
+    got = {r.id: r.name for r in best_by_rules(texts, "t", rules, "r").select("id", F.col("name")).collect()}
+    assert got == {1: "two", 2: "one", 3: "long"}
+
+
+def test_a_missing_pointer_is_an_empty_store(spark, tmp_path):
+    assert lifecycle.current_batch(spark, str(tmp_path / "none")) is None
