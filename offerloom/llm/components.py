@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import saved
 
 BLOCK = 1024
+BLOCK_BYTES = 4 << 20
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +72,14 @@ def bucket_links(rows: DataFrame, near: Callable[..., np.ndarray], extra: DataFr
     """Spanning links (a > b) between near nodes that share a bucket.
 
     rows: bucket long, node long, s1 long, s2 long. near takes both signature halves of a group and gives its matrix;
-    extra (node, extra binary) has a third part, which only rows in company carry.
-    A bucket of over BLOCK rows is cut into blocks by node, and each pair of blocks is a group of its own, so that no
+    extra (node, extra binary) has a third part, which only rows in company carry; rows may say how long it is (bytes).
+    A bucket of over BLOCK rows or BLOCK_BYTES bytes is cut into blocks by node, and each pair of blocks is a group of its own, so that no
     task holds a whole bucket and every pair of rows still meets.
     """
-    counts = saved(rows.groupBy("bucket").count().where("count > 1"))
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    heavy = F.sum("bytes") if "bytes" in rows.columns else F.lit(0)
+    counts = saved(rows.groupBy("bucket").agg(F.count("*").alias("count"), heavy.alias("heavy")).where("count > 1"))
+    cuts = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("heavy") / BLOCK_BYTES))
+    blocks = F.least("count", cuts).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.explode(
         F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
