@@ -74,7 +74,7 @@ def _digits(text: str, words: list[str]) -> int:
 
 
 def _separators(text: str, words: list[str]) -> int:
-    alone = sum(not any(c.isalnum() for c in w) for w in words[:200]) / max(1, len(words[:200]))
+    alone = sum(not w.isalnum() and not any(map(str.isalnum, w)) for w in words) / max(1, len(words))
     return _between(-alone, -0.2, -0.03)
 
 

@@ -8,6 +8,7 @@ import pytest
 from offerloom.llm.common import held_out, table
 from offerloom.llm.cross_parsing import automaton, languages
 from offerloom.llm.string_kernel import toxicity, train, word_scores, word_symbols
+from offerloom.llm import weak_labels
 from offerloom.llm.weak_labels import LABELLERS, estimate, quality
 
 MIDDLE = "/root/testdata/sf0.1"
@@ -99,3 +100,10 @@ def test_quality_of_odd_rows(spark):
     rows = quality(spark.createDataFrame(ODD, SCHEMA)).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
     assert quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_separators_count_over_the_whole_text():
+    prose = "Plain words of a text that goes on. " * 50
+    late, early = prose + "| -- " * 200, "| -- " * 30 + prose * 10
+    vote = lambda t: weak_labels._separators(t, t.split())
+    assert (vote(prose), vote(late), vote(early)) == (weak_labels.GOOD, weak_labels.BAD, weak_labels.GOOD)
