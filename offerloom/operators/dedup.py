@@ -115,62 +115,43 @@ def first_strategy(rows: DataFrame, page: str = "page_id", rank: str = "strategy
     return rows.join(best, [page, rank], "left_semi")
 
 
-def nested_text_dedup(blocks: DataFrame, page: str = "page_id", pos: str = "block_pos", text: str = "text", head: int = 500) -> DataFrame:
-    """Drop a block whose first `head` characters lie inside those of another block of the page.
+def nested_text_dedup(blocks: DataFrame, page: str = "page_id", pos: str = "block_pos", text: str = "text") -> DataFrame:
+    """Drop a block whose text lies inside that of another block of the page.
 
-    A container starts with, or holds further on, the leading characters of the nested block. Blocks are
-    joined on an anchor of the nested block (its first 32 characters, or all of a shorter one) that the
-    container offers at every offset, so only true candidates meet. Equal texts keep the first position.
+    Blocks meet by the hash of an anchor of the nested block (its first 32 characters, or all of a shorter one) that the
+    container offers at some offset; whole texts are compared for these candidates only. Equal texts keep the first
+    position.
     """
-    anchor = 32
-    short = F.substring(F.trim(F.col(text)), 1, head)
-    heads = blocks.select(F.col(page).alias("_page"), F.col(pos).alias("_pos"), short.alias("_head"))
-    # Equal heads: first position only, so that what follows compares distinct texts.
-    heads = heads.groupBy("_page", "_head").agg(F.min("_pos").alias("_pos"))
-    long = heads.filter(F.length("_head") >= anchor)
-    offsets = F.sequence(F.lit(1), F.length("_head") - anchor + 1)
-    offered = long.select(
-        "_page",
-        F.col("_pos").alias("_big"),
-        F.col("_head").alias("_container"),
-        F.explode(F.array_distinct(F.transform(offsets, lambda i: F.substring(F.col("_head"), i, F.lit(anchor))))).alias("_key"),
+    anchor, step = 32, 512
+    whole = blocks.select(F.col(page).alias("_page"), F.col(pos).alias("_pos"), F.trim(F.col(text)).alias("_text"))
+    # Equal texts: first position only, so that what follows compares distinct texts.
+    whole = whole.groupBy("_page", "_text").agg(F.min("_pos").alias("_pos"))
+    filled = whole.filter(F.length("_text") > 0)
+    size = F.least(F.length("_text"), F.lit(anchor))
+    wanted = filled.select("_page", "_pos", size.alias("_n"), F.xxhash64(F.substring(F.col("_text"), F.lit(1), size)).alias("_key"))
+    sizes = wanted.groupBy("_page").agg(F.collect_set("_n").alias("_sizes"))
+    # Texts are cut into overlapping chunks, as finding a character takes time in proportion to its offset.
+    starts = F.sequence(F.lit(1), F.length("_text"), F.lit(step))
+    chunks = F.explode(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(step + anchor - 1)))).alias("_chunk")
+    chunked = filled.join(sizes, "_page").select("_page", F.col("_pos").alias("_big"), "_sizes", chunks)
+    keys = F.transform(
+        "_sizes",
+        lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("_chunk") - n + 1, F.lit(1))),
+            lambda i: F.xxhash64(F.substring(F.col("_chunk"), i, n)),
+        ),
     )
-    wanted = long.select("_page", "_pos", "_head", F.substring("_head", 1, anchor).alias("_key"))
+    offered = chunked.select("_page", "_big", F.explode(F.array_distinct(F.flatten(keys))).alias("_key"))
+    met = wanted.join(offered, ["_page", "_key"]).filter(F.col("_pos") != F.col("_big")).select("_page", "_pos", "_big").distinct()
+    containers = filled.select("_page", F.col("_pos").alias("_big"), F.col("_text").alias("_container"))
     nested = (
-        wanted.join(offered, ["_page", "_key"])
-        .filter((F.col("_pos") != F.col("_big")) & F.col("_container").contains(F.col("_head")))
+        met.join(filled, ["_page", "_pos"])
+        .join(containers, ["_page", "_big"])
+        .filter(F.col("_container").contains(F.col("_text")))
         .select("_page", "_pos")
         .distinct()
     )
-    # Heads shorter than the anchor: their own length is the key length.
-    small = heads.filter(F.length("_head").between(1, anchor - 1)).withColumn("_n", F.length("_head"))
-    sizes = small.groupBy("_page").agg(F.collect_set("_n").alias("_sizes"))
-    pieces = heads.join(sizes, "_page").select(
-        "_page",
-        F.col("_pos").alias("_big"),
-        F.col("_head").alias("_container"),
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "_sizes",
-                        lambda n: F.transform(
-                            F.sequence(F.lit(1), F.greatest(F.length("_head") - n + 1, F.lit(1))),
-                            lambda i: F.substring(F.col("_head"), i, n),
-                        ),
-                    )
-                )
-            )
-        ).alias("_key"),
-    )
-    nested_small = (
-        small.withColumn("_key", F.col("_head"))
-        .join(pieces, ["_page", "_key"])
-        .filter(F.col("_pos") != F.col("_big"))
-        .select("_page", "_pos")
-        .distinct()
-    )
-    kept = heads.select("_page", "_pos").join(nested.unionByName(nested_small), ["_page", "_pos"], "left_anti")
+    kept = whole.select("_page", "_pos").join(nested, ["_page", "_pos"], "left_anti")
     return blocks.join(
         kept.select(F.col("_page").alias(page), F.col("_pos").alias(pos)), [page, pos], "left_semi"
     )

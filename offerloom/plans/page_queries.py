@@ -377,7 +377,8 @@ def _(s, sf):
     raw = pages(s, sf).select("page_id", F.posexplode(ps).alias("i", "p"))
     whole = raw.select("page_id", ((F.col("i") + 1) * 2).alias("block_pos"), F.col("p").alias("text"))
     part = raw.select("page_id", ((F.col("i") + 1) * 2 + 1).alias("block_pos"), F.substring("p", 11, 60).alias("text"))
-    b = whole.unionByName(part).filter(F.trim("text") != "")
+    # The SQL compares heads of 500 characters; the operator compares all that it is given.
+    b = whole.unionByName(part).filter(F.trim("text") != "").withColumn("text", F.substring(F.trim("text"), 1, 500))
     return dedup.nested_text_dedup(b).select("page_id", "block_pos")
 
 

@@ -166,3 +166,10 @@ def test_short_literal_rules_match(spark):
 
 def test_a_missing_pointer_is_an_empty_store(spark, tmp_path):
     assert lifecycle.current_batch(spark, str(tmp_path / "none")) is None
+
+
+def test_nested_blocks_compare_whole_texts(spark):
+    head = "".join(f"palabra{i} " for i in range(150))
+    rows = [(1, 1, head + "uno"), (1, 2, head + "dos"), (1, 3, "antes " + head + "uno y más"), (1, 4, "x" + head[600:1300] + "y"), (1, 5, head[700:1350])]
+    blocks = spark.createDataFrame([*rows, (1, 6, head[:600])], "page_id long, block_pos int, text string")
+    assert {r["block_pos"] for r in dedup.nested_text_dedup(blocks).collect()} == {2, 3, 4}
