@@ -419,7 +419,7 @@ def _(s, sf):
         F.col("id").cast("string").alias("id"), F.col("merchant_id").cast("string").alias("merchant_id"), "title"
     )
     lifecycle.write_snapshot({"offers": filled}, root, 1)
-    lifecycle.write_snapshot({"offers": filled.limit(0)}, root, 2)
+    lifecycle.write_snapshot(lifecycle.empty_tables(s, {"offers": filled.schema}), root, 2)
     left = lifecycle.read_snapshot(s, root, ["offers"])["offers"]
     return left.groupBy("merchant_id").agg(F.count("*").alias("n"))
 

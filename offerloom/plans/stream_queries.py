@@ -28,7 +28,7 @@ def _(s, sf):
     """Offer files ingested by a stream; the store then equals one batch merge of the same offers."""
     root = f"{shared_dir(s)}/ingest-{uuid.uuid4().hex}"
     batch = as_batch(crawl(s, sf, 1))
-    batch.repartition(1).write.parquet(f"{root}/in")
+    batch.repartition("merchant_id").write.parquet(f"{root}/in")
     lifecycle.write_snapshot(start_state(s, sf), f"{root}/store", 0)
     offers = streams.file_stream(s, f"{root}/in", batch.schema)
     streams.stream_crawl_ingest(offers, f"{root}/store", f"{root}/state", NOW)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import dedup, filters, lifecycle, match, ordering, relational
 from offerloom.plans import entry_points as ask
 from offerloom.plans import lifecycle_queries as lq
+from offerloom.plans.all_queries import QUERIES
 from offerloom.plans.fixtures import AS_OF, fixture
 from offerloom.plans.registry import merchants, methods, promos, store_terms
 from offerloom.plans.serving_queries import Q1
@@ -173,3 +174,19 @@ def test_nested_blocks_compare_whole_texts(spark):
     rows = [(1, 1, head + "uno"), (1, 2, head + "dos"), (1, 3, "antes " + head + "uno y más"), (1, 4, "x" + head[600:1300] + "y"), (1, 5, head[700:1350])]
     blocks = spark.createDataFrame([*rows, (1, 6, head[:600])], "page_id long, block_pos int, text string")
     assert {r["block_pos"] for r in dedup.nested_text_dedup(blocks).collect()} == {2, 3, 4}
+
+
+def test_reset_query_writes_the_empty_tables(spark, sf, monkeypatch):
+    made = []
+    empty = lifecycle.empty_tables
+    monkeypatch.setattr(lifecycle, "empty_tables", lambda s, kinds: made.append(set(kinds)) or empty(s, kinds))
+    assert QUERIES["w15_reset"](spark, sf).count() == 0
+    assert made == [{"offers"}]
+
+
+def test_ingested_crawl_is_dealt_by_merchant(spark, sf, monkeypatch):
+    dealt, frame = [], type(spark.range(0))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: dealt.append(by) or repartition(self, *by))
+    assert QUERIES["s1_stream_crawl_ingest"](spark, sf).count() > 0
+    assert ("merchant_id",) in dealt and (1,) not in dealt
