@@ -6,8 +6,8 @@ bits, then some segment starts a chain whose first l segments differ in at most
 they are equal, and of those with a budget below two at most one differs. These equal segments are the bucket key; in a
 bucket, pairs must keep every budget of the chain before their full distance is counted.
 
-Only different fingerprints are compared. Buckets give spanning links, never all pairs; those above a size are cut anew by
-further segments of the chain.
+Only different fingerprints are compared. Buckets give spanning links, never all pairs; those above a size are cut into
+blocks, and each pair of blocks is compared, so the comparisons grow with the square of a bucket of different nodes.
 """
 
 from __future__ import annotations
