@@ -43,7 +43,7 @@ def test_wallet_only_offer_survives_a_second_crawl(spark, sf):
         state = lifecycle.apply_crawl(state, batch, lq.runs_of(batch), lq.NOW)
     got = state["offers"].collect()
     assert len(got) == 2 and all(r["is_active"] for r in got)
-    assert sorted(len(r["title"]) for r in got) == [5, 200]
+    assert sorted(len(r["title"]) for r in got) == [5, 250]
 
 
 def test_missing_titles_and_empty_crawl(spark, sf):
