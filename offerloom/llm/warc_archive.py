@@ -14,13 +14,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import pieces, saved, shared_folder, table
+from offerloom.llm.common import pieces, shared_folder, table
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 SKIPPABLE_FILLER = 0x184D2A50
@@ -107,31 +106,24 @@ def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         rest = rest[need:]
 
 
-def _payload_digest():
-    @F.pandas_udf("string")
-    def of(html: pd.Series) -> pd.Series:
-        return pd.Series([digest((h or "").encode()) for h in html], dtype=object)
+def _archive(dictionary: bytes, least: int, most_lines: int):
+    """Lines of archive files: a dictionary frame, then frames of records, each line closed by a filler frame.
 
-    return of(F.col("html"))
-
-
-def _archive(dictionary: bytes, least: int):
-    """Lines of an archive file: the dictionary frame, then frames of records, each line closed by a filler frame."""
+    Every most_lines lines a new file begins, with its own dictionary frame.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        line = [_skippable(SKIPPABLE_DICTIONARY, dictionary)]
-        for batch in pieces(batches, "html", LINE_BYTES):
+        for number, batch in enumerate(pieces(batches, "html", LINE_BYTES)):
+            line = [] if number % most_lines else [_skippable(SKIPPABLE_DICTIONARY, dictionary)]
             for row in batch.to_pylist():
                 payload = (row["html"] or "").encode()
                 first = row["first"]
                 revisit = first is not None and row["page_id"] != first and len(payload) >= least
-                line.append(
-                    packer.compress(record(row["page_id"], row["url"], payload, row["sha"], first if revisit else None))
-                )
+                sha = base64.b32encode(bytes.fromhex(row["sha"])).decode()
+                line.append(packer.compress(record(row["page_id"], row["url"], payload, sha, first if revisit else None)))
             line.append(SKIPPABLE_FILLER.to_bytes(4, "little") + (1).to_bytes(4, "little"))
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(line)], pa.binary())], names=["line"])
-            line = []
 
     return rows
 
@@ -143,26 +135,28 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> N
     at least `least` bytes the one with the smallest page_id is the response, and so are rows that repeat its id; the
     others revisit it. Rows without an id revisit it too, or are responses if no row with that payload has an id.
     """
-    rows = pages.select("page_id", "url", "html", _payload_digest().alias("sha"))
-    size = F.coalesce(F.octet_length("html"), F.lit(0))
-    groups = saved(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.sum(size).alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("sha"))
+    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    count = pages.where("html is not null").count()
+    # About twice as many as needed pass the threshold, so few rows are sorted and none of the others' text is.
+    share = min(1.0, 2 * SAMPLE_ROWS / max(1, count))
     drawn = (
         pages.where("html is not null")
-        .select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("part"))
-        .orderBy(F.xxhash64("page_id"), "page_id")
+        .select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("part"))
+        .withColumn("draw", F.xxhash64("page_id", "url"))
+        .where(F.col("draw") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+        .orderBy("draw", "page_id")
         .limit(SAMPLE_ROWS)
         .collect()
     )
     dictionary = train_dictionary([r["part"].encode() for r in drawn if r["part"]])
-    named = rows.join(groups, "sha")
-    files = max(1, -(-total // FILE_BYTES))
-    lines = (
-        named.select("page_id", "url", "html", "sha", "first")
-        .repartition(files, F.xxhash64("page_id", "url"))
-        .mapInArrow(_archive(dictionary, least), "line binary")
-    )
-    lines.select(F.col("line").cast("string").alias("value")).write.mode("errorifexists").text(path)
+    # The only shuffle of the pages; a payload that very many pages share is split by the skewed join.
+    lines = rows.join(first, "sha").select("page_id", "url", "html", "sha", "first")
+    most_lines = max(1, FILE_BYTES // LINE_BYTES)
+    lines = lines.mapInArrow(_archive(dictionary, least, most_lines), "line binary")
+    lines.select(F.col("line").cast("string").alias("value")).write.mode("errorifexists").option(
+        "maxRecordsPerFile", most_lines
+    ).text(path)
 
 
 RECORD_SCHEMA = pa.schema(
