@@ -214,10 +214,13 @@ def _linked(one: np.ndarray, two: np.ndarray, raws: list[bytes]) -> np.ndarray:
     sets = [np.frombuffer(raw, np.uint64) for raw in raws]
     x, y = np.nonzero(np.triu(_alike(one, two, np.stack([_cells(s) for s in sets])), 1))
     near, label = np.zeros((len(sets), len(sets)), bool), np.arange(len(sets))
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        if label[i] != label[j] and similar(sets[i], sets[j]):
-            near[i, j] = near[j, i] = True
-            label[label == label[j]] = label[i]
+    for at in range(0, len(x), 1 << 12):
+        i, j = x[at : at + (1 << 12)], y[at : at + (1 << 12)]
+        apart = label[i] != label[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if label[a] != label[b] and similar(sets[a], sets[b]):
+                near[a, b] = near[b, a] = True
+                label[label == label[b]] = label[a]
     return near
 
 
