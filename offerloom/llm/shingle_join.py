@@ -25,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import U64, mixed, pieces, saved, table
 from offerloom.llm.components import components
-from offerloom.llm.simhash import shingle_hashes
+from offerloom.llm.simhash import LOWER
 
 SHINGLE = 4
 LEAST = 85  # hundredths of the union that linked sets share
-GROUPS = 32  # coordinates of a point
+GROUPS = 32  # coordinates of a box, and of the point of a small set
+IN_A_GROUP = 16  # shingles at most, roughly, before a point has more coordinates
+RECENT = 200_000  # sets a task remembers, not to list the keys of a copy again
 FEW = 16  # sets of a node that are compared as pairs
 LEAF = 256  # sets of a leaf
 LEAF_BYTES = 1 << 20
@@ -44,6 +45,20 @@ FANOUT = 32  # leaves of a branch
 TEXT_BYTES = 4 << 20  # of the texts a worker has at hand at once, unless one text is longer
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of the different shingles of a text, sorted: word hashes, mixed along each run of `size` words."""
+    words = (text or "").encode().translate(LOWER).split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    runs = len(words) - size + 1
+    if runs <= 0:
+        # The whole sequence; its length keeps it apart from runs of `size` words.
+        return mixed(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64), len(words)) if words else hashes
+    out = mixed(hashes[:runs])
+    for k in range(1, size):
+        out = mixed(out + hashes[k : k + runs], k)
+    return np.unique(out)
+
+
 def size_classes(least: int, largest: int = 1 << 40) -> list[int]:
     """The smallest size of each class; a set links only into its own class and the ones beside it."""
     starts = [1]
@@ -66,12 +81,36 @@ def part_keys(hashes: np.ndarray, number: int, parts: int) -> np.ndarray:
     return mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ place)
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(hashes: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """Shingles in each group. Groups are a power of two, more for larger sets, told by the low bits of a hash."""
+    if groups is None:
+        groups = GROUPS
+        while groups * IN_A_GROUP < len(hashes):
+            groups *= 2
+    return np.bincount((hashes & U64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def packed_point(counts: np.ndarray) -> bytes:
+    """The counts in a byte each, or in eight where one does not fit; the first byte tells which."""
+    small = not len(counts) or counts.max() < 256
+    return (b"1" if small else b"8") + counts.astype(np.uint8 if small else np.int64).tobytes()
+
+
+def unpacked_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[:1] == b"1" else np.int64, offset=1).astype(np.int64)
+
+
+def overlap_bound(one: np.ndarray, two: np.ndarray) -> int:
+    """Sum of the smaller coordinates, by the groups of the point that has fewer."""
+    groups = min(len(one), len(two))
+    return int(np.minimum(one.reshape(-1, groups).sum(axis=0), two.reshape(-1, groups).sum(axis=0)).sum())
 
 
 def _marks(size: int, least: int):
-    """node (a name of the set; null if empty), its size and point, and its keys in its own class and the one below."""
+    """node (a name of the set; null if empty), its size and point, and its keys in its own class and the one below.
+
+    The keys of a set that the task has just listed are left out.
+    """
     starts = size_classes(least)
 
     def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -79,20 +118,25 @@ def _marks(size: int, least: int):
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).view(np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[int] = set()
         for batch in pieces(batches, "text", TEXT_BYTES):
             nodes, sizes, points, own, lower = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                hashes = np.unique(shingle_hashes((text or "").encode(), size))
+                hashes = shingle_set(text, size)
                 keys = [np.zeros(0, np.uint64)] * 2
-                if len(hashes):
+                raw = hashes.tobytes()
+                node = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)) if raw else None
+                if node is not None and node not in recent:
                     number = bisect_right(starts, len(hashes)) - 1
                     keys[0] = part_keys(hashes, number, parts_of(starts, least, number))
                     if number:
                         keys[1] = part_keys(hashes, number - 1, parts_of(starts, least, number - 1))
-                raw = hashes.tobytes()
-                nodes.append(int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)) if raw else None)
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.add(node)
+                nodes.append(node)
                 sizes.append(len(hashes))
-                points.append(point(hashes).tobytes())
+                points.append(packed_point(point(hashes)))
                 own.append(keys[0])
                 lower.append(keys[1])
             if nodes:
@@ -115,7 +159,7 @@ def _marks(size: int, least: int):
 def _sets(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", TEXT_BYTES):
-            raw = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in batch.column("text").to_pylist()]
+            raw = [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(raw, pa.binary())], names=["node", "set"])
 
     return rows
@@ -134,17 +178,36 @@ def linked(one: np.ndarray, two: np.ndarray, least: int) -> bool:
     return 100 * shared >= least * (len(one) + len(two) - shared)
 
 
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (bucket, node) rows, each once, without buckets of a single node; the ends of a partition stay in any case."""
+    pending: list[pa.RecordBatch] = []
+    first, joined = None, False
+    for batch in batches:
+        merged = pa.Table.from_batches([*pending, batch]).combine_chunks().to_batches()
+        if not merged:
+            continue
+        rows = merged[0]
+        bucket, node = (rows.column(c).to_numpy() for c in ("bucket", "node"))
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]
+        rows, bucket = rows.filter(pa.array(new)), bucket[new]
+        first = bucket[0] if first is None else first
+        alike = bucket[1:] == bucket[:-1]
+        after = np.r_[joined, alike]
+        yield rows.slice(0, len(rows) - 1).filter(pa.array(after[:-1] | alike | (bucket[:-1] == first)))
+        pending, joined = [rows.slice(len(rows) - 1)], bool(after[-1])
+    yield from pending
+
+
 def _bounded(least: int):
     """Pairs whose points allow a link."""
 
-    def points(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = np.minimum(points(batch.column("p1")), points(batch.column("p2"))).sum(axis=1)
-            sizes = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            fits = pa.array(may_link(shared, sizes, least))
+            points = zip(batch.column("p1").to_pylist(), batch.column("p2").to_pylist(), strict=True)
+            shared = np.array([overlap_bound(unpacked_point(x), unpacked_point(y)) for x, y in points], np.int64)
+            one, two = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
+            fits = may_link(shared, one + two, least) & (100 * np.minimum(one, two) >= least * np.maximum(one, two))
+            fits = pa.array(fits)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(fits) for c in ("a", "b")], names=["a", "b"])
 
     return rows
@@ -185,7 +248,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     heavy = 0
 
     def packed() -> pa.RecordBatch:
-        points = np.frombuffer(b"".join(e["point"] for e in waiting), np.int32).reshape(-1, GROUPS)
+        points = np.stack([unpacked_point(e["point"]).reshape(-1, GROUPS).sum(axis=0) for e in waiting])
         leaf = {
             "bucket": waiting[0]["bucket"],
             "smallest": min(e["size"] for e in waiting),
@@ -213,7 +276,8 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spanning(roots: np.ndarray, sets: list[np.ndarray], first: int, least: int) -> list[tuple[int, int]]:
     """Positions of sets that link and join components: between the first sets and the others, or, without others, among all."""
-    points = np.stack([point(s) for s in sets])
+    groups = min(len(point(s)) for s in sets)
+    points = np.stack([point(s, groups) for s in sets])
     sizes = np.array([len(s) for s in sets])
     _, label = np.unique(roots, return_inverse=True)
     alone = first == len(sets)
@@ -288,56 +352,66 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAS
     of none but such rows has no component_id. Rows that repeat an id are documents of their own. Other columns than doc_id
     and text are ignored; an empty table gives no rows. Texts are read whole, however long.
     """
-    given = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), "text"
-    )
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
     marked = given.mapInArrow(
         _marks(shingle, least),
         "doc_id long, text_key binary, node long, size long, point binary, own array<long>, lower array<long>",
     )
-    marked = saved(marked.withColumn("row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key")).alias("first")
-    classes = saved(marked.where("node is not null").groupBy("node").agg(first, F.min("size").alias("size"), F.min("point").alias("point")))
-    chosen = classes.select("node", "first")
-    rows_of = marked.select("node", "row", "own", "lower").join(chosen, "node")
-    singles = rows_of.where(F.col("row") == F.col("first.row"))
+    marked = saved(marked)
     keys = F.concat(
         F.transform("own", lambda k: F.struct(k.alias("bucket"), F.lit(True).alias("own"))),
         F.transform("lower", lambda k: F.struct(k.alias("bucket"), F.lit(False).alias("own"))),
     )
-    rows = singles.select("node", F.explode(keys).alias("key")).select("node", "key.*")
+    rows = marked.where(F.size("own") > 0).select("node", F.explode(keys).alias("key")).select("key.*", "node")
+    # Range partitions split a node of the directory that very many sets share; keys of one set go before they are counted.
+    order = ["bucket", "node"]
+    met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_company, "bucket long, own boolean, node long")
+    met = saved(met.distinct())
     # A node of the directory counts if it holds a set of its own class and another one.
-    held = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.max("own").alias("owned")).where("count > 1 and owned")
-    shared = saved(rows.join(held.select("bucket", "count"), "bucket").select("bucket", "node", "count"))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
-    wanted = shared.select("node").distinct().join(chosen, "node").select("node", "first.*")
-    named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
-    sets = saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
+    held = met.groupBy("bucket").agg(F.count("*").alias("count"), F.max("own").alias("owned")).where("count > 1 and owned")
+    shared = saved(met.join(held.select("bucket", "count"), "bucket").select("bucket", "node", "count"))
+    marked = saved(marked.drop("own", "lower"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = marked.where("node is not null").groupBy("node").agg(first, F.min("size").alias("size"), F.min("point").alias("point"))
+    classes = saved(classes)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node and set (sorted hashes) of the nodes, read from the texts again."""
+        wanted = nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key")
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
+        named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
+        return saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         spot = lambda n, name: classes.select(F.col("node").alias(name), F.col("size").alias(f"n{n}"), F.col("point").alias(f"p{n}"))
-        near = pairs.join(spot(1, "a"), "a").join(spot(2, "b"), "b").mapInArrow(_bounded(least), "a long, b long")
+        near = saved(pairs.join(spot(1, "a"), "a").join(spot(2, "b"), "b").mapInArrow(_bounded(least), "a long, b long"))
+        sets = sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
         side = lambda n, name: sets.select(F.col("node").alias(name), F.col("set").alias(f"s{n}"))
         return saved(near.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(_verified(least), "a long, b long"))
 
     ends = [F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")]
     weight = shared.groupBy("node").agg(F.sum("count").alias("weight"))
     heart = shared.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("other"))
-    stars = shared.join(heart, "bucket").where("node <> other").select(*ends).distinct()
-    near = verified(stars)
-    roots = saved(components(near))
+    stars = saved(shared.join(heart, "bucket").where("node <> other").select(*ends).distinct())
+    roots = saved(components(verified(stars)))
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = saved(rooted.join(open_.select("bucket"), "bucket").select("bucket", "node", "root", "count").distinct())
+    left = saved(rooted.join(open_.select("bucket"), "bucket").select("bucket", "node", "root", "count"))
     few = left.where(F.col("count") <= FEW)
     twice = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.node > y.node and x.root <> y.root"))
-    pairs = twice.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = twice.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     many = left.where(F.col("count") > FEW).select("bucket", "node", "root")
-    tree = _tree_links(many.join(classes.select("node", "size", "point"), "node").join(sets, "node"), least)
-    ended = components(near.unionByName(verified(pairs)).unionByName(tree))
-
-    grouped = classes.select("node", "first.doc_id").join(ended, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = many.join(classes.select("node", "size", "point"), "node").join(sets_of(many.select("node").distinct()), "node")
+    links = verified(pairs).unionByName(_tree_links(entries, least))
+
+    # What the second round links are components of the first: both rounds compose.
+    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    joined = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    merged = components(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    merged = merged.select(F.col("node").alias("first_root"), F.col("root").alias("last_root"))
+    grouped = classes.select("node", "first.doc_id").join(roots, "node", "left").withColumn("first_root", F.coalesce("root", "node"))
+    grouped = grouped.join(merged, "first_root", "left").withColumn("root", F.coalesce("last_root", "first_root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = saved(grouped.join(smallest, "root").select("node", "component_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
