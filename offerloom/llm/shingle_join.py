@@ -7,7 +7,9 @@ corners, can be dropped when that sum is below what the similarity asks of their
 The directory. Sizes are cut into classes of one ratio, so a pair lies in one class or in two neighbours. In a class, linked
 sets differ in less than m shingles; the groups are dealt into m parts, and by the pigeonhole principle some part has equal
 coordinates (and equal shingles) in both. Descending with that as the search region reaches, in each part, the node of equal
-coordinates alone: its key is (class, part, hash of the part). This is where boxes of plain count vectors fail: unrelated
+coordinates alone: its key is (class, part, hash of the part). Of m parts, at least one in e is equal on average, so sets of
+many parts need only the first MOST_PARTS of them: that linked sets differ in all of these has a chance of (1 - 1/e)^96, less
+than that of two 64-bit hashes being equal. This is where boxes of plain count vectors fail: unrelated
 sets of n shingles differ by about sqrt(n) in every coordinate, linked ones by up to 0.18 n in all, so that above some fifty
 shingles the boxes of a plain tree overlap nearly everywhere.
 
@@ -37,6 +39,7 @@ SHINGLE = 4
 LEAST = 85  # hundredths of the union that linked sets share
 GROUPS = 32  # coordinates of a box, and of the point of a small set
 IN_A_GROUP = 16  # shingles at most, roughly, before a point has more coordinates
+MOST_PARTS = 96  # of a set that have a node of the directory
 RECENT = 200_000  # sets a task remembers, not to list the keys of a copy again
 FEW = 16  # sets of a node that are compared as pairs
 LEAF = 256  # sets of a leaf
@@ -75,7 +78,9 @@ def parts_of(starts: list[int], least: int, number: int) -> int:
 def part_keys(hashes: np.ndarray, number: int, parts: int) -> np.ndarray:
     """A key for each part of a set (sorted hashes): equal if the sets have the same shingles in that part."""
     part = ((hashes >> U64(32)) * U64(parts)) >> U64(32)
+    parts = min(parts, MOST_PARTS)
     ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    hashes = hashes[: ends[-1]]
     sums = np.r_[U64(0), np.cumsum(mixed(hashes), dtype=np.uint64)]
     place = mixed(np.arange(parts, dtype=np.uint64) + U64(number << 40), 1)
     return mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ place)
@@ -120,25 +125,23 @@ def _marks(size: int, least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()
         for batch in pieces(batches, "text", TEXT_BYTES):
-            nodes, sizes, points, own, lower = [], [], [], [], []
+            nodes, sizes, points, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, size)
-                keys = [np.zeros(0, np.uint64)] * 2
                 raw = hashes.tobytes()
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)) if raw else None
+                own = np.zeros(0, np.uint64)
                 if node is not None and node not in recent:
                     number = bisect_right(starts, len(hashes)) - 1
-                    keys[0] = part_keys(hashes, number, parts_of(starts, least, number))
-                    if number:
-                        keys[1] = part_keys(hashes, number - 1, parts_of(starts, least, number - 1))
+                    classes = [number, number - 1] if number else [number]
+                    own = np.concatenate([part_keys(hashes, k, parts_of(starts, least, k)) for k in classes])
                     if len(recent) >= RECENT:
                         recent.clear()
                     recent.add(node)
                 nodes.append(node)
                 sizes.append(len(hashes))
                 points.append(packed_point(point(hashes)))
-                own.append(keys[0])
-                lower.append(keys[1])
+                keys.append(own)
             if nodes:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -147,10 +150,9 @@ def _marks(size: int, least: int):
                         pa.array(nodes, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(points, pa.binary()),
-                        lists(own),
-                        lists(lower),
+                        lists(keys),
                     ],
-                    names=["doc_id", "text_key", "node", "size", "point", "own", "lower"],
+                    names=["doc_id", "text_key", "node", "size", "point", "keys"],
                 )
 
     return rows
@@ -352,71 +354,95 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAS
     of none but such rows has no component_id. Rows that repeat an id are documents of their own. Other columns than doc_id
     and text are ignored; an empty table gives no rows. Texts are read whole, however long.
     """
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
-    marked = given.mapInArrow(
-        _marks(shingle, least),
-        "doc_id long, text_key binary, node long, size long, point binary, own array<long>, lower array<long>",
-    )
-    marked = saved(marked)
-    keys = F.concat(
-        F.transform("own", lambda k: F.struct(k.alias("bucket"), F.lit(True).alias("own"))),
-        F.transform("lower", lambda k: F.struct(k.alias("bucket"), F.lit(False).alias("own"))),
+    marked, shared = _directory(docs, shingle, least)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = marked.where("node is not null").groupBy("node").agg(first, F.min("size").alias("size"), F.min("point").alias("point"))
+    classes = saved(classes)
+    roots = _linked_nodes(docs, classes, shared, shingle, least)
+    grouped = classes.select("node", "first.doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_node = saved(grouped.join(smallest, "root").select("node", "component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = marked.select("doc_id", "size", "node").join(by_node, "node", "left")
+    return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _directory(docs: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, text_key, node, size, point), and (bucket, node, count) of the directory's nodes in company."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+    listed = saved(
+        given.mapInArrow(
+            _marks(shingle, least), "doc_id long, text_key binary, node long, size long, point binary, keys array<long>"
+        )
     )
-    rows = marked.where(F.size("own") > 0).select("node", F.explode(keys).alias("key")).select("key.*", "node")
+    rows = listed.select(F.explode("keys").alias("bucket"), "node")
     # Range partitions split a node of the directory that very many sets share; keys of one set go before they are counted.
     order = ["bucket", "node"]
-    met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_company, "bucket long, own boolean, node long")
+    met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_company, "bucket long, node long")
     met = saved(met.distinct())
-    # A node of the directory counts if it holds a set of its own class and another one.
-    held = met.groupBy("bucket").agg(F.count("*").alias("count"), F.max("own").alias("owned")).where("count > 1 and owned")
-    shared = saved(met.join(held.select("bucket", "count"), "bucket").select("bucket", "node", "count"))
-    marked = saved(marked.drop("own", "lower"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    classes = marked.where("node is not null").groupBy("node").agg(first, F.min("size").alias("size"), F.min("point").alias("point"))
-    classes = saved(classes)
+    counts = met.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
+    return saved(listed.drop("keys")), saved(met.join(counts, "bucket").select("bucket", "node", "count"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """node and set (sorted hashes) of the nodes, read from the texts again."""
-        wanted = nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key")
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
-        named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
-        return saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        spot = lambda n, name: classes.select(F.col("node").alias(name), F.col("size").alias(f"n{n}"), F.col("point").alias(f"p{n}"))
-        near = saved(pairs.join(spot(1, "a"), "a").join(spot(2, "b"), "b").mapInArrow(_bounded(least), "a long, b long"))
-        sets = sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
-        side = lambda n, name: sets.select(F.col("node").alias(name), F.col("set").alias(f"s{n}"))
-        return saved(near.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(_verified(least), "a long, b long"))
+def _bounded_pairs(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    spot = lambda n, name: classes.select(F.col("node").alias(name), F.col("size").alias(f"n{n}"), F.col("point").alias(f"p{n}"))
+    return saved(pairs.join(spot(1, "a"), "a").join(spot(2, "b"), "b").mapInArrow(_bounded(least), "a long, b long"))
 
-    ends = [F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")]
+
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and set (sorted hashes) of the nodes, read from the texts again."""
+    wanted = nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"), "text")
+    named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
+    return saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
+
+
+def _verified_pairs(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    side = lambda n, name: sets.select(F.col("node").alias(name), F.col("set").alias(f"s{n}"))
+    return saved(pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(_verified(least), "a long, b long"))
+
+
+def _candidates(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a > b) of each node's sets with the one that meets most others, and all pairs where a node has few sets."""
     weight = shared.groupBy("node").agg(F.sum("count").alias("weight"))
     heart = shared.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("other"))
+    ends = [F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")]
     stars = saved(shared.join(heart, "bucket").where("node <> other").select(*ends).distinct())
-    roots = saved(components(verified(stars)))
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = saved(rooted.join(open_.select("bucket"), "bucket").select("bucket", "node", "root", "count"))
-    few = left.where(F.col("count") <= FEW)
-    twice = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.node > y.node and x.root <> y.root"))
-    pairs = twice.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    many = left.where(F.col("count") > FEW).select("bucket", "node", "root")
-    entries = many.join(classes.select("node", "size", "point"), "node").join(sets_of(many.select("node").distinct()), "node")
-    links = verified(pairs).unionByName(_tree_links(entries, least))
-
+    few = shared.where(F.col("count").between(3, FEW))
+    twice = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.node > y.node"))
+    pairs = twice.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return stars, pairs.join(stars, ["a", "b"], "left_anti")
+
+
+def _linked_nodes(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, least: int) -> DataFrame:
+    """node and root of every node that links reach another from."""
+    stars, pairs = (_bounded_pairs(pairs, classes, least) for pairs in _candidates(shared))
+    ends = [df.select(F.col(c).alias("node")) for df in (stars, pairs) for c in ("a", "b")]
+    many = shared.where(F.col("count") > FEW).select("bucket", "node")
+    nodes = many.select("node").unionByName(ends[0]).unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()
+    sets = _sets_of(docs, classes, nodes, shingle)
+    roots = saved(components(_verified_pairs(stars, sets, least)))
+
+    def rooted(df: DataFrame, name: str) -> DataFrame:
+        root = roots.select(F.col("node").alias(name), F.col("root").alias("_root"))
+        return df.join(root, name, "left").withColumn(f"{name}_root", F.coalesce("_root", name)).drop("_root")
+
+    apart = rooted(rooted(pairs, "a"), "b").where("a_root <> b_root").select("a", "b")
+    held = rooted(many, "node").withColumnRenamed("node_root", "root")
+    open_ = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    entries = held.join(open_.select("bucket"), "bucket").join(classes.select("node", "size", "point"), "node").join(sets, "node")
+    links = _verified_pairs(apart, sets, least).unionByName(_tree_links(entries, least))
     # What the second round links are components of the first: both rounds compose.
-    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    joined = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    merged = components(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    merged = merged.select(F.col("node").alias("first_root"), F.col("root").alias("last_root"))
-    grouped = classes.select("node", "first.doc_id").join(roots, "node", "left").withColumn("first_root", F.coalesce("root", "node"))
-    grouped = grouped.join(merged, "first_root", "left").withColumn("root", F.coalesce("last_root", "first_root"))
-    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = saved(grouped.join(smallest, "root").select("node", "component_id"))
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    found = marked.select("doc_id", "size", "node").join(by_node, "node", "left")
-    return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    joined = rooted(rooted(links, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    once = roots.join(merged, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    # Nodes that only the second round reaches are their own roots in the first.
+    late = merged.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
+    return saved(once.unionByName(late))
 
 
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
