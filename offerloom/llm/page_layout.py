@@ -18,9 +18,9 @@ from offerloom.llm.common import table
 
 # Element names by role, as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes".split())
+RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 HEAD = frozenset("base basefont bgsound link meta title style script template noscript".split())
-HIDDEN = frozenset("head script style template noscript title datalist noembed noframes area base link meta param".split())
+HIDDEN = frozenset("head script style template noscript title datalist noembed noframes iframe area base link meta param".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -43,17 +43,23 @@ IMPLIED_ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+TABLE_PARTS = frozenset("table tr tbody thead tfoot td th".split())
+SAID = frozenset("hidden collapse visible".split())
 SCOPES = frozenset({"table", "td", "th", "caption", "template", "button"})
 SPACES = " \t\n\r\f"
 
+# Quotes count right after an equals sign alone; one that is never closed is a character like any other. A tag that the page
+# ends in is a tag.
 TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>"
-    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>"
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
-CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 DEEPEST_TABLE = 30  # tables within more tables than that are laid out as blocks
+SPARE_WIDTH = 16  # a cell much wider than the others of its column (twice the median and this) does not widen them
 
 
 class Node:
@@ -67,23 +73,31 @@ def parse(page: str) -> Node:
     """The tree of a page. Text is a str child; unknown and unmatched end tags are passed over."""
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # where elements of a name are open in the stack
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(ended: set[str], bounds) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ended:
-                del stack[k:]
-                close(ended, bounds)
-                return
-            if stack[k].tag in bounds:
-                return
+        while (k := innermost(ended)) > innermost(bounds):
+            cut(k)
 
     def add_text(text: str) -> None:
         if text:
             if stack[-1].tag == "head" and text.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(text)
 
-    at = 0
+    at, sections = 0, True
     while True:
         found = TOKEN.search(page, at)
         add_text(entities.unescape(page[at : found.start() if found else len(page)]))
@@ -96,23 +110,24 @@ def parse(page: str) -> Node:
             if ended == "br":
                 stack[-1].children.append(Node("br", {}))
             elif ended not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == ended:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPES and ended not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                        break
+                k = innermost([ended])
+                if k and (ended in TABLE_PARTS or k >= innermost(SCOPES)):
+                    cut(k)
             continue
         if not started:
-            if found[0].startswith("<![CDATA["):
-                add_text(found[0][9:-3])
+            if found[0] == "<![CDATA[":
+                end = page.find("]]>", at) if sections else -1
+                sections = end >= 0
+                if end >= 0:
+                    add_text(page[at:end])
+                    at = end + 3
             continue
         tag = started.lower()
         if tag in ("html", "body"):
             close({"head"}, ())
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in ENDS_P:
             close({"p"}, SCOPES)
         if tag in IMPLIED_ENDS:
@@ -120,7 +135,7 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         text = found[3]
         attrs = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text else {}
         node = Node(tag, attrs)
@@ -133,7 +148,7 @@ def parse(page: str) -> Node:
             node.children.append(inner)
             at = len(page) if not end else page.find(">", end.start()) + 1 or len(page)
         elif tag not in VOID and not (text.endswith("/") and tag in ("svg", "path")):
-            stack.append(node)
+            push(node)
 
 
 def visible(node: Node) -> bool:
@@ -141,7 +156,13 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in node.attrs:
         return False
-    return not ("style" in node.attrs and CONCEALED.search(node.attrs["style"]))
+    return not ("style" in node.attrs and NO_DISPLAY.search(node.attrs["style"]))
+
+
+def concealed(node: Node, inherited: bool) -> bool:
+    """Whether the text of an element keeps its place unseen; a child may be visible again."""
+    said = VISIBILITY.findall(node.attrs.get("style", ""))
+    return said[-1].lower() in ("hidden", "collapse") if said and said[-1].lower() in SAID else inherited
 
 
 class Lines:
@@ -198,16 +219,16 @@ def _marker(node: Node, parent: Node | None, numbers: dict[int, int]) -> str:
     return f"{number}. "
 
 
-def lay_out(top: Node, depth: int = 0) -> list[str]:
+def lay_out(top: Node, depth: int = 0, unseen: bool = False) -> list[str]:
     out, numbers = Lines(), {}
-    # (node, parent, leaving?); a stack, as pages nest as deep as they like.
-    todo: list[tuple[object, Node | None, bool]] = [(c, top, False) for c in reversed(top.children)]
+    # (node, parent, leaving?, is the parent's text unseen?); a stack, as pages nest as deep as they like.
+    todo: list[tuple[object, Node | None, bool, bool]] = [(c, top, False, unseen) for c in reversed(top.children)]
     pre = 1 if top.tag in ("pre", "xmp") else 0
     while todo:
-        node, parent, leaving = todo.pop()
+        node, parent, leaving, unseen = todo.pop()
         closed = parent is not None and parent.tag == "details" and "open" not in parent.attrs
         if isinstance(node, str):
-            if closed:
+            if closed or unseen:
                 continue
             if pre:
                 rows = node.replace("\r\n", "\n").split("\n")
@@ -238,6 +259,7 @@ def lay_out(top: Node, depth: int = 0) -> list[str]:
             continue
         if not visible(node):
             continue
+        unseen = concealed(node, unseen)
         if closed and tag != "summary":
             continue
         if tag == "br":
@@ -252,7 +274,7 @@ def lay_out(top: Node, depth: int = 0) -> list[str]:
         if tag in BLOCKS:
             out.end(gap)
         if tag == "table" and depth < DEEPEST_TABLE:
-            out.ready(table_lines(node, depth + 1))
+            out.ready(table_lines(node, depth + 1, unseen))
             out.end(2)
             continue
         if tag == "li":
@@ -264,27 +286,37 @@ def lay_out(top: Node, depth: int = 0) -> list[str]:
             pre += 1
             if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                 node.children[0] = node.children[0][1:]
-        todo.append((node, parent, True))
-        todo += [(c, node, False) for c in reversed(node.children)]
+        todo.append((node, parent, True, unseen))
+        todo += [(c, node, False, unseen) for c in reversed(node.children)]
     out.end(0)
     return out.lines
 
 
-def table_lines(node: Node, depth: int) -> list[str]:
+def _aligned(lengths: list[int]) -> int:
+    """Width of a column: that of its widest line, but for lines far wider than most."""
+    most = 2 * sorted(lengths)[len(lengths) // 2] + SPARE_WIDTH
+    return max((n for n in lengths if n <= most), default=0)
+
+
+def table_lines(node: Node, depth: int, unseen: bool = False) -> list[str]:
     """Caption and other stray text first, then the rows with their columns aligned."""
     stray, rows = Node("div", {}), []
-    todo = list(reversed(node.children))
+    todo = [(c, unseen) for c in reversed(node.children)]
     while todo:
-        child = todo.pop()
+        child, hidden = todo.pop()
         if isinstance(child, str):
-            stray.children.append(child)
-        elif not visible(child) or child.tag in ("colgroup", "col"):
+            if not hidden:
+                stray.children.append(child)
+            continue
+        if not visible(child) or child.tag in ("colgroup", "col"):
             continue
-        elif child.tag in ("thead", "tbody", "tfoot", "form"):
-            todo += reversed(child.children)
+        hidden = concealed(child, hidden)
+        if child.tag in ("thead", "tbody", "tfoot", "form"):
+            todo += [(c, hidden) for c in reversed(child.children)]
         elif child.tag == "tr":
-            rows.append([c for c in child.children if not isinstance(c, str) and visible(c)])
-            stray.children += [c for c in child.children if isinstance(c, str) and c.strip()]
+            rows.append([(c, concealed(c, hidden)) for c in child.children if not isinstance(c, str) and visible(c)])
+            if not hidden:
+                stray.children += [c for c in child.children if isinstance(c, str) and c.strip()]
         elif child.tag == "caption":
             stray.children.append(Node("div", child.attrs))
             stray.children[-1].children = child.children
@@ -293,19 +325,20 @@ def table_lines(node: Node, depth: int) -> list[str]:
     grid = []
     for cells in rows:
         placed, column = [], 0
-        for cell in cells:
+        for cell, hidden in cells:
             span = cell.attrs.get("colspan", "1").strip()
             width = min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1
-            placed.append((column, width, lay_out(cell, depth)))
+            placed.append((column, width, lay_out(cell, depth, hidden)))
             column += width
         if any(lines for _, _, lines in placed):
             grid.append(placed)
-    widths: dict[int, int] = {}
+    lengths: dict[int, list[int]] = {}
     for placed in grid:
         for column, width, lines in placed:
             if width == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-    out = lay_out(stray, depth) if stray.children else []
+                lengths.setdefault(column, []).append(max(map(len, lines), default=0))
+    widths = {column: _aligned(found) for column, found in lengths.items()}
+    out = lay_out(stray, depth, unseen) if stray.children else []
     for placed in grid:
         for k in range(max(len(lines) for _, _, lines in placed)):
             parts = []
