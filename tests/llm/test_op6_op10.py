@@ -109,7 +109,7 @@ def brute_contamination(data, items):
     for i, t in items:
         w = words(t)
         n = min(10, len(w))
-        for s in range(len(w) - n + 1 if n and i is not None else 0):
+        for s in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[s : s + n]), set()).add(i)
     out = []
     for t in data:
@@ -121,7 +121,7 @@ def brute_contamination(data, items):
                 if own:
                     hit |= set(range(s, s + n))
                     found |= own
-        ids = ",".join(sorted(str(i) for i in found))
+        ids = ",".join(sorted(str(i) for i in found if i is not None))
         out.append((len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
     return out
 
@@ -131,7 +131,7 @@ def test_contamination_matches_brute_force(spark):
     bench = [prose(rng, 30) for _ in range(8)]
     shared = prose(rng, 25)
     items = [(i, t) for i, t in enumerate([*bench, "Zweiß wörter", "solo", "", None, shared + " end", "x " + shared])]
-    items += [(2, bench[2]), (None, bench[3]), (40, "a b c d e f g h i")]
+    items += [(2, bench[2]), (None, bench[3]), (None, "alpha beta"), (40, "a b c d e f g h i")]
     data = [
         None,
         "",
@@ -141,6 +141,7 @@ def test_contamination_matches_brute_force(spark):
         " ".join(bench[1].split()[5:14]),
         "zweiß, WÖRTER zweiß WörtER zweiß wörter",
         "solo solo duo",
+        "alpha beta gamma",
         shared,
         bench[3],
         "a b c d e f g h i j a b c d e f g h i",
@@ -153,6 +154,35 @@ def test_contamination_matches_brute_force(spark):
     assert got == dict(enumerate(brute_contamination(data, items)))
 
 
+def test_text_ids_and_long_texts(spark, monkeypatch):
+    """Ids of any type; a text over many segments, with hits across their ends, has the words and hits of brute force."""
+    monkeypatch.setattr("offerloom.llm.winnowing.SEGMENT_BYTES", 300)
+    rng = random.Random(2)
+    bench = [prose(rng, 40) for _ in range(5)] + ["short one", "x" * 900 + " tail"]
+    data = [" ".join(prose(rng, rng.randrange(30, 90)) + " " + b for b in bench * 4), "y" * 2000 + " short one " + "z" * 700, bench[1]]
+    items = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(bench)], "item_id string, text string")
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(data)], "doc_id string, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in contamination(docs, items).collect()}
+    want = brute_contamination(data, [(f"q{i}", t) for i, t in enumerate(bench)])
+    assert got == {f"d{i}": w for i, w in enumerate(want)}
+
+
+def test_a_text_of_very_many_words():
+    from offerloom.llm.winnowing import WINDOW, _listed_windows, _window_prints, _words
+
+    words = [f"w{i % 9973}{i % 7919}" for i in range(3_000_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    last = np.frombuffer(" ".join(words[-WINDOW:]).encode(), np.uint8)
+    row, _, _, hashes = _words(last, np.array([0, len(last)]))
+    print_ = _window_prints(hashes, row, WINDOW)[1][0]
+    table_ = np.zeros(1 << 16, np.uint64)
+    slot = int(print_ >> np.uint64(20)) & (64 * len(table_) - 1)
+    table_[slot >> 6] = np.uint64(1) << np.uint64(slot & 63)
+    counts, found = _listed_windows(data, np.array([0, len(data)]), [WINDOW], table_, False)
+    assert counts[0] == len(words)
+    assert (len(words) - WINDOW, " ".join(words[-WINDOW:])) in {(w["start"], w["words"]) for w in found[0]}
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], ITEMS)
     some = spark.createDataFrame([(1, "a b", 1, "x")], SCHEMA)
