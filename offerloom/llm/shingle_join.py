@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ MOST_PARTS = 96  # of a set that have a node of the directory
 RECENT = 200_000  # sets a task remembers, not to list the keys of a copy again
 FEW = 16  # sets of a node that are compared as pairs
 LEAF = 256  # sets of a leaf
-LEAF_BYTES = 1 << 20
+LEAF_BYTES = 1 << 20  # of the points of a leaf
+DENSE = 4  # pairs for each set of a pair of leaves; where more may link, the leaves are compared as a whole
+MOST_BROADCAST = 200_000  # nodes (some 40 bytes each) that are sent to the texts rather than the texts to them
 FANOUT = 32  # leaves of a branch
 TEXT_BYTES = 4 << 20  # of the texts a worker has at hand at once, unless one text is longer
 
@@ -235,63 +238,100 @@ LEAF_SCHEMA = pa.schema(
         ("high_root", pa.int64()),
         ("nodes", pa.list_(pa.int64())),
         ("roots", pa.list_(pa.int64())),
-        ("sets", pa.list_(pa.binary())),
+        ("sizes", pa.list_(pa.int64())),
+        ("points", pa.list_(pa.binary())),
     ]
 )
 LEAF_COLUMNS = (
     "bucket long, smallest long, corner array<int>, low_root long, high_root long, "
-    "nodes array<long>, roots array<long>, sets array<binary>"
+    "nodes array<long>, roots array<long>, sizes array<long>, points array<binary>"
 )
 
 
+def _folded(raw: bytes, groups: int) -> np.ndarray:
+    return unpacked_point(raw).reshape(-1, groups).sum(axis=0)
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted entries packed into leaves of one node of the directory each, with their boxes."""
     waiting: list[dict] = []
     heavy = 0
 
     def packed() -> pa.RecordBatch:
-        points = np.stack([unpacked_point(e["point"]).reshape(-1, GROUPS).sum(axis=0) for e in waiting])
+        points = np.stack([_folded(e["point"], GROUPS) for e in waiting])
         leaf = {
             "bucket": waiting[0]["bucket"],
             "smallest": min(e["size"] for e in waiting),
             "corner": points.max(axis=0).tolist(),
             "low_root": min(e["root"] for e in waiting),
             "high_root": max(e["root"] for e in waiting),
-            "nodes": [e["node"] for e in waiting],
-            "roots": [e["root"] for e in waiting],
-            "sets": [e["set"] for e in waiting],
+            **{f"{c}s": [e[c] for e in waiting] for c in ("node", "root", "size", "point")},
         }
         return pa.RecordBatch.from_pylist([leaf], schema=LEAF_SCHEMA)
 
     for batch in batches:
         for at in range(0, len(batch), LEAF):
             for entry in batch.slice(at, LEAF).to_pylist():
-                full = len(waiting) >= LEAF or heavy + len(entry["set"]) > LEAF_BYTES
+                full = len(waiting) >= LEAF or heavy + len(entry["point"]) > LEAF_BYTES
                 if waiting and (full or waiting[0]["bucket"] != entry["bucket"]):
                     yield packed()
                     waiting, heavy = [], 0
                 waiting.append(entry)
-                heavy += len(entry["set"])
+                heavy += len(entry["point"])
     if waiting:
         yield packed()
 
 
+def near_points(points: list[bytes], sizes: np.ndarray, roots: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of sets of different components whose points allow a link: between the first sets and the others, or,
+    without others, among all."""
+    groups = min(len(unpacked_point(p)) for p in points)
+    grid = np.stack([_folded(p, groups) for p in points])
+    alone = first == len(points)
+    found = []
+    for i in range(first):
+        start = i + 1 if alone else first
+        fits = roots[start:] != roots[i]
+        fits &= 100 * np.minimum(sizes[i], sizes[start:]) >= least * np.maximum(sizes[i], sizes[start:])
+        at = np.flatnonzero(fits) + start
+        at = at[may_link(np.minimum(grid[i], grid[at]).sum(axis=1), sizes[i] + sizes[at], least)]
+        found.append(np.stack([np.full(len(at), i), at]))
+    x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return x, y
+
+
+def _leaf_pairs(least: int):
+    """Pairs of a pair of leaves that may link; one row without nodes if they are too many."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one, two = batch.column("l1")[i].as_py(), batch.column("l2")[i].as_py()
+                sides = ["1"] if one == two else ["1", "2"]
+                get = lambda name, i=i, sides=sides: [x for s in sides for x in batch.column(name + s)[i].as_py()]  # noqa: B023
+                nodes, roots, sizes = (np.array(get(c), np.int64) for c in ("nodes", "roots", "sizes"))
+                x, y = near_points(get("points"), sizes, roots, len(batch.column("nodes1")[i].values), least)
+                if len(x) > DENSE * len(nodes):
+                    ends = [pa.nulls(1, pa.int64())] * 2
+                else:
+                    # A set may be in both leaves' halves of one node only once, so ends differ.
+                    ends = [pa.array(np.maximum(nodes[x], nodes[y])), pa.array(np.minimum(nodes[x], nodes[y]))]
+                count = len(ends[0])
+                spots = [pa.array(np.full(count, n, np.int64)) for n in (one, two)]
+                yield pa.RecordBatch.from_arrays([*spots, *ends], names=["l1", "l2", "a", "b"])
+
+    return rows
+
+
 def spanning(roots: np.ndarray, sets: list[np.ndarray], first: int, least: int) -> list[tuple[int, int]]:
-    """Positions of sets that link and join components: between the first sets and the others, or, without others, among all."""
-    groups = min(len(point(s)) for s in sets)
-    points = np.stack([point(s, groups) for s in sets])
+    """Positions of sets that link and join components, exactly; first as in near_points."""
     sizes = np.array([len(s) for s in sets])
     _, label = np.unique(roots, return_inverse=True)
-    alone = first == len(sets)
     out = []
-    for i in range(first):
-        start = i + 1 if alone else first
-        shared = np.minimum(points[i], points[start:]).sum(axis=1)
-        near = may_link(shared, sizes[i] + sizes[start:], least) & (label[start:] != label[i])
-        for j in np.flatnonzero(near) + start:
-            if label[i] != label[j] and linked(sets[i], sets[j], least):
-                label[label == label[j]] = label[i]
-                out.append((i, int(j)))
+    for i, j in zip(*near_points([packed_point(point(s)) for s in sets], sizes, roots, first, least), strict=True):
+        if label[i] != label[j] and linked(sets[i], sets[j], least):
+            label[label == label[j]] = label[i]
+            out.append((int(i), int(j)))
     return out
 
 
@@ -299,12 +339,11 @@ def _leaf_links(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                sides = ["1"] if batch.column("same")[i].as_py() else ["1", "2"]
-                get = lambda name, sides=sides, i=i: [batch.column(name + s)[i].values for s in sides]  # noqa: B023
-                nodes = np.concatenate([v.to_numpy() for v in get("nodes")])
-                roots = np.concatenate([v.to_numpy() for v in get("roots")])
-                sets = [np.frombuffer(s.as_buffer(), np.uint64) for v in get("sets") for s in v]
-                pairs = spanning(roots, sets, len(batch.column("nodes1")[i].values), least)
+                sides = ["1"] if batch.column("l1")[i] == batch.column("l2")[i] else ["1", "2"]
+                members = [batch.column("members" + s)[i].values for s in sides]
+                nodes, roots = (np.concatenate([m.field(c).to_numpy() for m in members]) for c in ("node", "root"))
+                sets = [np.frombuffer(s.as_buffer(), np.uint64) for m in members for s in m.field("set")]
+                pairs = spanning(roots, sets, len(members[0]), least)
                 one, two = nodes[[p[0] for p in pairs]], nodes[[p[1] for p in pairs]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
@@ -320,11 +359,14 @@ def _boxes_allow(one: str, two: str, least: int) -> Column:
     return roots & ((100 + least) * shared >= least * wide)
 
 
-def _tree_links(entries: DataFrame, least: int) -> DataFrame:
-    """Spanning links of directory nodes with many sets; entries: bucket, node, root, size, point, set."""
+def _tree_pairs(entries: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Descend the trees of directory nodes with many sets; entries: bucket, node, root, size, point.
+
+    The leaves, and rows (l1, l2, a, b): pairs of sets of two leaves that may link, or two leaves with very many such pairs.
+    """
     order = ["bucket", "size", "point", "node"]
     ordered = entries.repartitionByRange(*order).sortWithinPartitions(*order)
-    leaves = ordered.select("bucket", "node", "root", "size", "point", "set").mapInArrow(_leaves, LEAF_COLUMNS)
+    leaves = ordered.select("bucket", "node", "root", "size", "point").mapInArrow(_leaves, LEAF_COLUMNS)
     leaves = saved(leaves.withColumn("leaf", F.monotonically_increasing_id()).withColumn("branch", F.expr(f"leaf div {FANOUT}")))
     corner = F.array(*[F.max(F.get("corner", F.lit(i))) for i in range(GROUPS)]).alias("corner")
     box = [F.min("smallest").alias("smallest"), corner, F.min("low_root").alias("low_root"), F.max("high_root").alias("high_root")]
@@ -339,9 +381,21 @@ def _tree_links(entries: DataFrame, least: int) -> DataFrame:
     lower = upper.alias("up").join(spots.alias("one"), on("one", "b1")).join(spots.alias("two"), on("two", "b2"))
     lower = lower.where((F.col("one.leaf") <= F.col("two.leaf")) & _boxes_allow("one", "two", least))
     met = lower.select(F.col("one.leaf").alias("l1"), F.col("two.leaf").alias("l2"))
-    content = lambda n: leaves.select(F.col("leaf").alias(f"l{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("nodes", "roots", "sets")])
-    pairs = met.join(content(1), "l1").join(content(2), "l2").withColumn("same", F.col("l1") == F.col("l2"))
-    return pairs.drop("l1", "l2").mapInArrow(_leaf_links(least), "a long, b long").distinct()
+    held = ("nodes", "roots", "sizes", "points")
+    content = lambda n: leaves.select(F.col("leaf").alias(f"l{n}"), *[F.col(c).alias(f"{c}{n}") for c in held])
+    pairs = met.join(content(1), "l1").join(content(2), "l2")
+    return leaves, saved(pairs.mapInArrow(_leaf_pairs(least), "l1 long, l2 long, a long, b long"))
+
+
+def _dense_links(leaves: DataFrame, dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Spanning links between the components of pairs of leaves (l1, l2), compared as a whole."""
+    used = dense.select(F.col("l1").alias("leaf")).unionByName(dense.select(F.col("l2").alias("leaf"))).distinct()
+    single = leaves.join(used, "leaf").select("leaf", F.explode(F.arrays_zip("nodes", "roots")).alias("e"))
+    filled = single.select("leaf", F.col("e.nodes").alias("node"), F.col("e.roots").alias("root")).join(sets, "node")
+    # A leaf has at most LEAF sets.
+    whole = filled.groupBy("leaf").agg(F.collect_list(F.struct("node", "root", "set")).alias("members"))
+    side = lambda n: whole.select(F.col("leaf").alias(f"l{n}"), F.col("members").alias(f"members{n}"))
+    return dense.join(side(1), "l1").join(side(2), "l2").mapInArrow(_leaf_links(least), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -395,7 +449,9 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame, least: int) -> DataFram
 
 def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node and set (sorted hashes) of the nodes, read from the texts again."""
-    wanted = nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key")
+    wanted = saved(nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key"))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"), "text")
     named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
     return saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
@@ -418,13 +474,16 @@ def _candidates(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars, pairs.join(stars, ["a", "b"], "left_anti")
 
 
+def _ends(*pairs: DataFrame) -> DataFrame:
+    """The different values of both columns of pairs, as `node`."""
+    ends = [df.select(F.col(c).alias("node")) for df in pairs for c in df.columns]
+    return reduce(DataFrame.unionByName, ends).distinct()
+
+
 def _linked_nodes(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, least: int) -> DataFrame:
     """node and root of every node that links reach another from."""
     stars, pairs = (_bounded_pairs(pairs, classes, least) for pairs in _candidates(shared))
-    ends = [df.select(F.col(c).alias("node")) for df in (stars, pairs) for c in ("a", "b")]
-    many = shared.where(F.col("count") > FEW).select("bucket", "node")
-    nodes = many.select("node").unionByName(ends[0]).unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()
-    sets = _sets_of(docs, classes, nodes, shingle)
+    sets = _sets_of(docs, classes, _ends(stars, pairs), shingle)
     roots = saved(components(_verified_pairs(stars, sets, least)))
 
     def rooted(df: DataFrame, name: str) -> DataFrame:
@@ -432,10 +491,15 @@ def _linked_nodes(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingl
         return df.join(root, name, "left").withColumn(f"{name}_root", F.coalesce("_root", name)).drop("_root")
 
     apart = rooted(rooted(pairs, "a"), "b").where("a_root <> b_root").select("a", "b")
-    held = rooted(many, "node").withColumnRenamed("node_root", "root")
+    near = _verified_pairs(apart, sets, least)
+    held = rooted(shared.where(F.col("count") > FEW).select("bucket", "node"), "node").withColumnRenamed("node_root", "root")
     open_ = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    entries = held.join(open_.select("bucket"), "bucket").join(classes.select("node", "size", "point"), "node").join(sets, "node")
-    links = _verified_pairs(apart, sets, least).unionByName(_tree_links(entries, least))
+    entries = held.join(open_.select("bucket"), "bucket").join(classes.select("node", "size", "point"), "node")
+    leaves, found = _tree_pairs(entries, least)
+    sparse, dense = found.where("a is not null").select("a", "b").distinct(), saved(found.where("a is null").select("l1", "l2"))
+    crowd = leaves.join(_ends(dense).withColumnRenamed("node", "leaf"), "leaf").select(F.explode("nodes").alias("node"))
+    sets = _sets_of(docs, classes, _ends(sparse).unionByName(crowd).distinct(), shingle)
+    links = near.unionByName(_verified_pairs(sparse, sets, least)).unionByName(_dense_links(leaves, dense, sets, least))
     # What the second round links are components of the first: both rounds compose.
     joined = rooted(rooted(links, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("last"))

@@ -84,9 +84,11 @@ def test_components_equal_brute_force(spark, monkeypatch, few, leaf, fanout):
     assert 20 < len({c for _, _, c in want}) < len(docs)
 
 
-def test_star_without_its_middle(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [4, 0])
+def test_star_without_its_middle(spark, monkeypatch, dense):
     """One-word edits of a text that is missing: few pairs link, and every component is found."""
     monkeypatch.setattr(shingle_join, "LEAF", 16)
+    monkeypatch.setattr(shingle_join, "DENSE", dense)
     rng = random.Random(8)
     base = prose(rng, 86)
     docs = []
