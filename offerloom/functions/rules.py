@@ -667,7 +667,7 @@ def bank_from_class(raw: Column) -> Column:
     words = F.array_join(
         F.transform(
             F.filter(F.split(label, r"\s+"), lambda w: w != ""),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))),
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))),
         ),
         " ",
     )
@@ -898,11 +898,11 @@ def participating_banks(text: Column, profile: str = "cencosud") -> Column:
         tidy = F.filter(
             F.transform(names, lambda b: F.trim(F.regexp_replace(F.trim(b), r"[,y]+$", ""))), lambda b: F.length(b) > 3
         )
-        return F.substring(F.array_join(tidy, ", "), 1, 300)
+        return F.array_join(tidy, ", ")
     listed = grab(text, r"(?:[Pp]articipan|[Bb]ancos)[:\s]+(.+?)(?:\.|$)", ci=False)
     names = grab_all(listed, r"(Banco\s+[\w\s]+|\bICBC\b|\bBBVA\b|\bHSBC\b)")
     chosen = F.when(found(text, r"bancos\s+seleccionados"), F.transform(names, F.trim))
-    return or_blank(F.array_join(F.slice(chosen, 1, 10), ", "))
+    return or_blank(F.array_join(chosen, ", "))
 
 
 def is_offer_text(text: Column) -> Column:

@@ -129,7 +129,7 @@ STORE_ICONS = [
 
 EXCLUSION_LINE = r"no aplica|excluy|salvo|no incluye"
 CAPITALS = r"A-ZÁÉÍÓÚÑ"
-PROMOTION_TEXT = rf"(PROMOCIÓN[{CAPITALS}\s\d.,;:/()$%-]{{200,3000}})"
+PROMOTION_TEXT = rf"(PROMOCIÓN[{CAPITALS}\s\d.,;:/()$%-]{{200,}})"
 
 # End of fixed values.
 # ---------------------------------------------------------------------------------------------
@@ -142,7 +142,7 @@ def _items(*parts: Column) -> Column:
 
 
 def capitalise(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 # --- exclusions -----------------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def extract_exclusions_terms(text: Column) -> Column:
 
 def _split_items(texts: Column) -> Column:
     pieces = F.flatten(F.transform(texts, lambda t: F.split(t, rx(r",|\s+y\s+"))))
-    return F.filter(F.transform(pieces, strip), lambda x: (F.length(x) > 3) & (F.length(x) < 100))
+    return F.filter(F.transform(pieces, strip), lambda x: F.length(x) > 3)
 
 
 def extract_exclusions(text: Column, profile: str) -> Column:
@@ -166,8 +166,7 @@ def extract_exclusions(text: Column, profile: str) -> Column:
         return F.array_sort(F.array_distinct(F.transform(_split_items(found_texts), capitalise)))
     if profile == "page":
         texts = F.concat(*[F.transform(grab_all(text, p), strip) for p in EXCLUSIONS_PAGE])
-        kept = F.filter(texts, lambda x: F.length(x) > 5)
-        return F.slice(F.transform(kept, lambda x: F.substring(x, 1, 200)), 1, 5)
+        return F.filter(texts, lambda x: F.length(x) > 5)
     if profile == "coto":
         section = strip(grab(text, COTO_EXCLUSIONS_SECTION))
         missing = F.transform(grab_all(text, COTO_NOT_INCLUDED), lambda x: F.concat(F.lit("No incluye "), strip(x)))
@@ -180,7 +179,7 @@ def extract_exclusions(text: Column, profile: str) -> Column:
             ),
         )
     if profile == "masonline":
-        first = F.substring(strip(grab(text, MAS_LEFT_OUT, 1, ci=False)), 1, 200)
+        first = strip(grab(text, MAS_LEFT_OUT, 1, ci=False))
         rest = F.transform(grab_all(text, MAS_NOT_VALID, 1, ci=False), lambda x: F.concat(F.lit("No válido "), strip(x)))
         return F.concat(_items(first), rest)
     if profile == "cencosud":
@@ -188,7 +187,7 @@ def extract_exclusions(text: Column, profile: str) -> Column:
         rest = F.filter(
             F.transform(grab_all(text, CENCOSUD_NOT_APPLIED, 1, ci=False), strip), lambda x: F.length(x) > 5
         )
-        return F.concat(_items(day), F.transform(rest, lambda x: F.concat(F.lit("No aplica "), F.substring(x, 1, 200))))
+        return F.concat(_items(day), F.transform(rest, lambda x: F.concat(F.lit("No aplica "), x)))
     if profile == "shell":
         return _items(strip(grab(text, NO_STACK_SHELL, 0)))
     if profile == "puma":
@@ -198,16 +197,12 @@ def extract_exclusions(text: Column, profile: str) -> Column:
     raise ValueError(f"unknown exclusion profile {profile}")
 
 
-EXCLUSION_LIMIT = {"coto": 2000, "masonline": 1000, "cencosud": 500}
-
-
 def exclusions_label(text: Column, profile: str) -> Column:
     """Joined exclusions as the sources store them."""
     items = extract_exclusions(text, profile)
     if profile in ("legal", "page"):
-        return F.array_join(F.slice(items, 1, 10), "; ")
-    joined = squeeze(F.array_join(items, " | ")) if profile == "coto" else F.array_join(items, " | ")
-    return F.substring(joined, 1, EXCLUSION_LIMIT.get(profile, 2000))
+        return F.array_join(items, "; ")
+    return squeeze(F.array_join(items, " | ")) if profile == "coto" else F.array_join(items, " | ")
 
 
 # --- requirements -----------------------------------------------------------------------------------
@@ -216,12 +211,12 @@ def exclusions_label(text: Column, profile: str) -> Column:
 def requirement_items(text: Column) -> Column:
     """Requirements of an upper-case legal text, without exclusions and caps, in order, no repeats."""
     only = strip(grab(text, ONLY_FOR, 1, ci=False))
-    only = F.when((F.length(only) > 3) & (F.length(only) < 100) & ~only.contains("EXCLU"), only)
+    only = F.when((F.length(only) > 3) & ~only.contains("EXCLU"), only)
     family = F.when(found(text, FAMILY_USE, False), F.lit("CONSUMO FAMILIAR"))
     least = F.coalesce(grab(text, MINIMUM_TERMS, 1, ci=False), grab(text, STARTING_AT, 1, ci=False))
     least = F.concat(F.lit("COMPRA MÍNIMA $"), F.translate(F.replace(least, F.lit("."), F.lit("")), ",", "."))
     clauses = F.concat(*[F.transform(grab_all(text, p, 1, ci=False), strip) for p in CLIENT_CLAUSES])
-    clauses = F.filter(clauses, lambda x: (F.length(x) > 3) & (F.length(x) < 100))
+    clauses = F.filter(clauses, lambda x: F.length(x) > 3)
     items = F.concat(_items(only, family, least), clauses)
     tidy = F.transform(items, lambda x: F.regexp_replace(x, r"^[ .,;]+|[ .,;]+$", ""))
     kept = F.filter(tidy, lambda x: (x != "") & ~contains_any(F.upper(x), NOT_A_REQUIREMENT))
@@ -229,7 +224,7 @@ def requirement_items(text: Column) -> Column:
 
 
 def extract_requirements_terms(text: Column) -> Column:
-    return F.substring(F.array_join(F.slice(requirement_items(text), 1, 10), ", "), 1, 500)
+    return F.array_join(requirement_items(text), ", ")
 
 
 def extract_requirements(text: Column, profile: str) -> Column:
@@ -242,7 +237,7 @@ def extract_requirements(text: Column, profile: str) -> Column:
         return F.array_sort(F.array_distinct(F.concat(phrases, _items(level, *cards))))
     if profile == "page":
         texts = F.concat(*[F.transform(grab_all(text, p), strip) for p in REQUIREMENTS_PAGE])
-        return F.slice(F.filter(texts, lambda x: F.length(x) > 10), 1, 3)
+        return F.filter(texts, lambda x: F.length(x) > 10)
     if profile == "coto":
         return _items(strip(grab(text, COTO_FOR_PURCHASE)), strip(grab(text, COTO_VALID_FOR)))
     raise ValueError(f"unknown requirement profile {profile}")
@@ -286,7 +281,7 @@ def stackable_label(text: Column, profile: str) -> Column:
 
 
 def stacks_not_with(text: Column) -> Column:
-    return or_blank(F.substring(strip(grab(text, r"NO\s+ACUMULABLE\s+CON\s+([^.]+)")), 1, 200))
+    return or_blank(strip(grab(text, r"NO\s+ACUMULABLE\s+CON\s+([^.]+)")))
 
 
 def normalize_flag(value: Column) -> Column:
@@ -298,7 +293,7 @@ def normalize_flag(value: Column) -> Column:
 
 
 def refund_form(text: Column) -> Column:
-    return or_blank(F.substring(strip(grab(text, COTO_REFUND_FORM)), 1, 300))
+    return or_blank(strip(grab(text, COTO_REFUND_FORM)))
 
 
 def month_of_offer(text: Column) -> Column:
@@ -343,7 +338,7 @@ def channel_badges(html: Column) -> Column:
 def extract_branches(text: Column) -> Column:
     named = F.regexp_replace(squeeze(first_grab(text, COTO_BRANCHES)), r"^,+|,+$", "")
     named = F.trim(named)
-    named = F.when((F.length(named) > 3) & (F.length(named) < 200), named)
+    named = F.when(F.length(named) > 3, named)
     online = found(text, COTO_ONLINE)
     return or_blank(
         F.when(online, F.coalesce(F.concat(named, F.lit(" y Coto Digital")), F.lit("Coto Digital"))).otherwise(named)
@@ -352,12 +347,12 @@ def extract_branches(text: Column) -> Column:
 
 def excluded_branches(text: Column) -> Column:
     names = F.concat(*[F.transform(grab_all(text, p, 1, ci=False), strip) for p in MAS_BRANCHES_OUT])
-    return F.substring(F.array_join(names, ", "), 1, 500)
+    return F.array_join(names, ", ")
 
 
 def extract_categories(text: Column, profile: str = "coto") -> Column:
     if profile == "coto":
-        named = F.substring(squeeze(grab(text, COTO_CATEGORIES)), 1, 200)
+        named = squeeze(grab(text, COTO_CATEGORIES))
         return or_blank(F.when(F.length(named) > 3, named))
     picks = []
     for pattern in CENCOSUD_CATEGORIES:
@@ -365,7 +360,7 @@ def extract_categories(text: Column, profile: str = "coto") -> Column:
         stop = F.lit(False)
         for word in NOT_A_CATEGORY:
             stop = stop | named.startswith(word)
-        picks.append(F.when((F.length(named) > 2) & (F.length(named) < 100) & ~stop, named))
+        picks.append(F.when((F.length(named) > 2) & ~stop, named))
     return or_blank(F.coalesce(*picks))
 
 
@@ -396,9 +391,9 @@ def terms_text(footer_paragraphs: Column, card_text: Column, least: int = 30) ->
 
 
 def promotion_passage(text: Column) -> Column:
-    """'PROMOCIÓN…' passage, else the first three capital blocks joined."""
+    """'PROMOCIÓN…' passage, else the capital blocks joined."""
     passage = grab(text, PROMOTION_TEXT)
-    blocks = F.slice(capital_blocks(text, 100), 1, 3)
+    blocks = capital_blocks(text, 100)
     return or_blank(F.coalesce(passage, blank_to_null(F.array_join(blocks, " "))))
 
 

@@ -63,38 +63,37 @@ def _spans(df: DataFrame, text: Column, pattern: str, keep: list[str], ci: bool
 def legal_spans(pages: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """Legal blocks of a page with the card text before each: keep, pos, card_text, legal_text.
 
-    A block runs from its opener to the next one (5000 characters for the last) and ends at the next card
-    marker after 150 characters, else at 2500. Card text is what lies between the legal end of the
-    previous block and the opener, 600 characters at most.
+    A block runs from its opener to the next one, or to the end of the page, and ends at the next card marker
+    after 150 characters, if there is one. Card text is what lies between the legal end of the previous block
+    and the opener.
     """
     rows = _spans(pages, text, LEGAL_OPENERS, keep)
     t = F.col("_text")
 
     def block(start: Column, after: Column) -> Column:
-        return _cut(t, start, F.coalesce(after, F.least(start + 5000, F.length(t))))
+        return _cut(t, start, F.coalesce(after, F.length(t)))
 
     def legal(b: Column) -> tuple[Column, Column]:
         """Legal text of a block, and how far from its start the next card text may begin."""
         hit = F.regexp_instr(F.substring(b, F.lit(151), F.length(b)), F.lit(rx(CARD_MARKERS, ci=False)))
-        cut = strip(F.substring(b, 1, 2500))
         return (
-            F.when(hit > 0, strip(F.substring(b, F.lit(1), hit + 149))).otherwise(cut),
-            F.when(hit > 0, hit + 149).otherwise(F.length(cut)),
+            F.when(hit > 0, strip(F.substring(b, F.lit(1), hit + 149))).otherwise(strip(b)),
+            F.when(hit > 0, hit + 149).otherwise(F.length(b)),
         )
 
     own, _ = legal(block(F.col("start"), F.col("next_start")))
     _, reach = legal(block(F.col("prev_start"), F.col("start")))
-    card_start = F.greatest(F.coalesce(F.col("prev_start") + reach, F.lit(0)), F.col("start") - 600)
+    card_start = F.coalesce(F.col("prev_start") + reach, F.lit(0))
     return rows.select(
         *keep, "pos", strip(_cut(t, card_start, F.col("start"))).alias("card_text"), own.alias("legal_text")
     )
 
 
 def offer_sections(pages: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """Text from one 'N% DE DESCUENTO - …' heading to the next (5000 for the last), longer than 100."""
+    """Text from one 'N% DE DESCUENTO - …' heading to the next or the end, longer than 100."""
     rows = _spans(pages, text, OFFER_OPENER, keep, ci=False)
     t = F.col("_text")
-    stop = F.coalesce(F.col("next_start"), F.least(F.col("start") + 5000, F.length(t)))
+    stop = F.coalesce(F.col("next_start"), F.length(t))
     return rows.select(*keep, "pos", _cut(t, F.col("start"), stop).alias("text")).filter(F.length("text") > 100)
 
 
@@ -109,12 +108,12 @@ def match_contexts(
 
 
 def badge_cards(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """Card text around every badge: from half way to the previous badge (200 at most) to the next one (800)."""
+    """Card text around every badge: from half way to the previous badge to the start of the next one."""
     rows = _spans(docs, text, BADGE, keep)
     t = F.col("_text")
     middle = F.floor((F.col("prev_stop") + F.col("start")) / 2)
-    start = F.greatest(F.coalesce(middle, F.lit(0)), F.col("start") - 200, F.lit(0)).cast("int")
-    stop = F.coalesce(F.col("next_start"), F.least(F.col("stop") + 800, F.length(t)))
+    start = F.coalesce(middle, F.lit(0)).cast("int")
+    stop = F.coalesce(F.col("next_start"), F.length(t))
     return rows.select(*keep, "pos", "hit", _cut(t, start, stop).alias("card_text"))
 
 

@@ -11,7 +11,7 @@ from ..functions import dates
 from ..functions.terms import entity_label
 from ..functions.text import blank_to_null, or_blank
 from . import filters
-from .match import offers_for_users
+from .match import match_sets, method_sets, valid_offers
 from .ordering import chunked, row_numbers
 from .relational import with_merchant
 
@@ -46,7 +46,7 @@ def _total(n: Column, suffix: str = "") -> Column:
 
 def _messages(lines: DataFrame, group: list[str], suffix: str = "") -> DataFrame:
     """Messages of at most LINES_PER_MESSAGE lines per group; the last one carries the total."""
-    chunks = chunked(lines, group, [F.desc("discount"), F.col("id").asc()], ["line"], LINES_PER_MESSAGE)
+    chunks = chunked(lines, group, ["-discount", "id"], ["line"], LINES_PER_MESSAGE)
     totals = lines.groupBy(*group).agg(F.count("*").alias("total"))
     joined = chunks.join(totals, group)
     body = F.array_join(F.transform("items", lambda x: x["line"]), "\n\n")
@@ -61,7 +61,7 @@ def method_summary(methods: DataFrame, shown: int = 4) -> DataFrame:
     unique = methods.select("user_id", "entity_name").distinct()
     counts = unique.groupBy("user_id").agg(F.count("*").alias("n_methods"))
     first = (
-        row_numbers(unique, ["user_id"], [F.col("entity_name").asc()])
+        row_numbers(unique, ["user_id"], ["entity_name"])
         .filter(F.col("row_no") <= shown)
         .groupBy("user_id")
         .agg(F.array_join(F.array_sort(F.collect_list("entity_name")), ", ").alias("names"))
@@ -76,34 +76,43 @@ def build_digests(
     """Messages of the day for every user who wants them.
 
     Rows: user_id, telegram_chat_id, kind ('header', 'merchant', 'notice'), merchant_name, chunk_no, text.
-    Users without payment methods get nothing; users without matching offers get a notice.
+    Users without payment methods get nothing; users without matching offers get a notice. Messages are made
+    once for each distinct set of method names, and users join last.
     """
     day = dates.weekday_name(as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)).lower()
     wanted = users.filter(filters.users_to_notify()).select(F.col("id").alias("user_id"), "telegram_chat_id")
     own = methods.join(wanted.select("user_id"), "user_id", "left_semi")
-    lines = offers_for_users(offers, merchants, own, as_of, today_only=True).select(
-        "user_id", "id", "merchant_name", "discount", offer_line().alias("line")
-    )
-    messages = _messages(lines, ["user_id", "merchant_name"])
-    summary = method_summary(own)
+    holders, set_names = method_sets(own)
+    joined = with_merchant(valid_offers(offers, as_of, today_only=True), merchants)
+    named, pairs = match_sets(_with_details(joined), set_names)
+    lines = pairs.join(named.select("combo", "id", "merchant_name", "discount", offer_line().alias("line")), "combo").drop("combo")
+    messages = _messages(lines, ["set_id", "merchant_name"])
+    summary = method_summary(own).join(holders, "user_id", "left")
     greeting = F.lit(f"👋 ¡Buen {day}!\n")
-    has_offers = messages.select("user_id").distinct()
-    headers = summary.join(has_offers, "user_id", "left_semi").select(
-        "user_id",
-        F.lit("header").alias("kind"),
-        F.lit("").alias("merchant_name"),
-        F.lit(0).alias("chunk_no"),
-        F.concat(greeting, F.lit("🎯 *Tus promos de hoy* ("), F.col("methods"), F.lit(")")).alias("text"),
-    )
-    notices = summary.join(has_offers, "user_id", "left_anti").select(
+    has_offers = pairs.select("set_id").distinct().withColumn("_found", F.lit(True))
+    found = F.col("_found").isNotNull()
+    heads = summary.join(has_offers, "set_id", "left").select(
         "user_id",
-        F.lit("notice").alias("kind"),
+        F.when(found, "header").otherwise("notice").alias("kind"),
         F.lit("").alias("merchant_name"),
         F.lit(0).alias("chunk_no"),
-        F.concat(greeting, F.lit("\nℹ️ Hoy no hay promociones activas para tus tarjetas y billeteras.")).alias("text"),
+        F.concat(
+            greeting,
+            F.when(found, F.concat(F.lit("🎯 *Tus promos de hoy* ("), F.col("methods"), F.lit(")"))).otherwise(
+                "\nℹ️ Hoy no hay promociones activas para tus tarjetas y billeteras."
+            ),
+        ).alias("text"),
     )
-    body = messages.select("user_id", F.lit("merchant").alias("kind"), "merchant_name", "chunk_no", "text")
-    return headers.unionByName(body).unionByName(notices).join(wanted, "user_id")
+    body = holders.join(messages, "set_id").select("user_id", F.lit("merchant").alias("kind"), "merchant_name", "chunk_no", "text")
+    return heads.unionByName(body).join(wanted, "user_id")
+
+
+def _with_details(offers: DataFrame) -> DataFrame:
+    """The columns that a line shows, absent ones as null."""
+    for name in ("cap", "min_purchase"):
+        if name not in offers.columns:
+            offers = offers.withColumn(name, F.lit(None).cast("string"))
+    return offers
 
 
 def merchant_digests(
@@ -116,10 +125,7 @@ def merchant_digests(
     joined = with_merchant(offers.filter(test), merchants)
     if merchant:
         joined = joined.filter(filters.merchant_is(merchant, "contains"))
-    for name in ("cap", "min_purchase"):
-        if name not in joined.columns:
-            joined = joined.withColumn(name, F.lit(None).cast("string"))
-    lines = joined.select("id", "merchant_name", "discount", offer_line().alias("line"))
+    lines = _with_details(joined).select("id", "merchant_name", "discount", offer_line().alias("line"))
     return _messages(lines, ["merchant_name"], "  de hoy" if today_only else " activas")
 
 
@@ -127,7 +133,7 @@ def bot_page(rows: DataFrame, header: str, page: int = 1, size: int = 8) -> Data
     """One page of a bot answer, rendered as text rows with the page counter."""
     from .ordering import page_count, paginate
 
-    order = [F.col("merchant_name"), F.desc("scraped_at"), F.desc("id")]
+    order = ["merchant_name", "-scraped_at", "-id"]
     counts = page_count(rows, size)
     shown = paginate(rows, order, page, size)
     return shown.select(

@@ -147,14 +147,16 @@ def replace_terms(current: DataFrame, fresh: DataFrame, key: str = "offer_id") -
     return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def terms_rows(offers: DataFrame) -> DataFrame:
-    """Parsed terms rows of the offers that carry legal text."""
+def terms_rows(offers: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Parsed terms rows of the offers that carry legal text, with the columns to keep besides."""
     kept = offers.filter(or_blank(F.col("terms_raw")) != "").select(
+        *(keep or []),
         offer_id().alias("offer_id"),
         F.col("terms_raw").alias("raw_text"),
         F.filter(F.array("bank", "wallet"), lambda x: or_blank(x) != "").alias("payment_methods"),
     )
     return terms_fn.parse_terms(kept, "raw_text").select(
+        *(keep or []),
         "offer_id",
         "raw_text",
         terms_fn.listed(F.col("exclusions")).alias("exclusions"),
@@ -245,26 +247,37 @@ def backfill_dates(offers: DataFrame, columns: tuple[str, ...] = ("valid_from",
     return out
 
 
+STORE_TABLES = ("offers", "terms", "merchants", "history")
+
+
 def apply_crawl(
-    store: dict[str, DataFrame], batch: DataFrame, runs: DataFrame, now: str, materialize: bool = False
+    store: dict[str, DataFrame],
+    batch: DataFrame,
+    runs: DataFrame,
+    now: str,
+    materialize: bool = False,
+    tables: tuple[str, ...] = STORE_TABLES,
 ) -> dict[str, DataFrame]:
     """Merge one crawl batch into the store.
 
     `batch` holds unified offers with merchant_id and pos, `runs` one row per crawled merchant with its
     error. Batch rows of failed merchants are ignored. Per merchant: richest duplicate kept, offers of
     the merchant deactivated, batch upserted; merchants with an empty or failed crawl only get history.
-    All four results read the reduced batch; `materialize` stores it once instead of computing it for each.
+    All results read the reduced batch; `materialize` stores it once instead of computing it for each.
+    Only the `tables` named are planned.
     """
     good = batch.join(runs.filter(F.col("error").isNull()).select("merchant_id"), "merchant_id", "left_semi")
     kept = dedup_keep_richest(good, ["merchant_id"])
     if materialize:
         kept = reliable_checkpoint(kept)
     stored = batch_offers(kept)
-    offers = upsert_offers(store["offers"], kept, now, deactivate_crawled=True)
-    terms = replace_terms(store["terms"], terms_rows(stored))
-    merchants = touch_merchants(store["merchants"], stored.select("merchant_id"), now)
-    history = append_history(store["history"], history_rows(runs, kept, now))
-    return {"offers": offers, "terms": terms, "merchants": merchants, "history": history}
+    plans = {
+        "offers": lambda: upsert_offers(store["offers"], kept, now, deactivate_crawled=True),
+        "terms": lambda: replace_terms(store["terms"], terms_rows(stored)),
+        "merchants": lambda: touch_merchants(store["merchants"], stored.select("merchant_id"), now),
+        "history": lambda: append_history(store["history"], history_rows(runs, kept, now)),
+    }
+    return {name: plans[name]() for name in tables}
 
 
 def route_aggregator(batch: DataFrame, merchants: DataFrame, default_brand: str | None = None) -> DataFrame:
@@ -365,8 +378,11 @@ def read_snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str,
 
 
 def replace_merchant_offers(offers: DataFrame, path: str) -> None:
-    """Overwrite only the merchants in `offers`: dynamic partition overwrite by merchant."""
-    offers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merchant_id").parquet(path)
+    """Overwrite only the merchants in `offers`: dynamic partition overwrite by merchant.
+
+    Rows are clustered by merchant first, so small merchants are one file each and a large one is split by size.
+    """
+    offers.hint("rebalance", F.col("merchant_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merchant_id").parquet(path)
 
 
 def replaced_merchant_offers(current: DataFrame, fresh: DataFrame) -> DataFrame:

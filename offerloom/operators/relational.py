@@ -352,7 +352,7 @@ def size_by(listing: DataFrame, column: str) -> DataFrame:
 def methods_by_type(methods: DataFrame, size: int = 500) -> DataFrame:
     """A user's method names per type, in chunks, with the number selected."""
     unique = methods.dropDuplicates(["user_id", "entity_type", "entity_name"])
-    return chunked(unique, ["user_id", "entity_type"], [F.col("entity_name").asc()], ["entity_name"], size)
+    return chunked(unique, ["user_id", "entity_type"], ["entity_name"], ["entity_name"], size)
 
 
 def trailing_event_count(events: DataFrame, key: str, ts: str, now: str, seconds: int = 3600, limit: int = 3) -> DataFrame:

@@ -49,8 +49,7 @@ def filtered(offers: DataFrame, merchants: DataFrame, f: OfferFilters, as_of: dt
     return joined.filter(_all(side))
 
 
-def _newest() -> list[Column]:
-    return [F.desc("scraped_at"), F.desc("id")]
+NEWEST = ["-scraped_at", "-id"]
 
 
 def list_offers(
@@ -64,7 +63,7 @@ def list_offers(
 ) -> tuple[DataFrame, DataFrame]:
     """(page of the listing, total and page count). Terms, parsed or raw, join only the rows of the page."""
     rows = filtered(offers, merchants, f, as_of)
-    shown = ordering.paginate(rows, _newest(), page, size)
+    shown = ordering.paginate(rows, NEWEST, page, size)
     parsed = "max_discount" in terms.columns
     joined = relational.with_terms(shown, terms) if parsed else relational.with_raw_terms(shown, terms)
     listing = relational.offer_list_view(joined)

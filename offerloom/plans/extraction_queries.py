@@ -914,7 +914,7 @@ BANK_NAMES = q.every(f"coalesce({LISTED_BANKS}, '')", r"(Banco\s+[\w\s]+|Billete
     "fx_cards",
     sql_columns(
         {
-            "banks": f"coalesce(left(array_to_string(list_filter(list_transform({BANK_NAMES}, lambda b: trim(regexp_replace(trim(b), '[,y]+$', ''))), lambda b: length(b) > 3), ', '), 300), '')"
+            "banks": f"coalesce(array_to_string(list_filter(list_transform({BANK_NAMES}, lambda b: trim(regexp_replace(trim(b), '[,y]+$', ''))), lambda b: length(b) > 3), ', '), '')"
         }
     ),
 )
@@ -987,7 +987,7 @@ def _(s, sf):
 
 
 BRANCH = f"trim(regexp_replace({q.squeeze(q.first(T, terms.COTO_BRANCHES))}, '^,+|,+$', '', 'g'))"
-BRANCH = f"case when length({BRANCH}) > 3 and length({BRANCH}) < 200 then {BRANCH} end"
+BRANCH = f"case when length({BRANCH}) > 3 then {BRANCH} end"
 OUT = " ".join(
     f", coalesce(list_transform({q.every(T, p, 1, False)}, lambda x: trim(x)), [])" for p in terms.MAS_BRANCHES_OUT
 )[2:]
@@ -999,7 +999,7 @@ OUT = " ".join(
     sql_columns(
         {
             "branches": f"coalesce(case when {q.m(T, terms.COTO_ONLINE)} then coalesce({BRANCH} || ' y Coto Digital', 'Coto Digital') else {BRANCH} end, '')",
-            "excluded": f"coalesce(left(array_to_string(flatten([{OUT}]), ', '), 500), '')",
+            "excluded": f"coalesce(array_to_string(flatten([{OUT}]), ', '), '')",
         }
     ),
 )
@@ -1014,11 +1014,11 @@ def _categories() -> str:
     for p in terms.CENCOSUD_CATEGORIES:
         named = q.squeeze(q.g(T, p))
         stop = " or ".join(f"starts_with({named}, {q.lit(w)})" for w in terms.NOT_A_CATEGORY)
-        picks.append(f"case when length({named}) > 2 and length({named}) < 100 and not ({stop}) then {named} end")
+        picks.append(f"case when length({named}) > 2 and not ({stop}) then {named} end")
     return f"coalesce({', '.join(picks)}, '')"
 
 
-COTO_CAT = f"left({q.squeeze(q.g(T, terms.COTO_CATEGORIES))}, 200)"
+COTO_CAT = q.squeeze(q.g(T, terms.COTO_CATEGORIES))
 
 
 @query(
@@ -1035,7 +1035,7 @@ def _(s, sf):
     "fx_cards",
     sql_columns(
         {
-            "refund": blank(f"left(trim({q.g(T, terms.COTO_REFUND_FORM)}), 300)"),
+            "refund": blank(f"trim({q.g(T, terms.COTO_REFUND_FORM)})"),
             "month": blank(_title_case(q.g(T, terms.MAS_MONTH_OF_DAY))),
         }
     ),
@@ -1082,10 +1082,10 @@ def _(s, sf):
 CLAUSES = " ".join(f", coalesce(list_transform({q.every(UP, p, 1, False)}, lambda x: trim(x)), [])" for p in terms.CLIENT_CLAUSES)[2:]
 ONLY = f"trim({q.g(UP, terms.ONLY_FOR, 1, False)})"
 ITEMS = (
-    f"list_concat(list_filter([case when length({ONLY}) > 3 and length({ONLY}) < 100 and not contains({ONLY}, 'EXCLU') then {ONLY} end, "
+    f"list_concat(list_filter([case when length({ONLY}) > 3 and not contains({ONLY}, 'EXCLU') then {ONLY} end, "
     f"case when {q.m(UP, terms.FAMILY_USE, False)} then 'CONSUMO FAMILIAR' end, 'COMPRA MÍNIMA $' || replace(replace("
     f"coalesce({q.g(UP, terms.MINIMUM_TERMS, 1, False)}, {q.g(UP, terms.STARTING_AT, 1, False)}), '.', ''), ',', '.')], lambda x: x is not null), "
-    f"list_filter(flatten([{CLAUSES}]), lambda x: length(x) > 3 and length(x) < 100))"
+    f"list_filter(flatten([{CLAUSES}]), lambda x: length(x) > 3))"
 )
 TIDY = f"list_transform({ITEMS}, lambda x: regexp_replace(x, '^[ .,;]+|[ .,;]+$', '', 'g'))"
 KEPT = f"list_filter({TIDY}, lambda x: x <> '' and not regexp_matches(x, 'EXCLU|EXCEPTO|NO INCLUYE|NO VÁLIDO|NO APLICA|TOPE'))"
@@ -1094,7 +1094,7 @@ KEPT = f"list_filter({TIDY}, lambda x: x <> '' and not regexp_matches(x, 'EXCLU|
 @query(
     "h52_requirements_terms",
     "fx_cards",
-    sql_columns({"requirements": f"coalesce(left(array_to_string({KEPT}, ', '), 500), '')"}),
+    sql_columns({"requirements": f"coalesce(array_to_string({KEPT}, ', '), '')"}),
 )
 def _(s, sf):
     return cards(s, sf).select("id", terms.extract_requirements_terms(F.upper(T)).alias("requirements"))
@@ -1111,7 +1111,7 @@ def _(s, sf):
             f"when {q.m(T, 'acumulable|se +puede +acumular|compatible +con +otras')} then 'Sí' "
             f"when {q.m(T, 'promoci[oó]n|beneficio|descuento|reintegro')} and {q.m(T, '[Vv]er +legal|[Tt][eé]rminos|[Cc]ondiciones', False)} then 'No (por defecto)' end",
             "cencosud": f"case when {q.m(T, 'no +(?:es +)?acumulable|no +acumula')} then 'No' when " + q.m(T, r"\bacumulable\b") + " then 'Sí' end",
-            "other_offers": blank(f"left(trim({q.g(T, 'NO +ACUMULABLE +CON +([^.]+)')}), 200)"),
+            "other_offers": blank(f"trim({q.g(T, 'NO +ACUMULABLE +CON +([^.]+)')})"),
         }
     ),
 )
@@ -1128,17 +1128,17 @@ def _all_texts(t: str, patterns: list[str], ci: bool = True) -> str:
 
 
 SPLIT = f"flatten(list_transform({_all_texts(LOW, terms.EXCLUSIONS_LEGAL)}, lambda t: regexp_split_to_array(t, ',|\\s+y\\s+')))"
-LEGAL_EXCL = f"list_sort(list_distinct(list_transform(list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: length(x) > 3 and length(x) < 100), lambda x: upper(left(x, 1)) || lower(substr(x, 2)))))"
+LEGAL_EXCL = f"list_sort(list_distinct(list_transform(list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: length(x) > 3), lambda x: upper(left(x, 1)) || lower(substr(x, 2)))))"
 EXCL_SQL = {
-    "legal": f"coalesce(array_to_string({LEGAL_EXCL}[1:10], '; '), '')",
-    "page": f"coalesce(array_to_string(list_transform(list_filter({_all_texts(T, terms.EXCLUSIONS_PAGE)}, lambda x: length(x) > 5), lambda x: left(x, 200))[1:5], '; '), '')",
-    "masonline": f"left(concat_ws(' | ', left(trim({q.g(T, terms.MAS_LEFT_OUT, 1, False)}), 200), "
-    f"nullif(array_to_string(list_transform({q.every(T, terms.MAS_NOT_VALID, 1, False)}, lambda x: 'No válido ' || trim(x)), ' | '), '')), 1000)",
-    "coto": "left(trim(regexp_replace(concat_ws(' | ', trim(" + q.g(T, terms.COTO_EXCLUSIONS_SECTION) + "), "
+    "legal": f"coalesce(array_to_string({LEGAL_EXCL}, '; '), '')",
+    "page": f"coalesce(array_to_string(list_filter({_all_texts(T, terms.EXCLUSIONS_PAGE)}, lambda x: length(x) > 5), '; '), '')",
+    "masonline": f"concat_ws(' | ', trim({q.g(T, terms.MAS_LEFT_OUT, 1, False)}), "
+    f"nullif(array_to_string(list_transform({q.every(T, terms.MAS_NOT_VALID, 1, False)}, lambda x: 'No válido ' || trim(x)), ' | '), ''))",
+    "coto": "trim(regexp_replace(concat_ws(' | ', trim(" + q.g(T, terms.COTO_EXCLUSIONS_SECTION) + "), "
     f"nullif(array_to_string(list_transform({q.every(T, terms.COTO_NOT_INCLUDED)}, lambda x: 'No incluye ' || trim(x)), ' | '), ''), "
-    f"'Quedan excluidas ' || trim({q.g(T, terms.COTO_LEFT_OUT)}), 'No válido para ' || trim({q.g(T, terms.COTO_NOT_VALID)})), '\\s+', ' ', 'g')), 2000)",
-    "cencosud": f"left(concat_ws(' | ', 'No válido el ' || {q.g(T, terms.CENCOSUD_NOT_VALID)}, nullif(array_to_string(list_transform(list_filter(list_transform("
-    f"{q.every(T, terms.CENCOSUD_NOT_APPLIED, 1, False)}, lambda x: trim(x)), lambda x: length(x) > 5), lambda x: 'No aplica ' || left(x, 200)), ' | '), '')), 500)",
+    f"'Quedan excluidas ' || trim({q.g(T, terms.COTO_LEFT_OUT)}), 'No válido para ' || trim({q.g(T, terms.COTO_NOT_VALID)})), '\\s+', ' ', 'g'))",
+    "cencosud": f"concat_ws(' | ', 'No válido el ' || {q.g(T, terms.CENCOSUD_NOT_VALID)}, nullif(array_to_string(list_transform(list_filter(list_transform("
+    f"{q.every(T, terms.CENCOSUD_NOT_APPLIED, 1, False)}, lambda x: trim(x)), lambda x: length(x) > 5), lambda x: 'No aplica ' || x), ' | '), ''))",
     "shell": blank(f"trim({q.g(T, terms.NO_STACK_SHELL, 0)})"),
     "puma": blank(q.squeeze(q.g(T, terms.NO_STACK_PUMA))),
     "card": blank(f"rtrim(trim({q.g(T, terms.NOT_INCLUDED_CARD)}), '.')"),
@@ -1163,7 +1163,7 @@ EXTRA = ", ".join(
     sql_columns(
         {
             "legal": f"coalesce(array_to_string(list_sort(list_distinct(list_concat({PHRASES}, list_filter([{EXTRA}], lambda x: x is not null)))), '|'), '')",
-            "page": f"coalesce(array_to_string(list_filter({_all_texts(T, terms.REQUIREMENTS_PAGE)}, lambda x: length(x) > 10)[1:3], '|'), '')",
+            "page": f"coalesce(array_to_string(list_filter({_all_texts(T, terms.REQUIREMENTS_PAGE)}, lambda x: length(x) > 10), '|'), '')",
             "coto": f"concat_ws('|', trim({q.g(T, terms.COTO_FOR_PURCHASE)}), trim({q.g(T, terms.COTO_VALID_FOR)}))",
         }
     ),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import or_blank, split_csv
-from ..operators import dedup, filters, lifecycle, relational
+from ..operators import dedup, filters, lifecycle, relational, store
 from ..schema import HISTORY, OFFERS, TERMS
 from ..session import shared_dir
 from ..sources import tables
@@ -157,11 +157,13 @@ def runs_of(batch: DataFrame) -> DataFrame:
     return batch.select("merchant_id").distinct().withColumn("error", F.lit(None).cast("string"))
 
 
-def after_batches(spark: SparkSession, sf: str, numbers: tuple[int, ...] = (1, 2)) -> dict[str, DataFrame]:
+def after_batches(
+    spark: SparkSession, sf: str, numbers: tuple[int, ...] = (1, 2), tables: tuple[str, ...] = lifecycle.STORE_TABLES
+) -> dict[str, DataFrame]:
     state = start_state(spark, sf)
     for number in numbers:
         batch = as_batch(crawl(spark, sf, number))
-        state = lifecycle.apply_crawl(state, batch, runs_of(batch), NOW)
+        state = lifecycle.apply_crawl(state, batch, runs_of(batch), NOW, tables=tables)
     return state
 
 
@@ -190,7 +192,7 @@ def _(s, sf):
     f"""with b1 as ({BATCH_ONE}), b2 as ({BATCH_TWO}) select cast(merchant_id as varchar) as merchant_id, title, bank, wallet, discount, is_active from ({MERGED})""",
 )
 def w11_apply_crawl(s, sf):
-    offers = after_batches(s, sf)["offers"]
+    offers = after_batches(s, sf, tables=("offers",))["offers"]
     return offers.select("merchant_id", "title", "bank", or_blank(F.col("wallet")).alias("wallet"), "discount", "is_active")
 
 
@@ -202,7 +204,7 @@ def w11_apply_crawl(s, sf):
     select coalesce(t2.offer_id, t1.offer_id) as offer_id, coalesce(t2.terms_raw, t1.terms_raw) as raw_text from t1 full join t2 on t1.offer_id = t2.offer_id""",
 )
 def _(s, sf):
-    return after_batches(s, sf)["terms"].select("offer_id", "raw_text")
+    return after_batches(s, sf, tables=("terms",))["terms"].select("offer_id", "raw_text")
 
 
 @query(
@@ -216,13 +218,13 @@ def _(s, sf):
     out = None
     for number in (1, 2):
         batch = as_batch(crawl(s, sf, number))
-        state = lifecycle.apply_crawl(start_state(s, sf), batch, runs_of(batch), NOW)
+        state = lifecycle.apply_crawl(start_state(s, sf), batch, runs_of(batch), NOW, tables=("history",))
         part = state["history"].select(F.lit(number).alias("batch"), "merchant_id", "status", "promotions_found", "error_message")
         out = part if out is None else out.unionByName(part)
     # A failed source, next to a batch row of it that must be ignored.
-    batch = as_batch(crawl(s, sf, 1)).filter(F.col("pos") < 10).withColumn("merchant_id", F.lit("caida"))
+    batch = as_batch(crawl(s, sf, 1)).withColumn("merchant_id", F.lit("caida"))
     failed = batch.select("merchant_id").distinct().withColumn("error", F.lit("timeout"))
-    lost = lifecycle.apply_crawl(start_state(s, sf), batch, failed, NOW)["history"]
+    lost = lifecycle.apply_crawl(start_state(s, sf), batch, failed, NOW, tables=("history",))["history"]
     return out.unionByName(lost.select(F.lit(9).alias("batch"), "merchant_id", "status", "promotions_found", "error_message"))
 
 
@@ -233,7 +235,7 @@ def _(s, sf):
     case when m.id in (select supermarket_id from r) then timestamp '{NOW}' end as last_scraped from fx_merchants m""",
 )
 def _(s, sf):
-    return after_batches(s, sf)["merchants"].select("id", "name", "scrape_count", "last_scraped")
+    return after_batches(s, sf, tables=("merchants",))["merchants"].select("id", "name", "scrape_count", "last_scraped")
 
 
 @query(
@@ -410,18 +412,21 @@ def _(s, sf):
 @query(
     "w15_reset",
     "fx_promos",
-    "select cast(supermarket_id as varchar) as merchant_id, count(*) as n from fx_promos where false group by 1",
+    "select 'filled' as state, count(*) as n, count(distinct supermarket_id) as merchants from fx_promos union all select 'reset', 0, 0",
 )
 def _(s, sf):
-    """A store filled from the offers and reset: counting what is left gives no rows."""
+    """A store filled with the offers, and the same store after a reset: the tables are there, and empty."""
     root = f"{shared_dir(s)}/reset-{uuid.uuid4().hex}"
     filled = promos(s, sf).select(
         F.col("id").cast("string").alias("id"), F.col("merchant_id").cast("string").alias("merchant_id"), "title"
     )
     lifecycle.write_snapshot({"offers": filled}, root, 1)
+    before = lifecycle.read_snapshot(s, root, ["offers"])["offers"]
     lifecycle.write_snapshot(lifecycle.empty_tables(s, {"offers": filled.schema}), root, 2)
-    left = lifecycle.read_snapshot(s, root, ["offers"])["offers"]
-    return left.groupBy("merchant_id").agg(F.count("*").alias("n"))
+    after = lifecycle.read_snapshot(s, root, ["offers"])["offers"]
+    counts = [F.count("*").alias("n"), F.count_distinct("merchant_id").alias("merchants")]
+    both = [df.agg(*counts).select(F.lit(state).alias("state"), "*") for state, df in (("filled", before), ("reset", after))]
+    return both[0].unionByName(both[1])
 
 
 @query(
@@ -442,14 +447,146 @@ def _(s, sf):
 @query(
     "w11_snapshot_round_trip",
     "fx_crawl",
-    f"""with b1 as ({BATCH_ONE}) select cast(merchant_id as varchar) as merchant_id, title, bank, discount from b1""",
+    f"""with b1 as ({BATCH_ONE}), b2 as ({BATCH_TWO}) select cast(merchant_id as varchar) as merchant_id, title, bank, discount from ({MERGED}) where is_active""",
 )
 def _(s, sf):
-    """Batch one merged twice with a stored snapshot between: the same as merging it once."""
+    """Batch one merged twice with a stored snapshot between, then batch two: the same as merging each once."""
     root = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    state = start_state(s, sf)
+    for number, step in ((1, "a"), (1, "b"), (2, "c")):
+        batch = as_batch(crawl(s, sf, number))
+        lifecycle.write_snapshot(lifecycle.apply_crawl(state, batch, runs_of(batch), NOW, materialize=True), root, step)
+        state = lifecycle.read_snapshot(s, root, list(state))
+    return state["offers"].filter("is_active").select("merchant_id", "title", "bank", "discount")
+
+
+# --- the store in buckets ------------------------------------------------------------------------------
+
+
+def new_store(spark: SparkSession, sf: str, buckets: int = 16) -> store.Store:
+    """A bucketed store without offers, in a folder of its own."""
+    return store.create_store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", start_state(spark, sf), buckets)
+
+
+def stored_offers(found: store.Store) -> DataFrame:
+    return found.table("offers").select("merchant_id", "title", "bank", or_blank(F.col("wallet")).alias("wallet"), "discount", "is_active")
+
+
+MERGED_TEXT = "select cast(merchant_id as varchar) as merchant_id, title, bank, wallet, discount, is_active"
+
+
+@query("w11_bucketed_store", "fx_crawl", f"with b1 as ({BATCH_ONE}), b2 as ({BATCH_TWO}) {MERGED_TEXT} from ({MERGED})")
+def _(s, sf):
+    """Both batches into a store of merchant buckets; the second comes twice and counts once."""
+    found = new_store(s, sf)
+    for number in (1, 2, 2):
+        batch = as_batch(crawl(s, sf, number))
+        found = store.apply_batch(found, number, batch, runs_of(batch), NOW)
+    return stored_offers(found)
+
+
+@query(
+    "w11_tenth_of_merchants",
+    "fx_crawl",
+    f"with b1 as ({BATCH_ONE}), b2 as (select * from ({BATCH_TWO}) where merchant_id % 10 = 3) {MERGED_TEXT} from ({MERGED})",
+)
+def _(s, sf):
+    """A second crawl of one merchant in ten reads and writes the buckets of these alone."""
+    found = new_store(s, sf)
+    batch = as_batch(crawl(s, sf, 1))
+    found = store.apply_batch(found, 1, batch, runs_of(batch), NOW)
+    some = as_batch(crawl(s, sf, 2)).filter(F.col("merchant_id").cast("int") % 10 == 3)
+    return stored_offers(store.apply_batch(found, 2, some, runs_of(some), NOW))
+
+
+AGGREGATED = f"""r2 as (select * from ({RICHEST}) where batch = 2), via as (select * from r2 where supermarket_id % 4 = 0),
+  brand_rows as (select supermarket_id as source, unnest(case when brands = 'YPF, Shell' then ['YPF', 'Shell'] when brands = 'Axion y Puma' then ['Axion', 'Puma']
+    when supermarket_id % 8 = 0 then ['YPF'] else ['Combustible (genérico)'] end) as brand, title, coalesce(bank, '') as bank, coalesce(wallet, '') as wallet, discount, pos from via)"""
+ROUTED = """select md5(brand) as merchant_id, title, bank, wallet, discount, true as is_active from brand_rows
+  qualify row_number() over (partition by brand, title, bank order by pos desc) = 1"""
+
+
+def aggregator_batch(s, sf):
+    """The store after batch one, and after batch two with every fourth merchant an aggregator."""
+    found = new_store(s, sf)
     batch = as_batch(crawl(s, sf, 1))
-    first = lifecycle.apply_crawl(start_state(s, sf), batch, runs_of(batch), NOW)
-    lifecycle.write_snapshot(first, root, 1)
-    stored = lifecycle.read_snapshot(s, root, list(first))
-    second = lifecycle.apply_crawl(stored, batch, runs_of(batch), NOW)
-    return second["offers"].filter("is_active").select("merchant_id", "title", "bank", "discount")
+    found = store.apply_batch(found, 1, batch, runs_of(batch), NOW)
+    rows = crawl(s, sf, 2)
+    brands = rows.select("pos", split_csv(F.col("brands"), also_y=True).alias("merchant_brands"))
+    second = as_batch(rows).join(brands, "pos")
+    number = F.col("merchant_id").cast("int")
+    runs = runs_of(second).select(
+        "*",
+        (number % 4 == 0).alias("aggregator"),
+        F.concat(F.lit("Fuente "), "merchant_id").alias("name"),
+        F.concat(F.lit("http://fuente/"), "merchant_id").alias("url"),
+        F.when(number % 8 == 0, "YPF").alias("default_brand"),
+    )
+    return store.apply_batch(found, 2, second, runs, NOW)
+
+
+@query(
+    "w11_aggregator_batch",
+    "fx_crawl",
+    f"""with {AGGREGATED}, b1 as ({BATCH_ONE}), b2 as ({STORED.format(source="select * from r2 where supermarket_id % 4 <> 0")})
+    select merchant_id, title, bank, wallet, discount, is_active and merchant_id not in (select cast(supermarket_id as varchar) from via) as is_active from ({MERGED_TEXT} from ({MERGED}))
+    union all {ROUTED}""",
+)
+def _(s, sf):
+    return stored_offers(aggregator_batch(s, sf))
+
+
+@query(
+    "w11_aggregator_history",
+    "fx_crawl",
+    f"""with {AGGREGATED}, n as (select source, brand, count(*) as n from brand_rows group by 1, 2), crawled as (select batch, supermarket_id as m, count(*) as all_rows from fx_crawl group by 1, 2),
+    rich as (select batch, supermarket_id as m, count(*) as n from ({RICHEST}) group by 1, 2)
+    select cast(c.m as varchar) as merchant_id, coalesce(r.n, 0) as promotions_found, case when r.n is null then 'No promotions found' else 'Method: traditional' end as error_message
+      from crawled c left join rich r on r.batch = c.batch and r.m = c.m where c.batch = 1 or c.m % 4 <> 0 or r.n is null
+    union all select md5(brand), n, 'Method: traditional (via Fuente ' || source || ')' from n
+    union all select cast(source as varchar), cast(sum(n) as bigint), 'Aggregator: routed to ' || count(*) || ' brand(s)' from n group by source""",
+)
+def _(s, sf):
+    return aggregator_batch(s, sf).table("history").select("merchant_id", "promotions_found", "error_message")
+
+
+@query(
+    "w1_aggregator_merchants",
+    "fx_crawl fx_merchants",
+    f"""with {AGGREGATED}, b as (select brand, max_by('http://fuente/' || source, pos) as url from brand_rows group by 1)
+    select name, url, category from (select name, url, coalesce(category, 'supermarket') as category from fx_merchants union all select brand, url, 'fuel' from b)""",
+)
+def _(s, sf):
+    """Brands that an aggregator names become merchants with the address of the newest source."""
+    return aggregator_batch(s, sf).table("merchants").select("name", "url", F.coalesce("category", F.lit("supermarket")).alias("category"))
+
+
+@query(
+    "w8_age_store",
+    "fx_promos",
+    f"""select cast(id as varchar) as id, is_active = 1 and not scraped_at < timestamp '1998-01-01 00:00:00' - interval '400' day and not coalesce(valid_until < date '{AS_OF}', false) as is_active from fx_promos""",
+)
+def _(s, sf):
+    """Stale and expired offers of a bucketed store; buckets without any are not written again."""
+    tables = start_state(s, sf)
+    kinds = {f.name: f.dataType for f in tables["offers"].schema.fields}
+    rows = promos(s, sf)
+    have = set(rows.columns)
+    tables["offers"] = rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    found = store.create_store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}", tables)
+    return store.age(found, "age", "1998-01-01 00:00:00", 400, AS_OF).table("offers").select("id", "is_active")
+
+
+@query(
+    "w12_partition_overwrite",
+    "fx_promos",
+    """select id, title, discount from fx_promos where supermarket_id % 10 <> 3 union all select id, title, concat('nuevo ', discount) from fx_promos where supermarket_id % 10 = 3 and id % 2 = 0""",
+)
+def _(s, sf):
+    """Offers in folders by merchant, of which one in ten is overwritten and the others stay as written."""
+    path = f"{shared_dir(s)}/merchants-{uuid.uuid4().hex}"
+    p = promos(s, sf).select("merchant_id", "id", "title", "discount")
+    lifecycle.replace_merchant_offers(p, path)
+    fresh = p.filter((F.col("merchant_id") % 10 == 3) & (F.col("id") % 2 == 0))
+    lifecycle.replace_merchant_offers(fresh.withColumn("discount", F.concat(F.lit("nuevo "), "discount")), path)
+    return s.read.schema(p.schema).parquet(path).select("id", "title", "discount")

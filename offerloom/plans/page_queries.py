@@ -160,24 +160,22 @@ VISITED = "page_id % 3 = 0"
 @query(
     "a7_discover_next_pages",
     None,
-    f"""with links as (select {ROOT} || '/p/' || (page_id % 4 + 2) as url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from pages
+    f"""with links as (select {ROOT} || '/p/' || (page_id % 40 + 2) as url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from pages
+    union all select {ROOT} || '/p/99', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) from pages
     union all select {ROOT} || '/siguiente', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) from pages where page_id % 2 = 0)
-    select host, url, count(*) as found_on from links where host not in (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) from pages where {VISITED} group by 1 having count(distinct url) >= 3)
-    group by 1, 2 having url not in (select {ROOT} || '/p/3' from pages where {VISITED})""",
+    select host, url, count(*) as found_on from links group by 1, 2 having url not in (select {ROOT} || '/p/3' from pages where {VISITED})""",
 )
 def _(s, sf):
     p = pages(s, sf)
-    k = (F.col("page_id") % 4 + 2).cast("string")
+    k = (F.col("page_id") % 40 + 2).cast("string")
     extra = F.concat(
-        F.lit('<a href="/p/'), k, F.lit('">'), k, F.lit('</a><a href="/p/99">99</a>'),
+        F.lit('<a href="/p/'), k, F.lit('">'), k, F.lit('</a><a href="/p/99">99</a><a href="/p/1">1</a>'),
         F.when(F.col("page_id") % 2 == 0, '<a rel="next" href="/siguiente"><b>Siguiente</b> »</a>').otherwise(""),
     )
     crawled = p.filter(F.col("page_id") % 3 == 0)
     root = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
     seen = crawled.select("url").unionByName(crawled.select(F.concat(root, F.lit("/p/3")).alias("url")))
-    # The limit counts pages really visited, so the guessed links above stay out of it.
-    found = tables.discover_next_pages(p.withColumn("html", F.concat("html", extra)), crawled.select("url"), limit=3)
-    return found.join(seen, "url", "left_anti").select("host", "url", "found_on")
+    return tables.discover_next_pages(p.withColumn("html", F.concat("html", extra)), seen)
 
 
 @query(
@@ -250,31 +248,26 @@ def _(s, sf):
     return pages(s, sf).select("page_id", filters.is_rendered_page(F.col("html"), 3000, 500).alias("usable"))
 
 
-# Three paragraphs per page become legal blocks, with card text between them.
+# Each third of a page's text becomes a card, with a legal block after it.
 OPENERS = ["PROMOCIÓN VÁLIDA", "BENEFICIO VÁLIDO", "DESCUENTO EXCLUSIVO"]
 
 
 def legal_text(s, sf):
-    """One text per page: card, legal block, marker, three times."""
-    body = html_to_text(F.col("html"))
+    """One text per page: card, legal block, marker, three times; the cards hold the whole page."""
+    body, n = F.col("body"), F.length("body")
     parts = []
     for i, opener in enumerate(OPENERS):
-        card = F.concat(F.lit(f"Tarjeta {i} "), F.substring(body, F.lit(1 + 40 * i), F.lit(30)), F.lit(" "))
-        legal = F.concat(F.lit(f"{opener} PARA TODOS {i} "), F.repeat(F.lit("A"), 170), F.lit(" Ver legal "))
-        parts += [card, legal]
-    return pages(s, sf).select("page_id", F.concat(*parts).alias("text"))
-
-
-E4_TEXT = " || ".join(
-    f"('Tarjeta {i} ' || substr(t, {1 + 40 * i}, 30) || ' {o} PARA TODOS {i} ' || repeat('A', 170) || ' Ver legal ')" for i, o in enumerate(OPENERS)
-)
+        start, stop = F.floor(n * i / 3).cast("int"), F.floor(n * (i + 1) / 3).cast("int")
+        parts.append(F.concat(F.lit(f"Tarjeta {i} "), F.substring(body, start + 1, stop - start), F.lit(" ")))
+        parts.append(F.concat(F.lit(f"{opener} PARA TODOS {i} "), F.repeat(F.lit("A"), 170), F.lit(" Ver legal ")))
+    return pages(s, sf).select("page_id", html_to_text(F.col("html")).alias("body")).select("page_id", F.concat(*parts).alias("text"))
 
 
 @query(
     "e4_legal_spans",
     None,
     f"""with p as (select page_id, {HTML_TEXT} as t from pages), i as (select unnest([0, 1, 2]) as i)
-    select page_id, i as pos, trim(case when i > 0 then 'Ver legal ' else '' end || 'Tarjeta ' || i || ' ' || substr(t, cast(1 + 40 * i as int), 30)) as card_text,
+    select page_id, i as pos, trim(case when i > 0 then 'Ver legal ' else '' end || 'Tarjeta ' || i || ' ' || substr(t, cast(length(t) * i // 3 + 1 as int), cast(length(t) * (i + 1) // 3 - length(t) * i // 3 as int))) as card_text,
     (['{OPENERS[0]}', '{OPENERS[1]}', '{OPENERS[2]}'])[i + 1] || ' PARA TODOS ' || i || ' ' || repeat('A', 170) as legal_text from p, i""",
 )
 def _(s, sf):
@@ -284,15 +277,14 @@ def _(s, sf):
 @query(
     "e4_offer_sections",
     "fx_cards",
-    """select id, n - 1 as pos, (10 * n) || '% DE DESCUENTO - BANCO ' || chr(64 + cast(n as int)) || ': ' || card_text || case when n < 3 then chr(10) else '' end as text
-    from fx_cards, (select unnest([1, 2, 3]) as n) where length(card_text) > 80""",
+    """select * from (select id, n - 1 as pos, (10 * n) || '% DE DESCUENTO - BANCO ' || chr(64 + cast(n as int)) || ': ' || card_text || case when n < 3 then chr(10) else '' end as text
+    from fx_cards, (select unnest([1, 2, 3]) as n)) where length(text) > 100""",
 )
 def _(s, sf):
-    c = cards(s, sf).filter(F.length("card_text") > 80)
     parts = [
         F.concat(F.lit(f"{10 * n}% DE DESCUENTO - BANCO {chr(64 + n)}: "), "card_text", F.lit("\n" if n < 3 else "")) for n in (1, 2, 3)
     ]
-    return blocks.offer_sections(c.select("id", F.concat(*parts).alias("t")), F.col("t"), ["id"])
+    return blocks.offer_sections(cards(s, sf).select("id", F.concat(*parts).alias("t")), F.col("t"), ["id"])
 
 
 WORD = r"\bthe\b"
@@ -311,23 +303,23 @@ def _(s, sf):
     return found.filter(ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("hit")).alias("chars"))
 
 
-BADGE_ONE, BADGE_TWO = "position('30% ' in t)", "position('15% ' in t)"
+BADGE_SQL = q.lit("(?i)" + q.re2(blocks.BADGE))
 
 
 @query(
     "e5_badge_cards",
     "fx_cards",
-    """with t as (select id, 'Antes ' || left(card_text, 20) || ' 5% ' || 'medio con Banco ' || id || ' 7% final ' || card_text as t, length('Antes ' || left(card_text, 20) || ' ') as a,
-      length('Antes ' || left(card_text, 20) || ' 5% ' || 'medio con Banco ' || id || ' ') as b from fx_cards where id % 7 = 2 and id % 23 not in (4) and id % 11 <> 9)
-    select id, 0 as pos, '5%' as hit, substr(t, 1, b) as card_text from t union all
-    select id, 1, '7%', substr(t, cast((a + 2 + b) // 2 + 1 as int), case when length(t) < b + 2 + 800 then length(t) else b + 802 end - cast((a + 2 + b) // 2 as int)) from t""",
+    f"""with t as (select id, 'Antes ' || card_text || ' 5% medio con Banco ' || id || ' 7% final ' || card_text as t from fx_cards),
+    p as (select id, t, regexp_extract_all(t, {BADGE_SQL}) as h, regexp_split_to_array(t, {BADGE_SQL}) as g from t),
+    r as (select id, t, h[i] as hit, i, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) as bigint) as a
+      from (select id, t, h, g, unnest(range(1, len(h) + 1)) as i from p)),
+    s as (select *, a + length(hit) as b, lead(a) over (partition by id order by i) as nxt, lag(a + length(hit)) over (partition by id order by i) as prv from r),
+    c as (select *, coalesce((prv + a) // 2, 0) as low, coalesce(nxt, length(t)) as high from s)
+    select id, cast(i - 1 as int) as pos, hit, substr(t, cast(low + 1 as int), cast(high - low as int)) as card_text from c""",
 )
 def _(s, sf):
-    c = cards(s, sf).filter((F.col("id") % 7 == 2) & (F.col("id") % 23 != 4) & (F.col("id") % 11 != 9))
-    t = F.concat(
-        F.lit("Antes "), F.substring("card_text", 1, 20), F.lit(" 5% medio con Banco "), F.col("id").cast("string"), F.lit(" 7% final "), "card_text"
-    )
-    return blocks.badge_cards(c.select("id", t.alias("t")), F.col("t"), ["id"])
+    t = F.concat(F.lit("Antes "), "card_text", F.lit(" 5% medio con Banco "), F.col("id").cast("string"), F.lit(" 7% final "), "card_text")
+    return blocks.badge_cards(cards(s, sf).select("id", t.alias("t")), F.col("t"), ["id"])
 
 
 @query(
@@ -368,17 +360,16 @@ PARAGRAPHS = "regexp_extract_all(html, '<p>(.*?)</p>', 1, 's')"
     "e3_nested_text_dedup",
     None,
     f"""with raw as (select page_id, unnest(range(1, len({PARAGRAPHS}) + 1)) as i, {PARAGRAPHS} as ps from pages),
-    b as (select page_id, cast(i * 2 as int) as block_pos, left(trim(ps[i]), 500) as head from raw union all select page_id, cast(i * 2 + 1 as int), left(trim(substr(ps[i], 11, 60)), 500) from raw),
-    f as (select page_id, head, min(block_pos) as block_pos from b group by 1, 2)
-    select page_id, block_pos from f where not exists (select 1 from f o where o.page_id = f.page_id and o.block_pos <> f.block_pos and contains(o.head, f.head)) and head <> ''""",
+    b as (select page_id, cast(i * 2 as int) as block_pos, trim(ps[i]) as body from raw union all select page_id, cast(i * 2 + 1 as int), trim(substr(ps[i], 11, 60)) from raw),
+    f as (select page_id, body, min(block_pos) as block_pos from b group by 1, 2)
+    select page_id, block_pos from f where not exists (select 1 from f o where o.page_id = f.page_id and o.block_pos <> f.block_pos and contains(o.body, f.body)) and body <> ''""",
 )
 def _(s, sf):
     ps = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
     raw = pages(s, sf).select("page_id", F.posexplode(ps).alias("i", "p"))
     whole = raw.select("page_id", ((F.col("i") + 1) * 2).alias("block_pos"), F.col("p").alias("text"))
     part = raw.select("page_id", ((F.col("i") + 1) * 2 + 1).alias("block_pos"), F.substring("p", 11, 60).alias("text"))
-    # The SQL compares heads of 500 characters; the operator compares all that it is given.
-    b = whole.unionByName(part).filter(F.trim("text") != "").withColumn("text", F.substring(F.trim("text"), 1, 500))
+    b = whole.unionByName(part).withColumn("text", F.trim("text")).filter(F.col("text") != "")
     return dedup.nested_text_dedup(b).select("page_id", "block_pos")
 
 

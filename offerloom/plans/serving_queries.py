@@ -368,7 +368,7 @@ def _(s, sf):
 
 @query("c5_match_users_many_names", "fx_promos fx_payment_methods", MATCHED)
 def _(s, sf):
-    return match.match_users(promos(s, sf), methods(s, sf), AS_OF, inline_names=0)
+    return match.match_users(promos(s, sf), methods(s, sf), AS_OF)
 
 
 @query(
@@ -619,7 +619,7 @@ def _(s, sf):
 
 @query("f4_paginate", "fx_promos", "select id from fx_promos order by scraped_at desc, id desc limit 20 offset 40")
 def _(s, sf):
-    return ordering.paginate(promos(s, sf), [F.desc("scraped_at"), F.desc("id")], 3, 20).select("id")
+    return ordering.paginate(promos(s, sf), ["-scraped_at", "-id"], 3, 20).select("id")
 
 
 @query(
@@ -628,7 +628,7 @@ def _(s, sf):
     "select id from fx_promos order by scraped_at desc, id desc limit 100 offset 12000",
 )
 def _(s, sf):
-    return ordering.paginate(promos(s, sf), [F.desc("scraped_at"), F.desc("id")], 121, 100).select("id")
+    return ordering.paginate(promos(s, sf), ["-scraped_at", "-id"], 121, 100).select("id")
 
 
 @query(

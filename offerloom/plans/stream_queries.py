@@ -6,10 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle
+from ..operators import store
 from ..session import shared_dir
 from ..streaming import streams
-from .lifecycle_queries import BATCH_ONE, NOW, as_batch, crawl, start_state
+from .lifecycle_queries import (
+    BATCH_ONE,
+    BATCH_TWO,
+    MERGED,
+    MERGED_TEXT,
+    NOW,
+    RICHEST,
+    as_batch,
+    crawl,
+    start_state,
+    stored_offers,
+)
 from .registry import base, query
 
 
@@ -22,18 +33,37 @@ def event_stream(s, sf):
 @query(
     "s1_stream_crawl_ingest",
     "fx_crawl",
-    f"with b1 as ({BATCH_ONE}) select cast(merchant_id as varchar) as merchant_id, title, bank, discount from b1",
+    f"with b1 as ({BATCH_ONE}), b2 as ({BATCH_TWO}) {MERGED_TEXT} from ({MERGED})",
 )
 def _(s, sf):
-    """Offer files ingested by a stream; the store then equals one batch merge of the same offers."""
+    """Offer files of two crawls ingested by a stream that stops between them; the same as two batch merges."""
     root = f"{shared_dir(s)}/ingest-{uuid.uuid4().hex}"
-    batch = as_batch(crawl(s, sf, 1))
-    batch.repartition("merchant_id").write.parquet(f"{root}/in")
-    lifecycle.write_snapshot(start_state(s, sf), f"{root}/store", 0)
-    offers = streams.file_stream(s, f"{root}/in", batch.schema)
-    streams.stream_crawl_ingest(offers, f"{root}/store", f"{root}/state", NOW)
-    stored = lifecycle.read_snapshot(s, f"{root}/store", ["offers"])["offers"]
-    return stored.filter("is_active").select("merchant_id", "title", "bank", "discount")
+    store.create_store(s, f"{root}/store", start_state(s, sf))
+    for number in (1, 2):
+        batch = as_batch(crawl(s, sf, number))
+        batch.repartition("merchant_id").write.mode("append").parquet(f"{root}/in")
+        offers = streams.file_stream(s, f"{root}/in", batch.schema)
+        streams.stream_crawl_ingest(offers, f"{root}/store", f"{root}/state", NOW)
+    return stored_offers(store.open_store(s, f"{root}/store"))
+
+
+@query(
+    "s2_stream_keep_richest",
+    "fx_crawl",
+    f"select batch, supermarket_id as merchant_id, pos, title, bank, wallet, discount from ({RICHEST})",
+)
+def _(s, sf):
+    """The richest offer of each key, from observations that come in several micro-batches."""
+    root = f"{shared_dir(s)}/richest-{uuid.uuid4().hex}"
+    rows = crawl(s, sf).withColumn("seen_at", F.timestamp_add("day", F.col("batch"), F.lit("2026-01-01 00:00:00").cast("timestamp")))
+    rows.repartition(4, "title").write.parquet(f"{root}/in")
+    # A row of a later day moves the watermark past all others; its own span stays open.
+    late = rows.limit(1).withColumns({"seen_at": F.lit("2026-02-01").cast("timestamp"), "bank": F.lit("fin")})
+    late.write.mode("append").parquet(f"{root}/in")
+    stream = streams.file_stream(s, f"{root}/in", rows.schema, files_per_batch=2)
+    found = streams.stream_keep_richest(stream, "seen_at", ["batch", "merchant_id"], delay="20 days")
+    streams.run_to_files(found, f"{root}/out", f"{root}/state")
+    return s.read.schema(found.schema).parquet(f"{root}/out").select("batch", "merchant_id", "pos", "title", "bank", "wallet", "discount")
 
 
 @query(

@@ -160,10 +160,10 @@ def id_suffix(element_id: Column) -> Column:
     return grab(element_id, r"-(\d+)$")
 
 
-def discover_next_pages(pages: DataFrame, visited: DataFrame, limit: int = 10) -> DataFrame:
+def discover_next_pages(pages: DataFrame, visited: DataFrame) -> DataFrame:
     """Frontier of unvisited pagination links on the same host: url, host, found_on pages.
 
-    A host that already has `limit` visited pages adds none, as the crawl stops there.
+    Pagination links are those labelled with a page number from 2 on, or with the word for the next page.
     """
     anchors = F.arrays_zip(
         F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"#]+)"[^>]*>(.*?)</a>'), F.lit(1)).alias("href"),
@@ -173,17 +173,12 @@ def discover_next_pages(pages: DataFrame, visited: DataFrame, limit: int = 10) -
     links = pages.select(root.alias("root"), F.explode(anchors).alias("a")).select(
         "root", F.col("a.href").alias("href"), squeeze(F.regexp_replace("a.label", "<[^>]+>", " ")).alias("label")
     )
-    paged = links.filter(F.col("label").rlike(r"^(?:[2-9]|1[0-9])$") | found(F.col("label"), "Siguiente"))
+    paged = links.filter(F.col("label").rlike(r"^(?:[2-9]|[1-9][0-9]+)$") | found(F.col("label"), "Siguiente"))
     absolute = F.when(F.col("href").startswith("/"), F.concat("root", "href")).otherwise(F.col("href"))
     same_host = paged.select("root", absolute.alias("url")).filter(F.col("url").startswith(F.col("root")))
-    full = (
-        visited.groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host"))
-        .agg(F.count_distinct("url").alias("n"))
-        .filter(F.col("n") >= limit)
-    )
     fresh = same_host.groupBy("url").agg(F.count("*").alias("found_on"))
     fresh = fresh.withColumn("host", F.try_parse_url("url", F.lit("HOST")))
-    return fresh.join(visited.select("url"), "url", "left_anti").join(full, "host", "left_anti")
+    return fresh.join(visited.select("url"), "url", "left_anti").select("host", "url", "found_on")
 
 
 def read_result_files(spark: SparkSession, glob: str, prefix: str = "test_result_") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators import dedup, lifecycle
+from ..operators import dedup, store
 from ..session import shared_dir
 
 
@@ -54,31 +54,25 @@ def run_now(stream: DataFrame, name: str) -> DataFrame:
 # --- ingestion ------------------------------------------------------------------------------------------
 
 
-def ingest_batch(root: str, now: str, names: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: merge the micro-batch into the store and write snapshot `batch_id`.
+def ingest_batch(root: str, now: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: merge the micro-batch into the bucketed store under its batch id.
 
-    The state it merges into is the snapshot of the batch before. A repeated batch id is recognised and
-    skipped, so a restart after a crash neither loses nor repeats a batch.
+    A batch that was cut off before its line of the log overwrites its own folders when it comes again, and one that
+    went through is skipped, so a restart neither loses nor repeats a batch.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = lifecycle.current_batch(spark, root)
-        if done is not None and done.isdigit() and int(done) >= batch_id + 1:
-            return
-        store = lifecycle.read_snapshot(spark, root, names)
+        found = store.open_store(batch.sparkSession, root)
         runs = batch.select("merchant_id").distinct().withColumn("error", F.lit(None).cast("string"))
-        state = lifecycle.apply_crawl(store, batch, runs, now, materialize=True)
-        lifecycle.write_snapshot(state, root, batch_id + 1)
+        store.apply_batch(found, f"stream-{batch_id}", batch, runs, now)
 
     return merge
 
 
 def stream_crawl_ingest(offers: DataFrame, root: str, checkpoint: str, now: str) -> None:
-    """Merge a stream of unified offers into the store under `root`, one snapshot per micro-batch."""
-    names = ["offers", "terms", "merchants", "history"]
+    """Merge a stream of unified offers into the store under `root`, one version for each micro-batch."""
     query = (
-        offers.writeStream.foreachBatch(ingest_batch(root, now, names))
+        offers.writeStream.foreachBatch(ingest_batch(root, now))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -94,19 +88,14 @@ def stream_dedup(stream: DataFrame, ts: str, keys: list[str], delay: str = "1 ho
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_keep_richest(stream: DataFrame, out: str, checkpoint: str, scope: list[str]) -> None:
-    """Richest observation per key of each micro-batch, one folder per batch (rewritten on retry)."""
-
-    def reduce(batch: DataFrame, batch_id: int) -> None:
-        dedup.dedup_keep_richest(batch, scope).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+def stream_keep_richest(stream: DataFrame, ts: str, scope: list[str], span: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """The richest observation of each key in each span of time, over all micro-batches, when the watermark passes its end.
 
-    query = (
-        stream.writeStream.foreachBatch(reduce)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    The state is one row for each key and span: keys are those of the batch dedup, and the row with the longest terms
+    stays, the first one on ties.
+    """
+    watched = stream.withWatermark(ts, delay).withColumn("_span", F.window(ts, span))
+    return dedup.dedup_keep_richest(watched, ["_span", *scope]).drop("_span")
 
 
 # --- staleness ----------------------------------------------------------------------------------------------

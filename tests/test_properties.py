@@ -83,16 +83,34 @@ def test_states_are_disjoint(spark, sf):
 def test_row_numbers_of_a_hot_group(spark):
     """A third of all rows in one group: positions are exact and no partition holds the whole group."""
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("v"))
-    got = ordering.row_numbers(df, ["g"], [F.desc("v")])
+    got = ordering.row_numbers(df, ["g"], ["-v"])
     from pyspark.sql import Window
 
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"))))
     assert got.join(want, ["g", "v"]).filter("row_no <> w").count() == 0 and got.count() == 30_000
 
 
+def test_row_numbers_with_nulls_and_two_directions(spark):
+    from pyspark.sql import Window
+
+    rows = [(i % 3 or None, None if i % 5 == 0 else f"d{i % 7}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, d string, id long")
+    want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("d"), "id")))
+    got = ordering.row_numbers(df, ["g"], ["-d", "id"])
+    assert got.join(want.select("id", "w"), "id").filter("row_no = w").count() == 400
+
+
+def test_positions_run_nothing_before_they_are_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    ordering.row_numbers(spark.range(100), [], ["-id"])
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_deep_and_shallow_pages_agree(spark, monkeypatch):
     df = spark.range(500).withColumn("v", F.col("id") % 7)
-    order = [F.desc("v"), F.col("id").asc()]
+    order = ["-v", "id"]
     shallow = [r["id"] for r in ordering.paginate(df, order, 4, 30).collect()]
     monkeypatch.setattr(ordering, "TOP_K_BOUND", 0)
     assert [r["id"] for r in ordering.paginate(df, order, 4, 30).collect()] == shallow
@@ -103,14 +121,13 @@ def test_match_cells_do_not_change_the_result(spark, sf, monkeypatch):
     whole = {tuple(r) for r in match.match_users(p, m, AS_OF).collect()}
     monkeypatch.setattr(match, "CELL_ROWS", 3)
     assert {tuple(r) for r in match.match_users(p, m, AS_OF).collect()} == whole
-    assert {tuple(r) for r in match.match_users(p, m, AS_OF, inline_names=0).collect()} == whole
 
 
 def test_match_keys_cover_every_name_length(spark):
     texts = ["a", "uala", "banco de galicia", "x", "naranja x", "pagá con modo"]
     offers = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], "id long, bank string, wallet string, title string")
     names = spark.createDataFrame([(n,) for n in ["a", "la", "alicia", "naranja x", "zz", "modo", "o d"]], "name string")
-    got = {tuple(r) for r in match.name_hits(offers, names, inline_names=0).collect()}
+    got = {tuple(r) for r in match.name_hits(offers, names).collect()}
     assert got == {(i, n) for i, t in enumerate(texts) for n in ["a", "la", "alicia", "naranja x", "zz", "modo", "o d"] if n in t.replace("á", "a")}
 
 
@@ -180,7 +197,8 @@ def test_reset_query_writes_the_empty_tables(spark, sf, monkeypatch):
     made = []
     empty = lifecycle.empty_tables
     monkeypatch.setattr(lifecycle, "empty_tables", lambda s, kinds: made.append(set(kinds)) or empty(s, kinds))
-    assert QUERIES["w15_reset"](spark, sf).count() == 0
+    states = {r["state"]: r["n"] for r in QUERIES["w15_reset"](spark, sf).collect()}
+    assert states["filled"] > 0 == states["reset"]
     assert made == [{"offers"}]
 
 
