@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import U64, mixed, pieces, saved, table
 from offerloom.llm.components import components
-from offerloom.llm.simhash import LOWER
+from offerloom.llm.simhash import LOWER, fingerprint
 
 SHINGLE = 4
 LEAST = 85  # hundredths of the union that linked sets share
@@ -114,10 +114,10 @@ def overlap_bound(one: np.ndarray, two: np.ndarray) -> int:
     return int(np.minimum(one.reshape(-1, groups).sum(axis=0), two.reshape(-1, groups).sum(axis=0)).sum())
 
 
-def _marks(size: int, least: int):
+def _marks(size: int, least: int, with_prints: bool):
     """node (a name of the set; null if empty), its size and point, and its keys in its own class and the one below.
 
-    The keys of a set that the task has just listed are left out.
+    The keys of a set that the task has just listed are left out. print: the SimHash of the set, if asked for.
     """
     starts = size_classes(least)
 
@@ -128,7 +128,7 @@ def _marks(size: int, least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()
         for batch in pieces(batches, "text", TEXT_BYTES):
-            nodes, sizes, points, keys = [], [], [], []
+            nodes, sizes, points, prints, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, size)
                 raw = hashes.tobytes()
@@ -144,6 +144,7 @@ def _marks(size: int, least: int):
                 nodes.append(node)
                 sizes.append(len(hashes))
                 points.append(packed_point(point(hashes)))
+                prints.append(fingerprint(hashes) if with_prints else 0)
                 keys.append(own)
             if nodes:
                 yield pa.RecordBatch.from_arrays(
@@ -153,9 +154,10 @@ def _marks(size: int, least: int):
                         pa.array(nodes, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(points, pa.binary()),
+                        pa.array(prints, pa.int64()),
                         lists(keys),
                     ],
-                    names=["doc_id", "text_key", "node", "size", "point", "keys"],
+                    names=["doc_id", "text_key", "node", "size", "point", "print", "keys"],
                 )
 
     return rows
@@ -408,11 +410,9 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAS
     of none but such rows has no component_id. Rows that repeat an id are documents of their own. Other columns than doc_id
     and text are ignored; an empty table gives no rows. Texts are read whole, however long.
     """
-    marked, shared = _directory(docs, shingle, least)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    classes = marked.where("node is not null").groupBy("node").agg(first, F.min("size").alias("size"), F.min("point").alias("point"))
-    classes = saved(classes)
-    roots = _linked_nodes(docs, classes, shared, shingle, least)
+    marked, shared = directory(docs, shingle, least)
+    classes = classes_of(marked)
+    roots = linked_nodes(docs, classes, shared, shingle, least)
     grouped = classes.select("node", "first.doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = saved(grouped.join(smallest, "root").select("node", "component_id"))
@@ -421,16 +421,24 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAS
     return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _directory(docs: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text_key, node, size, point), and (bucket, node, count) of the directory's nodes in company."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+def classes_of(marked: DataFrame) -> DataFrame:
+    """The different sets: node, size, point, print and the first document (smallest id) that has it."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    same = [F.min(c).alias(c) for c in ("size", "point", "print")]
+    return saved(marked.where("node is not null").groupBy("node").agg(first, *same))
+
+
+def directory(docs: DataFrame, shingle: int, least: int, with_prints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text_key, node, size, point, print), and (bucket, node, count) of the directory's nodes in company."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     listed = saved(
         given.mapInArrow(
-            _marks(shingle, least), "doc_id long, text_key binary, node long, size long, point binary, keys array<long>"
+            _marks(shingle, least, with_prints),
+            "doc_id long, text_key binary, node long, size long, point binary, print long, keys array<long>",
         )
     )
     rows = listed.select(F.explode("keys").alias("bucket"), "node")
@@ -452,7 +460,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int
     wanted = saved(nodes.join(classes, "node").select("node", "first.doc_id", "first.text_key"))
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
     named = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
     return saved(named.select("node", "text").mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"]))
 
@@ -480,9 +488,14 @@ def _ends(*pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, ends).distinct()
 
 
-def _linked_nodes(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, least: int) -> DataFrame:
-    """node and root of every node that links reach another from."""
-    stars, pairs = (_bounded_pairs(pairs, classes, least) for pairs in _candidates(shared))
+def linked_nodes(
+    docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, least: int, guesses: DataFrame | None = None
+) -> DataFrame:
+    """node and root of every node that links reach another from. guesses: pairs (a > b) to be verified first."""
+    stars, pairs = _candidates(shared)
+    if guesses is not None:
+        stars = stars.unionByName(guesses).distinct()
+    stars, pairs = _bounded_pairs(stars, classes, least), _bounded_pairs(pairs, classes, least)
     sets = _sets_of(docs, classes, _ends(stars, pairs), shingle)
     roots = saved(components(_verified_pairs(stars, sets, least)))
 

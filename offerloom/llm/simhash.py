@@ -99,7 +99,7 @@ def ring_rows(nodes: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def _within_chain(radius: int):
+def near_in_chain(radius: int):
     """Pairs of turned fingerprints that keep every budget of the chain, the last of which is the radius itself."""
     bits, budgets = _chain(radius)
 
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     marked = saved(docs.select("doc_id", fingerprints(shingle)("text").alias("node")))
     classes = saved(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
-    roots = components(bucket_links(ring_rows(classes.select("node"), radius), _within_chain(radius)))
+    roots = components(bucket_links(ring_rows(classes.select("node"), radius), near_in_chain(radius)))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = saved(rooted.join(least, "root").select("node", "component_id"))
@@ -134,132 +134,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-SKETCH = 8  # smallest shingle hashes of a text; texts that share two of them are compared
-NEAR_BITS = 48  # of 128, to pre-select; shingle similarity 0.8 turns 0.15 of the bits, or 19, give or take 4
-CELLS = 256  # cells of the smallest hashes by which a similarity is estimated, to within about 0.025
-NEAR_SHARE = 0.65  # of cells that agree, to pre-select
-SPARE_CELLS = 2  # that may disagree besides, where few are filled
-FEW_CELLS = 64  # filled by a text whose SimHash says little
-LEAST = 4, 5  # similarity from which texts link, as a fraction
-
-
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    """A byte of the smallest hash in each cell; zero where there is none. hashes are sorted."""
-    cells = np.zeros(CELLS, np.uint8)
-    cell, least = np.unique(hashes >> U64(56), return_index=True)
-    cells[cell.astype(np.int64)] = np.maximum(1, mixed(hashes[least]) & U64(255))
-    return cells
-
-
-def _signatures(size: int):
-    """One row for each text: what its words are, two halves of a 128-bit SimHash, and its smallest shingle hashes."""
-
-    @F.pandas_udf("node long, s1 long, s2 long, sketch array<long>, size long, extra binary")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            raw = (text or "").encode()
-            hashes = np.unique(shingle_hashes(raw, size))
-            node = xxhash.xxh3_64_intdigest(b" ".join(raw.translate(LOWER).split()))
-            halves = fingerprint(hashes), fingerprint(mixed(hashes))
-            sketch = hashes[:SKETCH].view(np.int64)
-            rows.append((_signed(node), *halves, sketch, len(hashes), _cells(hashes).tobytes()))
-        return pd.DataFrame(rows, columns=["node", "s1", "s2", "sketch", "size", "extra"])
-
-    return of(F.col("text"))
-
-
-def _sets(size: int) -> Column:
-    """The different shingle hashes of a text, sorted."""
-
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in texts], dtype=object)
-
-    return of(F.col("text"))
-
-
-def _alike(one: np.ndarray, two: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Pairs that may be similar: NEAR_SHARE of the cells that either fills agree, and SimHashes differ in NEAR_BITS or less."""
-    few = (grid > 0).sum(axis=1) <= FEW_CELLS
-    differ = np.bitwise_count(one[:, None] ^ one[None, :]).astype(np.int16)
-    differ += np.bitwise_count(two[:, None] ^ two[None, :])
-    near = (differ <= NEAR_BITS) | few[:, None] | few[None, :]
-    x, y = np.nonzero(np.triu(near, 1))
-    for at in range(0, len(x), 1 << 14):
-        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-        filled = ((grid[i] | grid[j]) > 0).sum(axis=1)
-        agree = ((grid[i] == grid[j]) & (grid[i] > 0)).sum(axis=1) >= NEAR_SHARE * filled - SPARE_CELLS
-        near[i, j] = near[j, i] = agree
-    return near
-
-
-def _may_link(one: np.ndarray, two: np.ndarray, cells: list[bytes]) -> np.ndarray:
-    return _alike(one, two, np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), CELLS))
-
-
-def similar(one: np.ndarray, two: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of LEAST or more, exactly."""
-    over, under = LEAST
-    if under * min(len(one), len(two)) < over * max(len(one), len(two)):
-        return False
-    shared = len(np.intersect1d(one, two, assume_unique=True))
-    return under * shared >= over * (len(one) + len(two) - shared)
-
-
-def _linked(one: np.ndarray, two: np.ndarray, raws: list[bytes]) -> np.ndarray:
-    """Spanning pairs of exact similarity; of pairs already connected none is compared."""
-    sets = [np.frombuffer(raw, np.uint64) for raw in raws]
-    x, y = np.nonzero(np.triu(_alike(one, two, np.stack([_cells(s) for s in sets])), 1))
-    near, label = np.zeros((len(sets), len(sets)), bool), np.arange(len(sets))
-    for at in range(0, len(x), 1 << 12):
-        i, j = x[at : at + (1 << 12)], y[at : at + (1 << 12)]
-        apart = label[i] != label[j]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            if label[a] != label[b] and similar(sets[a], sets[b]):
-                near[a, b] = near[b, a] = True
-                label[label == label[b]] = label[a]
-    return near
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
-
-    A group is what links reach. Texts link if their words are the same, or if their sets of `shingle`-word shingles have
-    a Jaccard similarity of 0.8 or more, counted on the whole sets (64-bit hashes of shingles). To find the texts to
-    compare, those that share two of their SKETCH smallest shingle hashes and pass `_alike` are joined first; of each
-    group so reached, every pair that passes `_alike` is counted. At exactly 0.8, two texts of very many shingles share
-    less than two of the smallest hashes with a chance of about 0.0001.
-
-    Null and empty texts are one group; rows without an id stay only where no row of their group has one; of rows that
-    repeat id and text one stays. An empty table gives no rows.
-    """
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    marked = saved(docs.select("doc_id", key.alias("text_key"), _signatures(shingle).alias("s")).select("doc_id", "text_key", "s.*"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    classes = saved(
-        marked.groupBy("node").agg(first, F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("sketch").alias("sketch"), F.min("size").alias("size"), F.min("extra").alias("extra"))
-    )
-    pairs = [(i, j) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    # A text of one shingle has that one for its key; those of fewer than SKETCH have no pair for the missing ones.
-    one = F.when(F.size("sketch") == 1, F.xxhash64(F.get("sketch", F.lit(0))))
-    two = [
-        F.when(F.size("sketch") > j, F.xxhash64(F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j)))) for i, j in pairs
-    ]
-    kept_keys = F.array_compact(F.array(one, *two))
-    rows = classes.where(F.size("sketch") > 0).select(F.explode(kept_keys).alias("bucket"), "node", "s1", "s2")
-    reached = saved(components(bucket_links(rows, _may_link, classes.select("node", "extra"))))
-    company = saved(reached.join(classes, "node").select("node", F.col("root").alias("bucket"), "s1", "s2", "size", "first.doc_id", "first.text_key"))
-    named = docs.select(F.col("doc_id").alias("id"), key.alias("key"), "text")
-    texts = named.join(company, named["id"].eqNullSafe(company["doc_id"]) & (named["key"] == company["text_key"]))
-    sets = texts.select("node", _sets(shingle).alias("extra")).dropDuplicates(["node"])
-    weighed = company.select("bucket", "node", "s1", "s2", (8 * F.col("size")).alias("bytes"))
-    roots = components(bucket_links(weighed, _linked, sets))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = saved(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), key.alias("key"))
-    stay = whole.join(kept, whole["id"].eqNullSafe(kept["doc_id"]) & (whole["key"] == kept["text_key"]), "left_semi")
-    place = F.expr("row_number() over (partition by id, key order by hash(doc))")
-    return stay.withColumn("place", place).where("place = 1").select("doc.*")

@@ -12,7 +12,8 @@ import xxhash
 
 from offerloom.llm import simhash
 from offerloom.llm.components import components
-from offerloom.llm.simhash import near_duplicates, one_of_each
+from offerloom.llm.near_dedup import one_of_each
+from offerloom.llm.simhash import near_duplicates
 from offerloom.llm.winnowing import contamination
 
 SCHEMA = "doc_id long, text string, bucket int, node string"
@@ -77,7 +78,7 @@ def test_chain_keys_lose_no_pair(spark, radius):
             t
             for t in range(0, 64, bits)
             if any(turn(x, t) & m == turn(y, t) & m for m in simhash._keys(radius))
-            and simhash._within_chain(radius)(np.array([turn(x, t), turn(y, t)], np.uint64), None)[0, 1]
+            and simhash.near_in_chain(radius)(np.array([turn(x, t), turn(y, t)], np.uint64), None)[0, 1]
         ]
         assert starts
 
