@@ -2,7 +2,9 @@
 
 Each labeller votes good, bad or nothing on a text. Expectation-maximisation over the counts of all vote patterns (at most
 3 ** labellers, whatever the size of the corpus) estimates how each labeller votes on good and on bad texts, without any
-given label; the posterior of a pattern is its weak label. A linear scorer over hashed words and word shapes learns the
+given label; the posterior of a pattern is its weak label. Bad texts are of several types, each accused by labellers of its
+own, so labellers vote independently within a type, not within all bad texts. A type has to be accused by two labellers at
+least: what a single labeller accuses, unlike any other, is its error on good texts. A linear scorer over hashed words and word shapes learns the
 posteriors of a bounded sample and generalises beyond the votes.
 """
 
@@ -20,9 +22,13 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import table
 
 GOOD, BAD, NONE = 1, 0, 2
-ROUNDS = 100
+ROUNDS = 400
 PRIOR = 1.0  # added to each count of a labeller's votes
-TRUST = 4.0  # prior weight, in corpora, of labellers not accusing good texts
+TRUST = 0.04  # prior weight, in corpora, of labellers not accusing good texts: it settles what the votes leave open
+TYPES = 4  # of bad texts, at most
+LEAST_TYPE = 0.002  # share of texts that more than one labeller accuses, for a type to be looked for
+LEAST_GOOD = 0.2  # share below which the class taken for good gives way to a larger one
+CORROBORATED = 0.1  # more often than good texts, by two labellers, for a type to be one
 SLOTS = 1 << 16
 REPEATS = SLOTS - 1  # slot of the share of repeated runs of words
 SAMPLE = 4000  # texts the scorer learns from
@@ -111,35 +117,75 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
+def _first_types(votes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Patterns of each type, to begin with: those accused by the labeller that most often accuses along with others."""
+    bad, left, out = votes == BAD, counts.copy(), []
+    together = bad & (bad.sum(axis=1) > 1)[:, None]
+    for _ in range(TYPES):
+        often = (together * left[:, None]).sum(axis=0)
+        k = int(often.argmax())
+        if often[k] <= LEAST_TYPE * counts.sum():
+            break
+        out.append(bad[:, k] & (left > 0))
+        left = np.where(out[-1], 0, left)
+    return out
+
+
+def _maximised(votes: np.ndarray, counts: np.ndarray, belongs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(vote | class) as [class, labeller, vote], shares of the classes, and the classes of each pattern (the first: good)."""
+    k = np.arange(votes.shape[1])
+    for _ in range(ROUNDS):
+        table_ = np.ones((belongs.shape[1], votes.shape[1], 3))
+        for vote in (BAD, GOOD):
+            table_[:, :, vote] = (belongs * counts[:, None]).T @ (votes == vote) + PRIOR
+        table_[0, :, GOOD] += TRUST * counts.sum()
+        table_[:, :, [BAD, GOOD]] /= table_[:, :, [BAD, GOOD]].sum(axis=2, keepdims=True)
+        share = (belongs * counts[:, None]).sum(axis=0) + PRIOR
+        share /= share.sum()
+        odds = np.stack([np.log(t[k, votes]).sum(axis=1) for t in table_], axis=1) + np.log(share)
+        new = np.exp(odds - odds.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved, belongs = np.abs(new - belongs).max(initial=0), new
+        if moved < 1e-6:
+            break
+    return table_, share, belongs
+
+
+def _merged(belongs: np.ndarray, number: int) -> np.ndarray:
+    """The class of that number counted to the first one."""
+    out = np.delete(belongs, number, axis=1)
+    out[:, 0] += belongs[:, number]
+    return out
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """P(vote | class, votes) as [labeller, class, vote], the share of good texts, and the posterior of good for each pattern.
 
-    The first guess, that every vote for bad makes bad likelier, tells the classes apart. No vote is no evidence: it says
-    that a labeller does not apply, not what the text is worth.
+    No vote is no evidence: it says that a labeller does not apply, not what the text is worth. Ties of the first guess go
+    by the order of the labellers.
     """
     votes = votes_of(patterns)
-    good = 0.95 * 0.2 ** (votes == BAD).sum(axis=1)
-    weights = counts / max(1, counts.sum())
-    table_ = np.zeros((votes.shape[1], 2, 3))
-    share = 0.5
-    for _ in range(ROUNDS):
-        table_[:, :, NONE] = 0.0
-        for vote in (BAD, GOOD):
-            hit = (votes == vote) * counts[:, None]
-            table_[:, 1, vote] = (hit * good[:, None]).sum(axis=0) + PRIOR
-            table_[:, 0, vote] = (hit * (1 - good)[:, None]).sum(axis=0) + PRIOR
-        table_[:, 1, GOOD] += TRUST * counts.sum()
-        table_ /= table_.sum(axis=2, keepdims=True)
-        table_[:, :, NONE] = 1.0
-        share = float(np.clip((weights * good).sum(), 1e-3, 1 - 1e-3))
-        k = np.arange(votes.shape[1])
-        ratio = np.log(table_[k, 1, votes]).sum(axis=1) - np.log(table_[k, 0, votes]).sum(axis=1)
-        new = 1 / (1 + np.exp(-np.clip(ratio + np.log(share / (1 - share)), -30, 30)))
-        moved = np.abs(new - good).max(initial=0)
-        good = new
-        if moved < 1e-7:
+    types = _first_types(votes, counts)
+    belongs = np.full((len(patterns), 1 + len(types)), 1e-3)
+    belongs[:, 0] = np.where((votes == BAD).any(axis=1), 0.3, 0.97)
+    for number, own in enumerate(types, 1):
+        belongs[own, number] = 0.7
+    belongs /= belongs.sum(axis=1, keepdims=True)
+    while True:
+        table_, share, belongs = _maximised(votes, counts, belongs)
+        large = [c for c in range(1, len(share)) if share[c] >= LEAST_GOOD]
+        if share[0] < LEAST_GOOD and large:
+            # Good is the class of some size that is accused least.
+            belongs = _merged(belongs, min(large, key=lambda c: table_[c, :, BAD].sum()))
+            continue
+        more = table_[:, :, BAD] - table_[0, :, BAD] > CORROBORATED
+        alone = [c for c in range(1, len(share)) if more[c].sum() < 2]
+        if not alone:
             break
-    return table_, share, good
+        belongs = _merged(belongs, alone[0])
+    weights = share[1:] / max(share[1:].sum(), 1e-12)
+    bad = np.tensordot(weights, table_[1:], 1) if len(weights) else np.full(table_[0].shape, 0.5)
+    return np.stack([bad, table_[0]], axis=1), float(share[0]), belongs[:, 0]
 
 
 def word_slots(word: str) -> tuple[int, int]:
@@ -207,7 +253,9 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (of good, from the votes), score (0 to 1) and predicted (1 from 0.5 on) of each row.
 
     docs: doc_id, text; others are ignored. Nothing is learnt from labels. Null and empty texts get the votes of an empty
-    text and the score of one without words. Repeated rows are scored alike; an empty table gives no rows.
+    text and the score of one without words. Whole texts are voted on and scored, however long. Repeated rows are scored
+    alike; of rows that tie for the scorer's sample the smaller id, then the smaller text is taken. An empty table gives no
+    rows.
     """
     patterns = docs.select(_patterns().alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
     seen = sorted((r["pattern"], r["n"]) for r in patterns.collect())
@@ -224,7 +272,7 @@ def quality(docs: DataFrame) -> DataFrame:
         .collect()
     )
     texts = [r["text"] for r in drawn]
-    weights, bias = train_scorer(texts, np.array([good[vote_pattern(t)] for t in texts]))
+    weights, bias = train_scorer(texts, np.array([good.get(vote_pattern(t), 0.5) for t in texts]))
     slots = weights.astype(np.float32)
 
     @F.pandas_udf("posterior double, score double")
@@ -233,7 +281,7 @@ def quality(docs: DataFrame) -> DataFrame:
         posterior, score = [], []
         for text in column:
             words = (text or "").split()
-            posterior.append(good[vote_pattern(text)])
+            posterior.append(good.get(vote_pattern(text), 0.5))
             margin = sum(map(known.__getitem__, words)) / max(1, len(words)) + float(slots[REPEATS]) * repeated_share(words)
             margin = SCALE * margin + bias
             score.append(1 / (1 + np.exp(-min(30.0, max(-30.0, margin)))))

@@ -85,17 +85,44 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([r.predicted for r in rows if r.quality == 0]) < 0.1
 
 
-def test_estimate_finds_the_planted_accuracies():
+@pytest.mark.parametrize(
+    ("wrong", "found"),
+    [
+        ([0.005] * 10, [0.6] * 10),
+        ([0.6] + [0.02] * 9, [0.6] * 10),
+        ([0.6, 0.3] + [0.02] * 8, [0.6] * 10),
+        ([0.02] * 8 + [0.3, 0.6], [0.8] * 10),
+        ([0.6] * 3 + [0.3] * 3 + [0.02] * 4, [0.9] * 10),
+    ],
+)
+def test_estimate_finds_the_planted_accuracies(wrong, found):
+    """Labellers that accuse good texts rarely, or often, and find some of the bad ones, vote independently."""
     rng = np.random.default_rng(3)
     good = rng.random(40_000) < 0.8
-    # Labellers accuse one good text in two hundred, and miss four bad ones in ten.
-    votes = np.stack([np.where(good, rng.random(len(good)) > 0.005, rng.random(len(good)) < 0.4) for _ in LABELLERS], axis=1)
+    votes = np.stack([np.where(good, rng.random(len(good)) > w, rng.random(len(good)) > f) for w, f in zip(wrong, found, strict=True)], axis=1)
     patterns, counts = np.unique((votes * 3 ** np.arange(len(LABELLERS))).sum(axis=1), return_counts=True)
-    _, share, posterior = estimate(patterns, counts.astype(float))
-    assert share == pytest.approx(0.8, abs=0.05)
+    table_, share, posterior = estimate(patterns, counts.astype(float))
+    assert share == pytest.approx(0.8, abs=0.02)
+    assert table_[:, 1, weak_labels.BAD] == pytest.approx(wrong, abs=0.05)
+    assert table_[:, 0, weak_labels.BAD] == pytest.approx(found, abs=0.05)
     assert posterior[patterns == sum(3**k for k in range(len(LABELLERS)))] > 0.99
 
 
+def test_estimate_tells_types_of_bad_texts():
+    """Two types, each accused by labellers of its own; some texts of a type are accused by one of them alone."""
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, 40_000, p=[0.86, 0.07, 0.07])
+    votes = np.ones((len(kind), len(LABELLERS)), int)
+    for own, accusers in ((1, {0: 1.0, 1: 0.5}), (2, {3: 0.98, 4: 0.6, 5: 0.6})):
+        for k, often in accusers.items():
+            votes[(kind == own) & (rng.random(len(kind)) < often), k] = 0
+    codes = (votes * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
+    patterns, counts = np.unique(codes, return_counts=True)
+    good = dict(zip(patterns, estimate(patterns, counts.astype(float))[2], strict=True))
+    predicted = np.array([good[c] for c in codes]) >= 0.5
+    assert predicted[kind == 0].mean() > 0.99 and predicted[kind > 0].mean() < 0.05
+
+
 def test_quality_of_odd_rows(spark):
     rows = quality(spark.createDataFrame(ODD, SCHEMA)).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
