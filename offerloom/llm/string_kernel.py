@@ -32,6 +32,8 @@ DECAY = 0.5
 PENALTY = 1e-5
 SYMBOLS = 64
 EDGE = 0
+LONG = 32  # letters of a word above which its windows are scored, as words run together are
+WINDOW = 16  # letters of such a window
 STEPS = [(1, 1, 1.0), (1, 2, DECAY), (2, 1, DECAY), (1, 3, DECAY**2), (2, 2, DECAY**2), (3, 1, DECAY**2)]
 PIECE_CHARS = 1 << 18
 
@@ -81,23 +83,31 @@ def subsequences(line: np.ndarray):
         yield at, (wide[at] * SYMBOLS + wide[at + one]) * SYMBOLS + wide[at + span], weight
 
 
-@lru_cache(maxsize=1)
-def _norms() -> np.ndarray:
+def _norms(letters: np.ndarray) -> np.ndarray:
     """Length of a word's feature vector, by its letters (all subsequences taken as different)."""
-    lengths = np.arange(0, 256) + 2
-    return np.sqrt(sum(np.maximum(0, lengths - a - b) * w * w for a, b, w in STEPS))
+    lengths = np.asarray(letters) + 2
+    return np.maximum(np.sqrt(sum(np.maximum(0, lengths - a - b) * w * w for a, b, w in STEPS)), 1e-9)
+
+
+def _best_window(total: np.ndarray) -> float:
+    """The highest score of WINDOW letters in a row; total has the sums of the subsequences that begin at each letter."""
+    sums = np.r_[0.0, np.cumsum(total)]
+    return float((sums[WINDOW:] - sums[:-WINDOW]).max() / _norms(WINDOW))
 
 
 def word_scores(line: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted, length-normalised sum of each word's subsequences."""
+    """Weighted, length-normalised sum of each word's subsequences; of a word of over LONG letters its best window's."""
     total = np.zeros(len(line))
     for at, numbers, weight in subsequences(line):
         total[at] += weights[numbers] * weight
     edges = np.flatnonzero(line == EDGE)
     if len(edges) < 2:
         return np.zeros(0)
-    letters = np.minimum(np.diff(edges) - 1, 255)
-    return np.add.reduceat(total, edges[:-1]) / np.maximum(_norms()[letters], 1e-9)
+    letters = np.diff(edges) - 1
+    out = np.add.reduceat(total, edges[:-1]) / _norms(letters)
+    for k in np.flatnonzero(letters > LONG):
+        out[k] = _best_window(total[edges[k] : edges[k + 1]])
+    return out
 
 
 class Machine:
@@ -133,7 +143,7 @@ class Machine:
                     own = owner[at[hit]]
                     first = np.flatnonzero(np.r_[True, np.diff(own) != 0])
                     out[start + own[first]] += np.add.reduceat(self.matrix[used[hit]], first) * weight
-            out[start : start + 2000] /= np.maximum(_norms()[np.minimum(lengths - 1, 255)], 1e-9)[:, None]
+            out[start : start + 2000] /= _norms(lengths - 1)[:, None]
         return out @ self.root
 
     def fit(self, words: list[bytes], labels: np.ndarray, mass: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -273,7 +283,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1; others are ignored, repeated ids count as toxic if one row says
     so). Null and empty texts have the score of a text without any toxic word. With no labels of one kind all rows get
-    the other's score (without any: clean). Other columns play no part; repeated rows are scored alike.
+    the other's score (without any: clean). Other columns play no part; repeated rows are scored alike. Texts are scored
+    whole, however long; of words of over LONG letters, as texts without blanks are, every window of WINDOW letters is
+    scored. Texts that tie for the sample are taken by id and text.
     """
     texts, marks = labelled_sample(docs, labels, "toxic")
     score = toxicity_score(*train(texts, marks))

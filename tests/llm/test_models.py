@@ -7,7 +7,7 @@ import pytest
 
 from offerloom.llm.common import held_out, table
 from offerloom.llm.cross_parsing import automaton, languages
-from offerloom.llm.string_kernel import toxicity, train, word_scores, word_symbols
+from offerloom.llm.string_kernel import DECAY, Machine, labelled_sample, subsequences, toxicity, train, word_scores, word_symbols
 from offerloom.llm import weak_labels
 from offerloom.llm.weak_labels import LABELLERS, estimate, quality
 
@@ -68,6 +68,65 @@ def test_inserted_and_dropped_letters_stay_close():
         assert score(word) > score("weather") and score(word) > score("walked")
 
 
+def test_kernel_equals_brute_force():
+    """Common subsequences of three letters, each skipped letter weighing DECAY and at most two skipped."""
+
+    def features(word):
+        out = {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + 5)):
+                    # Edges of a word count as letters at its ends only.
+                    key = (word[i], word[j], word[k])
+                    out[key] = out.get(key, 0.0) + DECAY ** (k - i - 2)
+        return out
+
+    words = [b"\0" + bytes(w) + b"\0" for w in ([1, 2, 3, 4], [1, 9, 2, 3, 3, 4], [5, 5, 5, 5, 5], [2, 1], [7, 1, 2, 7, 3, 7, 4])]
+    machine = Machine(words)
+    norm = lambda f: sum(v * v for v in f.values()) ** 0.5
+    for a, own in enumerate(words):
+        for b, other in enumerate(words):
+            one, two = features(own), features(other)
+            want = sum(v * two.get(k, 0.0) for k, v in one.items()) / norm(one) / norm(two)
+            assert (machine.matrix.T @ machine.matrix)[a, b] == pytest.approx(want)
+    line = np.frombuffer(words[1], np.uint8)
+    assert sum(len(at) * w for at, _, w in subsequences(line)) == pytest.approx(sum(features(words[1]).values()))
+
+
+def test_machine_equals_a_plain_solver():
+    """The weights minimise the squared hinge loss with the ridge: no step from them lowers it."""
+    rng = np.random.default_rng(6)
+    words = [b"\0" + bytes(rng.integers(1, 20, rng.integers(3, 9)).astype(np.uint8)) + b"\0" for _ in range(200)]
+    labels, mass = (rng.random(200) < 0.4).astype(int), rng.integers(1, 4, 200).astype(float)
+    machine = Machine(words[:40])
+    weights = machine.fit(words, labels, mass, penalty=1e-3)
+    x, y = machine.features(words), np.where(labels > 0, 1.0, -1.0)
+    share = mass * np.where(y > 0, 0.5 / mass[y > 0].sum(), 0.5 / mass[y < 0].sum())
+    target = machine.matrix[:-1] @ machine.root
+    beta = np.linalg.lstsq(target, weights[machine.numbers], rcond=None)[0]
+    biases = np.linspace(-2, 2, 4001)
+    loss = lambda v: min((share * np.maximum(0, 1 - y * (x @ v + b)) ** 2).sum() for b in biases) + 1e-3 * (v @ v)
+    best = loss(beta)
+    assert all(loss(beta + 0.02 * rng.normal(size=len(beta))) > best - 1e-5 for _ in range(20))
+
+
+def test_texts_without_blanks_are_not_toxic_for_it(spark):
+    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    weights, slope, offset = train(*labelled_sample(docs, labels, "toxic"))
+
+    def score(text):
+        best = word_scores(word_symbols(text), weights).max(initial=-1.0)
+        return 1 / (1 + np.exp(-np.clip(slope * best + offset, -30, 30)))
+
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(held_out(docs["doc_id"])).orderBy("doc_id").limit(300).collect()
+    assert np.mean([score("".join((r.text or "").split())) >= 0.5 for r in clean]) < 0.05
+    rng = np.random.default_rng(1)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in (30, 300, 3000)]
+    assert all(score(t) < 0.5 for t in ["a" * n for n in (10, 100, 256, 1000, 100_000)] + letters)
+    insult = max((r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").limit(50).collect()), key=score)
+    assert score(insult) >= 0.5
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
     rows = spark.createDataFrame([(i, t) for i, t, _, _ in ODD], "doc_id long, text string")
