@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -205,102 +206,135 @@ class BlockRule:
     fields: tuple[Field, ...] = field(default_factory=tuple)
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def text(self) -> str:
-        parts: list[str] = []
-        stack: list = [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node.tag not in SILENT:
-                stack.extend(reversed(node.children))
-        return re.sub(r"\s+", " ", " ".join(parts)).strip()
-
-    def walk(self) -> Iterator[_Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+class _Numbered(HTMLParser):
+    """A page as numbered elements, in document order: what an element holds are the numbers up to its `leave`.
 
+    The visible text is kept once; an element's text is the slice between its first and its last piece.
+    """
 
-class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
+        self.tags, self.attrs, self.parent, self.leave = [], [], [], []
+        self.first, self.last = [], []  # pieces of text before and up to the end of an element
+        self.starts, self.ends, self.pieces, self.size = [], [], [], 0
+        self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.silent = 0
+
+    def read(self, html: str) -> _Numbered:
+        self.feed(html)
+        self.close()
+        self._cut(0)
+        self.text = " ".join(self.pieces)
+        return self
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        self._add(tag, attrs)
+        if tag in VOID:
+            self.leave[-1], self.last[-1] = len(self.tags), len(self.pieces)
+            return
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(len(self.tags) - 1)
+        self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, dict(attrs), self.at))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if self.places.get(tag):
+            self._cut(self.places[tag][-1])
 
     def handle_data(self, data):
-        if data.strip():
-            self.at.children.append(data.strip())
-
-
-def _fits(node: _Node, tags: tuple[str, ...], class_pattern: str) -> bool:
-    if tags and node.tag not in tags:
-        return False
-    return not class_pattern or re.search(class_pattern, node.attrs.get("class") or "") is not None
-
-
-def _blocks(html: str, rule: BlockRule) -> Iterator[tuple[int, str, str]]:
-    """(block_pos, field, value) of one page."""
-    tree = _Tree()
-    tree.feed(html or "")
-    chosen: list[_Node] = []
-    seen: set[int] = set()
-    for node in tree.root.walk():
-        if not node.tag or not _fits(node, rule.tags, rule.class_pattern):
+        piece = re.sub(r"\s+", " ", data).strip()
+        if piece and not self.silent:
+            self.starts.append(self.size)
+            self.size += len(piece) + 1
+            self.ends.append(self.size - 1)
+            self.pieces.append(piece)
+
+    def _add(self, tag, attrs) -> None:
+        self.tags.append(tag)
+        self.attrs.append(dict(attrs))
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.leave.append(len(self.tags))
+        self.first.append(len(self.pieces))
+        self.last.append(len(self.pieces))
+
+    def _cut(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.leave[node], self.last[node] = len(self.tags), len(self.pieces)
+            self.places[self.tags[node]].pop()
+            self.silent -= self.tags[node] in SILENT
+        del self.open[place:]
+
+    def span(self, node: int) -> tuple[int, int]:
+        """Where the text of an element starts and stops."""
+        first, last = self.first[node], self.last[node]
+        return (self.starts[first], self.ends[last - 1]) if last > first else (0, 0)
+
+    def content(self, node: int) -> str:
+        start, stop = self.span(node)
+        return self.text[start:stop]
+
+    def fits(self, node: int, tags: tuple[str, ...], class_pattern: str) -> bool:
+        if tags and self.tags[node] not in tags:
+            return False
+        return not class_pattern or re.search(class_pattern, self.attrs[node].get("class") or "") is not None
+
+
+def _chosen(page: _Numbered, rule: BlockRule) -> list[int]:
+    """The elements that a rule takes for blocks, in the order they are met."""
+    hits = [m.span() for m in re.finditer(rule.text_pattern, page.text, re.I)] if rule.text_pattern else []
+    begins = [start for start, _ in hits]
+
+    def holds_text(node: int) -> bool:
+        start, stop = page.span(node)
+        at = bisect_left(begins, start)
+        return at < len(hits) and hits[at][1] <= stop
+
+    def size(node: int) -> int:
+        start, stop = page.span(node)
+        return stop - start
+
+    chosen: dict[int, None] = {}
+    for node in range(len(page.tags)):
+        if not page.fits(node, rule.tags, rule.class_pattern):
             continue
-        if rule.attribute and not re.search(rule.attribute[1], node.attrs.get(rule.attribute[0]) or "\0"):
+        if rule.attribute and not re.search(rule.attribute[1], page.attrs[node].get(rule.attribute[0]) or "\0"):
             continue
-        text = node.text()
-        if rule.text_pattern and not re.search(rule.text_pattern, text, re.I):
+        if rule.text_pattern and not holds_text(node):
             continue
+        own = node
         for _ in range(rule.climb):
-            if node.parent is None or not node.parent.tag or (rule.max_chars is not None and len(node.parent.text()) >= rule.max_chars):
+            above = page.parent[own]
+            if above < 0 or (rule.max_chars is not None and size(above) >= rule.max_chars):
                 break
-            node = node.parent
-            text = node.text()
-        too_long = rule.max_chars is not None and len(text) > rule.max_chars
-        if len(text) < rule.min_chars or too_long or id(node) in seen:
+            own = above
+        too_long = rule.max_chars is not None and size(own) > rule.max_chars
+        if size(own) < rule.min_chars or too_long or own in chosen:
             continue
-        ancestor = node.parent
-        while rule.outermost and ancestor is not None and id(ancestor) not in seen:
-            ancestor = ancestor.parent
-        if rule.outermost and ancestor is not None:
-            continue
-        seen.add(id(node))
-        chosen.append(node)
-    for pos, node in enumerate(chosen):
-        yield pos, "text", node.text()
+        if rule.outermost:
+            above = page.parent[own]
+            while above >= 0 and above not in chosen:
+                above = page.parent[above]
+            if above >= 0:
+                continue
+        chosen[own] = None
+    return list(chosen)
+
+
+def _blocks(html: str, rule: BlockRule) -> Iterator[tuple[int, str, str]]:
+    """(block_pos, field, value) of one page."""
+    page = _Numbered().read(html or "")
+    for pos, block in enumerate(_chosen(page, rule)):
+        yield pos, "text", page.content(block)
         for f in rule.fields:
-            scope = [node] if f.own else [n for n in node.walk() if n is not node]
-            for n in scope:
-                if not f.own and not _fits(n, f.tags, f.class_pattern):
+            for node in [block] if f.own else range(block + 1, page.leave[block]):
+                if not f.own and not page.fits(node, f.tags, f.class_pattern):
                     continue
-                value = n.attrs.get(f.attribute) if f.attribute else n.text()
+                value = page.attrs[node].get(f.attribute) if f.attribute else page.content(node)
                 if f.attribute and value is None and f.attribute == "src":
-                    value = n.attrs.get("data-src")
+                    value = page.attrs[node].get("data-src")
                 if value is None:
                     continue
                 yield pos, f.name, value
