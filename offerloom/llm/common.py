@@ -80,6 +80,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             total += n
         if start < len(lengths):
             yield batch.slice(start)
+    # Workers live on for other stages; what Arrow keeps for itself goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -8,8 +8,9 @@ The directory. Sizes are cut into classes of one ratio, so a pair lies in one cl
 sets differ in less than m shingles; the groups are dealt into m parts, and by the pigeonhole principle some part has equal
 coordinates (and equal shingles) in both. Descending with that as the search region reaches, in each part, the node of equal
 coordinates alone: its key is (class, part, hash of the part). Of m parts, at least one in e is equal on average, so sets of
-many parts need only the first MOST_PARTS of them: that linked sets differ in all of these has a chance of (1 - 1/e)^96, less
-than that of two 64-bit hashes being equal. This is where boxes of plain count vectors fail: unrelated
+many parts need only the first MOST_PARTS of them: that linked sets differ in all of these has a chance of (1 - 1/e + 0.02)^112, less
+than that of two 64-bit hashes being equal. Parts without a shingle, equal in very many sets, are told apart by the parts of a
+second dealing (of sets of many parts they are left out, as the others suffice). This is where boxes of plain count vectors fail: unrelated
 sets of n shingles differ by about sqrt(n) in every coordinate, linked ones by up to 0.18 n in all, so that above some fifty
 shingles the boxes of a plain tree overlap nearly everywhere.
 
@@ -40,7 +41,7 @@ SHINGLE = 4
 LEAST = 85  # hundredths of the union that linked sets share
 GROUPS = 32  # coordinates of a box, and of the point of a small set
 IN_A_GROUP = 16  # shingles at most, roughly, before a point has more coordinates
-MOST_PARTS = 96  # of a set that have a node of the directory
+MOST_PARTS = 112  # of a set that have a node of the directory
 RECENT = 200_000  # sets a task remembers, not to list the keys of a copy again
 FEW = 16  # sets of a node that are compared as pairs
 LEAF = 256  # sets of a leaf
@@ -78,15 +79,27 @@ def parts_of(starts: list[int], least: int, number: int) -> int:
     return (100 - least) * (starts[number + 1] - 1) // least + 1
 
 
-def part_keys(hashes: np.ndarray, number: int, parts: int) -> np.ndarray:
-    """A key for each part of a set (sorted hashes): equal if the sets have the same shingles in that part."""
+def _dealt(hashes: np.ndarray, parts: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the first `used` of so many parts of sorted hashes, and which of these have no hash."""
     part = ((hashes >> U64(32)) * U64(parts)) >> U64(32)
-    parts = min(parts, MOST_PARTS)
-    ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    hashes = hashes[: ends[-1]]
-    sums = np.r_[U64(0), np.cumsum(mixed(hashes), dtype=np.uint64)]
-    place = mixed(np.arange(parts, dtype=np.uint64) + U64(number << 40), 1)
-    return mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ place)
+    ends = np.searchsorted(part, np.arange(used + 1, dtype=np.uint64))
+    sums = np.r_[U64(0), np.cumsum(mixed(hashes[: ends[-1]]), dtype=np.uint64)]
+    return sums[ends[1:]] - sums[ends[:-1]], ends[1:] == ends[:-1]
+
+
+def part_keys(hashes: np.ndarray, number: int, parts: int) -> np.ndarray:
+    """Keys of the parts of a set (sorted hashes): sets with the same shingles in a part have one in common."""
+    used = min(parts, MOST_PARTS)
+    sums, empty = _dealt(hashes, parts, used)
+    place = mixed(np.arange(used, dtype=np.uint64) + U64(number << 40), 1)
+    keys = mixed(sums ^ place)
+    if not empty.any():
+        return keys
+    if used < parts:
+        return keys[~empty]
+    again = _dealt(np.sort(mixed(hashes, 5)), parts, parts)[0]
+    spots = mixed(np.arange(parts, dtype=np.uint64), 3)
+    return np.r_[keys[~empty], mixed((again ^ spots)[None, :] + keys[empty][:, None]).ravel()]
 
 
 def point(hashes: np.ndarray, groups: int | None = None) -> np.ndarray:
