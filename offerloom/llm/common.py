@@ -19,10 +19,19 @@ U64 = np.uint64
 BATCH_ROWS = 1000
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts and vectors can be long, so Python workers get them in batches of few rows and bytes."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows)) or BATCH_ROWS)))
+    spark.conf.set(size, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Texts can be long, so Python workers get them in batches of at most BATCH_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)) or BATCH_ROWS)))
+    """A table of the folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
