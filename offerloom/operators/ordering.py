@@ -57,11 +57,11 @@ def _comes_before(row: dict[str, Column], cut: Column, keys: list[str]) -> Colum
     return before
 
 
-def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "row_no") -> DataFrame:
-    """Exact 1-based position inside each group, without one task per group.
+def running_totals(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of `value` over the rows of the group up to each row, without one task per group.
 
     A few rows drawn by hash cut the order of (group, order) into ranges. The range of a row is an expression over the row,
-    so a position is the place in its range plus the sizes of the ranges before, and a hot group spreads over many tasks.
+    so a total is the sum within its range plus the sums of the ranges before, and a hot group spreads over many tasks.
     `order` names columns ('-' in front: falling) and ends in a unique one. Nothing runs before the result is asked for;
     the input is planned three times, and its exchanges are reused.
     """
@@ -71,9 +71,10 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
     cuts = drawn.agg(F.collect_list(F.struct(*names)).alias("cuts")).scalar()
     row = {n: F.col(n) for n in names}
     ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda cut: ~_comes_before(row, cut, keys))))
-    ranged = ranged.drop("_cuts")
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*sorted_by(order))))
-    sizes = ranged.groupBy("_range", *group).agg(F.count("*").alias("_size"))
+    ranged = ranged.drop("_cuts").withColumn("_value", value)
+    inside = Window.partitionBy("_range", *group).orderBy(*sorted_by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum("_value").over(inside))
+    sizes = ranged.groupBy("_range", *group).agg(F.sum("_value").alias("_size"))
     before = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("_range").alias("_r"),
@@ -87,6 +88,11 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
     return placed.select(*df.columns, name)
 
 
+def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "row_no") -> DataFrame:
+    """Exact 1-based position inside each group, for groups of any size (see running_totals)."""
+    return running_totals(df, group, order, F.lit(1).cast("long"), name)
+
+
 def paginate(df: DataFrame, order: list[str], page: int = 1, size: int = 20) -> DataFrame:
     """One page of an ordered result; size is held to 1-100.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as terms_fn
 from ..functions.text import blank_to_null, or_blank
 from . import filters
-from .ordering import chunked
+from .ordering import chunked, running_totals
 
 LISTING = [
     "id",
@@ -369,16 +369,23 @@ def trailing_event_count(events: DataFrame, key: str, ts: str, now: str, seconds
 def trailing_count_per_event(events: DataFrame, key: str, ts: str, seconds: int = 3600) -> DataFrame:
     """For every event, the events of its key in the N seconds up to and including it.
 
-    A window of N seconds touches the event's own N-second slot and the one before, so each event is
-    copied into its slot and the next; partitions are (key, slot) and stay small for a busy key.
+    The count is the difference of two running counts of the key, at the event and N seconds before. Running counts are
+    taken once for each moment, over ranges of about equal size, so neither a busy key nor a burst ends in one task.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = seconds * 1_000_000
-    slot = F.floor(at / width)
-    copies = events.withColumn("_at", at).withColumn("_own", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    w = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-width + 1, 0)
-    counted = copies.withColumn("trailing", F.count("*").over(w))
-    return counted.filter(F.col("_slot") == F.col("_own")).drop("_at", "_own", "_slot")
+    moments = events.select(F.col(key).alias("key"), at.alias("of")).groupBy("key", "of").agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    line = lambda when, kind, n: F.struct(when.alias("at"), F.lit(kind).alias("kind"), n.alias("n"))
+    lines = F.array(line(F.col("of"), 0, F.col("n")), line(F.col("of"), 1, none), line(F.col("of") - seconds * 1_000_000, 1, none))
+    asked = moments.select("key", "of", F.explode(lines).alias("l")).select("key", "of", "l.*")
+    running = running_totals(asked, ["key"], ["at", "kind", "of"], F.col("n"), "total")
+    now, then = F.col("at") == F.col("of"), F.col("at") < F.col("of")
+    counts = running.filter("kind = 1").groupBy("key", "of").agg(
+        (F.sum(F.when(now, F.col("total"))) - F.sum(F.when(then, F.col("total")))).alias("trailing")
+    )
+    placed = events.withColumn("_of", at)
+    joined = placed.join(counts, placed[key].eqNullSafe(counts["key"]) & placed["_of"].eqNullSafe(counts["of"]))
+    return joined.select(*[placed[c] for c in events.columns], "trailing")
 
 
 def run_summary(history: DataFrame, run_id: Column) -> DataFrame:

@@ -108,6 +108,17 @@ def test_positions_run_nothing_before_they_are_asked_for(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_trailing_counts_of_a_busy_key(spark):
+    """Half of all events in one key, most of them in a burst of one second, some at the same moment."""
+    rows = [(i % 2 or i, 1_700_000_000 + (i % 40 if i % 3 else i * 37)) for i in range(3000)]
+    events = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "k long, id long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["id"]: r["trailing"] for r in relational.trailing_count_per_event(events, "k", "ts", 60).collect()}
+    times: dict = {}
+    for k, t in rows:
+        times.setdefault(k, []).append(t)
+    assert got == {i: sum(t - 60 < x <= t for x in times[k]) for i, (k, t) in enumerate(rows)}
+
+
 def test_deep_and_shallow_pages_agree(spark, monkeypatch):
     df = spark.range(500).withColumn("v", F.col("id") % 7)
     order = ["-v", "id"]
