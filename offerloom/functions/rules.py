@@ -540,15 +540,49 @@ RULE_SETS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
 }
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern that no group encloses."""
+    parts, depth, last = [""], 0, ""
+    for char in pattern:
+        if last != "\\":
+            depth += (char in "([") - (char in ")]")
+            if char == "|" and depth == 0:
+                parts.append("")
+                last = char
+                continue
+        parts[-1] += char
+        last = "" if last == "\\" else char
+    return parts
+
+
+def literal_factors(pattern: str, literal: bool) -> list[str]:
+    """Lower-case texts of which every match holds at least one; none where the pattern does not tell."""
+    if literal:
+        return [pattern.lower()]
+    found = []
+    for part in _alternatives(pattern):
+        # Classes, groups and escapes end a run of letters; so does a letter that may be missing.
+        plain = re.sub(r"\[[^\]]*\][?*+]?|\\[A-Za-z][?*+]?|\\.", "\0", part)
+        while (inner := re.sub(r"\([^()]*\)[?*+]?", "\0", plain)) != plain:
+            plain = inner
+        runs = re.findall(r"[^\W_]+", re.sub(r".[?*]|.\{[^}]*\}", "\0", plain))
+        if not runs or len(max(runs, key=len)) < 2:
+            return []
+        found.append(max(runs, key=len).lower())
+    return found
+
+
 def rule_sets(spark: SparkSession) -> DataFrame:
-    """All rule sets as rows: rule_set, priority, mode, kind, pattern, name."""
-    rows = [
-        (rule_set, priority, mode, kind, pattern, name)
-        for rule_set, (mode, kind, rules) in RULE_SETS.items()
-        for priority, (pattern, name) in enumerate(rules)
-    ]
+    """All rule sets as rows: rule_set, priority, mode, kind, pattern, name, regex (null for plain words), factors."""
+    rows = []
+    for rule_set, (mode, kind, rules) in RULE_SETS.items():
+        literal = mode in ("word", "fold")
+        for priority, (pattern, name) in enumerate(rules):
+            regex = None if literal else rx(pattern, ci=mode == "any")
+            rows.append((rule_set, priority, mode, kind, pattern, name, regex, literal_factors(pattern, literal)))
     return spark.createDataFrame(
-        rows, "rule_set string, priority int, mode string, kind string, pattern string, name string"
+        rows,
+        "rule_set string, priority int, mode string, kind string, pattern string, name string, regex string, factors array<string>",
     )
 
 
@@ -911,26 +945,44 @@ def is_offer_text(text: Column) -> Column:
     return contains_any(lower, words)
 
 
-def best_by_rules(texts: DataFrame, text_col: str, rules: DataFrame, rule_set: str) -> DataFrame:
-    """Data-driven form of `classify` for literal rule sets too long for one expression.
+def names_by_rules(texts: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
+    """texts with `names`: the first matching rule of each set, as array<struct<rule_set,name>>; `classify` by rules as data.
 
-    Rules are literal substrings here, so the match is an equi join on the leading characters of the
-    pattern (the whole of a shorter one); every offset of the text yields a candidate key of each size and `min_by`
-    keeps the first rule.
+    The rules, a list of bounded size, reach each row as one value. A rule is a candidate if the text holds one of the
+    literal factors that its matches must contain; only candidates are verified, so no text is copied or shuffled.
     """
-    size = 3
-    chosen = rules.filter((F.col("rule_set") == rule_set) & (F.length("pattern") > 0)).select(
-        F.substring("pattern", 1, size).alias("_key"), "pattern", "name", "priority"
-    )
-    lower = F.lower(or_blank(F.col(text_col)))
-    keys = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(lower), F.lit(1))),
-                lambda i: F.array(*[F.substring(lower, i, F.lit(n)) for n in range(1, size + 1)]),
-            )
-        )
+    fields = ["rule_set", "priority", "mode", "pattern", "regex", "name", "factors"]
+    # Rules without these columns are plain words.
+    plain_words = {"mode": F.lit("word"), "regex": F.lit(None).cast("string"), "factors": F.array(F.lower("pattern"))}
+    rules = rules.withColumns({c: v for c, v in plain_words.items() if c not in rules.columns})
+    listed = rules.filter(F.length("pattern") > 0).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rules")).scalar()
+    held = F.col("_rules")
+
+    def found_in(forms: Column) -> Column:
+        def candidate(rule: Column) -> Column:
+            return (F.size(rule["factors"]) == 0) | F.exists(rule["factors"], lambda f: F.contains(forms["searched"], f))
+
+        def matches(rule: Column) -> Column:
+            mode = rule["mode"]
+            form = F.when(mode == "upper", forms["upper"]).when(mode == "fold", forms["folded"])
+            form = form.when(mode == "any", forms["plain"]).otherwise(forms["low"])
+            return F.when(rule["regex"].isNull(), F.contains(form, rule["pattern"])).otherwise(F.regexp_like(form, rule["regex"]))
+
+        hits = F.filter(F.filter(held, candidate), matches)
+        return bind(hits, lambda x: F.filter(x, lambda r, i: (i == 0) | (F.get(x, i - 1)["rule_set"] != r["rule_set"])))
+
+    plain = or_blank(F.col(text_col))
+    low, folded = F.lower(plain), fold_accents(F.lower(plain))
+    # Factors are searched with and without accents, as rules of folded sets are written without.
+    searched = F.when(low == folded, low).otherwise(F.concat(low, F.lit("\n"), folded))
+    forms = F.struct(
+        low.alias("low"), folded.alias("folded"), F.upper(plain).alias("upper"), plain.alias("plain"), searched.alias("searched")
     )
-    pairs = texts.select("*", lower.alias("_lower"), F.explode(keys).alias("_key")).join(chosen, "_key")
-    matched = pairs.filter(F.col("_lower").contains(F.col("pattern")))
-    return matched.groupBy(*texts.columns).agg(F.min_by("name", "priority").alias("name"))
+    names = F.transform(bind(forms, found_in), lambda r: F.struct(r["rule_set"].alias("rule_set"), r["name"].alias("name")))
+    return texts.withColumn("_rules", listed).withColumn("names", names).drop("_rules")
+
+
+def best_by_rules(texts: DataFrame, text_col: str, rules: DataFrame, rule_set: str) -> DataFrame:
+    """The rows whose text matches a rule of the set, with the name of the first one."""
+    found = names_by_rules(texts, text_col, rules.filter(F.col("rule_set") == rule_set))
+    return found.withColumn("name", F.get("names", F.lit(0))["name"]).filter(F.col("name").isNotNull()).drop("names")

@@ -108,6 +108,32 @@ def test_positions_run_nothing_before_they_are_asked_for(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_rules_as_data_equal_the_expressions(spark, sf):
+    """All rule sets, by factors and verified patterns, against the expression of each on every card text."""
+    from offerloom.functions import rules
+    from offerloom.plans.registry import cards
+
+    texts = cards(spark, sf).select("card_text").unionByName(cards(spark, sf).select(F.col("image_url").alias("card_text")))
+    texts = texts.unionByName(cards(spark, sf).select(F.col("card_class").alias("card_text"))).distinct()
+    want = [F.struct(F.lit(n).alias("rule_set"), rules.classify(F.col("card_text"), n).alias("name")) for n in sorted(rules.RULE_SETS)]
+    both = rules.names_by_rules(texts, "card_text", rules.rule_sets(spark)).select(
+        "card_text",
+        F.col("names").alias("got"),
+        F.filter(F.array(*want), lambda x: x["name"].isNotNull()).alias("want"),
+    ).collect()
+    assert len(both) > 100 and [r for r in both if r.got != r.want] == []
+    assert {x.rule_set for r in both for x in r.got} >= set(rules.RULE_SETS) - {"loyalty", "beneficiary", "shell_wallet"}
+
+
+def test_factors_are_in_every_match():
+    from offerloom.functions.rules import literal_factors
+
+    assert literal_factors(r"BANCO\s+MACRO|MACRO\s+SELECTA?", False) == ["banco", "select"]
+    assert literal_factors(r"NACI[OÓ]N|(?<!\+)BNA(?!\+)", False) == ["naci", "bna"]
+    assert literal_factors(r"^Modo$", False) == ["modo"] and literal_factors("x", True) == ["x"]
+    assert literal_factors(r"\d+|abc", False) == [] == literal_factors("(?:uno|dos)", False)
+
+
 def test_trailing_counts_of_a_busy_key(spark):
     """Half of all events in one key, most of them in a burst of one second, some at the same moment."""
     rows = [(i % 2 or i, 1_700_000_000 + (i % 40 if i % 3 else i * 37)) for i in range(3000)]
