@@ -1,3 +1,4 @@
+import pytest
 """Properties: idempotence, uniqueness, agreement of two ways, large groups, plan shapes."""
 
 import datetime as dt
@@ -245,3 +246,50 @@ def test_ingested_crawl_is_dealt_by_merchant(spark, sf, monkeypatch):
     monkeypatch.setattr(frame, "repartition", lambda self, *by: dealt.append(by) or repartition(self, *by))
     assert QUERIES["s1_stream_crawl_ingest"](spark, sf).count() > 0
     assert ("merchant_id",) in dealt and (1,) not in dealt
+
+
+# --- whole values ---------------------------------------------------------------------------------------
+
+
+def test_long_terms_lose_nothing(spark):
+    from offerloom.functions import terms
+
+    items = [f"PRODUCTO NUMERO {i} DE UNA MARCA CON UN NOMBRE MUY LARGO QUE SIGUE Y SIGUE" for i in range(120)]
+    excluded = "QUEDAN EXCLUIDOS DEL DESCUENTO: " + ", ".join(items) + "."
+    asked = " ".join(f"EXCLUSIVO PARA CLIENTES DEL PLAN {chr(65 + i % 26)}{chr(65 + i // 26)}." for i in range(30))
+    df = spark.createDataFrame([(1, excluded + " " + asked)], "id long, raw string")
+    got = df.select(
+        terms.extract_exclusions_terms(F.col("raw")).alias("out"),
+        F.size(terms.requirement_items(F.col("raw"))).alias("n"),
+    ).first()
+    assert len(excluded) > 8000 and items[-1] in got.out and len(got.out) > 8000
+    assert got.n >= 30
+
+
+def test_pages_of_any_number_join_the_frontier(spark):
+    from offerloom.sources import tables
+
+    links = "".join(f'<a href="/p/{n}">{n}</a>' for n in (1, 2, 25, 40, 117))
+    pages = spark.createDataFrame([(1, "http://h.example/a", links)], "page_id long, url string, html string")
+    visited = spark.createDataFrame([(f"http://h.example/v{i}",) for i in range(40)], "url string")
+    found = {r["url"].rsplit("/", 1)[1] for r in tables.discover_next_pages(pages, visited).collect()}
+    assert found == {"2", "25", "40", "117"}
+
+
+def test_legal_blocks_and_cards_are_whole(spark):
+    from offerloom.operators import blocks
+
+    text = "tarjeta " * 200 + "PROMOCIÓN VÁLIDA " + "B" * 9000 + " DESCUENTO EXCLUSIVO " + "C" * 7000
+    rows = blocks.legal_spans(spark.createDataFrame([(1, text)], "id long, t string"), F.col("t"), ["id"]).orderBy("pos").collect()
+    assert [len(r.legal_text) for r in rows] == [len("PROMOCIÓN VÁLIDA ") + 9000, len("DESCUENTO EXCLUSIVO ") + 7000]
+    assert len(rows[0].card_text) == 200 * 8 - 1
+    cards = blocks.badge_cards(spark.createDataFrame([(1, "a" * 3000 + " 20% " + "b" * 3000)], "id long, t string"), F.col("t"), ["id"]).collect()
+    assert [len(r.card_text) for r in cards] == [6005]
+
+
+@pytest.mark.parametrize("source", list(__import__("offerloom.operators.profiles", fromlist=["PROFILES"]).PROFILES))
+def test_profiles_of_pages_without_cards(spark, source):
+    from offerloom.operators import profiles
+
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>nada</p>")], "page_id long, html string")
+    assert profiles.offers_from_pages(pages, profiles.PROFILES[source]).count() == 0
