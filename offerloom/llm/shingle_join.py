@@ -10,7 +10,7 @@ coordinates (and equal shingles) in both. Descending with that as the search reg
 coordinates alone: its key is (class, part, hash of the part). Of m parts, at least one in e is equal on average, so sets of
 many parts need only the first MOST_PARTS of them: that linked sets differ in all of these has a chance of (1 - 1/e + 0.02)^112, less
 than that of two 64-bit hashes being equal. Parts without a shingle, equal in very many sets, are told apart by the parts of a
-second dealing (of sets of many parts they are left out, as the others suffice). This is where boxes of plain count vectors fail: unrelated
+second dealing (of sets of over DEALT_AGAIN parts they are left out, as the others suffice). This is where boxes of plain count vectors fail: unrelated
 sets of n shingles differ by about sqrt(n) in every coordinate, linked ones by up to 0.18 n in all, so that above some fifty
 shingles the boxes of a plain tree overlap nearly everywhere.
 
@@ -42,7 +42,8 @@ LEAST = 85  # hundredths of the union that linked sets share
 GROUPS = 32  # coordinates of a box, and of the point of a small set
 IN_A_GROUP = 16  # shingles at most, roughly, before a point has more coordinates
 MOST_PARTS = 112  # of a set that have a node of the directory
-RECENT = 200_000  # sets a task remembers, not to list the keys of a copy again
+DEALT_AGAIN = 64  # parts of a set up to which its empty ones are told apart; (1 - 1/e + 0.02)^64 is about 2^-40
+RECENT = 100_000  # sets a task remembers, not to list the keys of a copy again
 FEW = 16  # sets of a node that are compared as pairs
 LEAF = 256  # sets of a leaf
 LEAF_BYTES = 1 << 20  # of the points of a leaf
@@ -95,7 +96,7 @@ def part_keys(hashes: np.ndarray, number: int, parts: int) -> np.ndarray:
     keys = mixed(sums ^ place)
     if not empty.any():
         return keys
-    if used < parts:
+    if parts > DEALT_AGAIN:
         return keys[~empty]
     again = _dealt(np.sort(mixed(hashes, 5)), parts, parts)[0]
     spots = mixed(np.arange(parts, dtype=np.uint64), 3)
