@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import bind, blank_to_null, contains_any, fold_accents, found, grab, or_blank, rx, spaced_name
+from .text import bind, contains_any, fold_accents, found, grab, or_blank, rx, spaced_name
 
 # ---------------------------------------------------------------------------------------------
 # Canonical names and the patterns that stand for them, in order of preference.

@@ -10,7 +10,7 @@ from ..operators import blocks, dedup, filters, match, relational
 from ..sources import catalog, tables
 from . import sqltext as q
 from .extraction_queries import HTML_TEXT
-from .registry import base, cards, history, merchants, promos, query, raw_terms, show
+from .registry import base, cards, merchants, promos, query, show
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

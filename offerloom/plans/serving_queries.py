@@ -11,7 +11,7 @@ from ..schema import OFFERS, evolve_schema
 from ..sources.catalog import ENTITY_LABELS
 from . import entry_points as ask
 from .fixtures import AS_OF, NOW_EVENTS, fixture
-from .registry import base, cards, history, merchants, methods, promos, query, raw_terms, show, store_terms
+from .registry import base, history, merchants, methods, promos, query, raw_terms, show, store_terms
 
 VALID = (
     f"(is_active = 1 and (valid_until is null or valid_until >= date '{AS_OF}') "

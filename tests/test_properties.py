@@ -1,11 +1,11 @@
-import pytest
 """Properties: idempotence, uniqueness, agreement of two ways, large groups, plan shapes."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from offerloom.operators import dedup, filters, lifecycle, match, ordering, relational
+from offerloom.operators import dedup, filters, lifecycle, match, ordering, profiles, relational
 from offerloom.plans import entry_points as ask
 from offerloom.plans import lifecycle_queries as lq
 from offerloom.plans.all_queries import QUERIES
@@ -287,9 +287,7 @@ def test_legal_blocks_and_cards_are_whole(spark):
     assert [len(r.card_text) for r in cards] == [6005]
 
 
-@pytest.mark.parametrize("source", list(__import__("offerloom.operators.profiles", fromlist=["PROFILES"]).PROFILES))
+@pytest.mark.parametrize("source", list(profiles.PROFILES))
 def test_profiles_of_pages_without_cards(spark, source):
-    from offerloom.operators import profiles
-
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>nada</p>")], "page_id long, html string")
     assert profiles.offers_from_pages(pages, profiles.PROFILES[source]).count() == 0
