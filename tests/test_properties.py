@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.operators import dedup, filters, lifecycle, match, ordering, profiles, relational
+from offerloom.functions import rules
+from offerloom.operators import blocks, dedup, filters, lifecycle, match, ordering, profiles, relational
 from offerloom.plans import entry_points as ask
 from offerloom.plans import lifecycle_queries as lq
 from offerloom.plans.all_queries import QUERIES
@@ -291,3 +292,19 @@ def test_legal_blocks_and_cards_are_whole(spark):
 def test_profiles_of_pages_without_cards(spark, source):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>nada</p>")], "page_id long, html string")
     assert profiles.offers_from_pages(pages, profiles.PROFILES[source]).count() == 0
+
+
+def test_few_and_many_names_match_alike(spark, sf, monkeypatch):
+    """Few names are searched row by row, many by leading characters; long texts, equal texts and rows that repeat stay."""
+    texts = ["Banco de Galicia " * 60 + "y MODO", "uala", "uala", "", None]
+    offers = spark.createDataFrame([(i % 4, t, None) for i, t in enumerate([*texts, "uala"])], "id long, bank string, title string")
+    names = spark.createDataFrame([(n,) for n in ["modo", "uala", "galicia", "a", "zz"]], "name string")
+    p, m = promos(spark, sf), methods(spark, sf)
+
+    def found():
+        return sorted(tuple(r) for r in match.name_hits(offers, names).collect()), {tuple(r) for r in match.match_users(p, m, AS_OF).collect()}
+
+    few = found()
+    monkeypatch.setattr(match, "MOST_LISTED", 2)
+    assert found() == few
+    assert few[0] == sorted([(0, "modo"), (0, "galicia"), (0, "a"), *[(i, n) for i in (1, 1, 2) for n in ("uala", "a")]])
