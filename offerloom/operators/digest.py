@@ -11,7 +11,7 @@ from ..functions import dates
 from ..functions.terms import entity_label
 from ..functions.text import blank_to_null, or_blank
 from . import filters
-from .match import match_sets, method_sets, valid_offers
+from .match import all_slices, match_sets, method_sets, slices, valid_offers
 from .ordering import chunked, row_numbers
 from .relational import with_merchant
 
@@ -77,7 +77,8 @@ def build_digests(
 
     Rows: user_id, telegram_chat_id, kind ('header', 'merchant', 'notice'), merchant_name, chunk_no, text.
     Users without payment methods get nothing; users without matching offers get a notice. Messages are made
-    once for each distinct set of method names, and users join last.
+    once for each distinct set of method names, and users join last, so that no message is shuffled once it is a user's. Users of
+    a set are cut into slices, as a set may be held by very many.
     """
     day = dates.weekday_name(as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)).lower()
     wanted = users.filter(filters.users_to_notify()).select(F.col("id").alias("user_id"), "telegram_chat_id")
@@ -103,8 +104,14 @@ def build_digests(
             ),
         ).alias("text"),
     )
-    body = holders.join(messages, "set_id").select("user_id", F.lit("merchant").alias("kind"), "merchant_name", "chunk_no", "text")
-    return heads.unionByName(body).join(wanted, "user_id")
+    n_users = holders.groupBy("set_id").agg(slices(F.count("*")).alias("n_slices"))
+    receivers = holders.join(wanted, "user_id").join(n_users, "set_id")
+    receivers = receivers.withColumn("slice", F.pmod(F.xxhash64("user_id"), "n_slices"))
+    spread = messages.join(n_users, "set_id").withColumn("slice", all_slices(F.col("n_slices"))).drop("n_slices")
+    body = receivers.join(spread, ["set_id", "slice"]).select(
+        "user_id", F.lit("merchant").alias("kind"), "merchant_name", "chunk_no", "text", "telegram_chat_id"
+    )
+    return heads.join(wanted, "user_id").unionByName(body)
 
 
 def _with_details(offers: DataFrame) -> DataFrame:

@@ -308,3 +308,9 @@ def test_few_and_many_names_match_alike(spark, sf, monkeypatch):
     monkeypatch.setattr(match, "MOST_LISTED", 2)
     assert found() == few
     assert few[0] == sorted([(0, "modo"), (0, "galicia"), (0, "a"), *[(i, n) for i in (1, 1, 2) for n in ("uala", "a")]])
+
+
+def test_digests_join_users_last(spark, sf):
+    """No message is shuffled once it is a user's: the plan ends in the union of headers and messages."""
+    found = ask.digests(fixture(spark, sf, "fx_users"), methods(spark, sf), promos(spark, sf), merchants(spark, sf), AS_OF)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
