@@ -555,10 +555,10 @@ def _alternatives(pattern: str) -> list[str]:
     return parts
 
 
-def literal_factors(pattern: str, literal: bool) -> list[str]:
-    """Lower-case texts of which every match holds at least one; none where the pattern does not tell."""
+def literal_runs(pattern: str, literal: bool) -> list[list[str]]:
+    """Per alternative the lower-case texts that a match of it holds; none at all where an alternative does not tell."""
     if literal:
-        return [pattern.lower()]
+        return [[pattern.lower()]]
     found = []
     for part in _alternatives(pattern):
         # Classes, groups and escapes end a run of letters; so does a letter that may be missing.
@@ -568,21 +568,38 @@ def literal_factors(pattern: str, literal: bool) -> list[str]:
         runs = re.findall(r"[^\W_]+", re.sub(r".[?*]|.\{[^}]*\}", "\0", plain))
         if not runs or len(max(runs, key=len)) < 2:
             return []
-        found.append(max(runs, key=len).lower())
+        found.append([run.lower() for run in runs])
     return found
 
 
+def literal_factors(pattern: str, literal: bool) -> list[str]:
+    """Lower-case texts of which every match holds at least one; none where the pattern does not tell."""
+    return [max(runs, key=len) for runs in literal_runs(pattern, literal)]
+
+
+def plain_words(pattern: str, mode: str) -> list[str] | None:
+    """The texts that a pattern stands for, if it is a list of plain words."""
+    if mode in ("word", "fold"):
+        return [pattern]
+    alternatives = pattern.split("|")
+    return alternatives if mode != "any" and all(re.fullmatch(r"[\w ]+", a) for a in alternatives) else None
+
+
 def rule_sets(spark: SparkSession) -> DataFrame:
-    """All rule sets as rows: rule_set, priority, mode, kind, pattern, name, regex (null for plain words), factors."""
+    """All rule sets as rows: rule_set, priority, mode, kind, pattern, name, regex and words (null for those of the other kind), factors and runs.
+
+    Every match holds one of the factors, and all texts of one of the lists in runs.
+    """
     rows = []
     for rule_set, (mode, kind, rules) in RULE_SETS.items():
         literal = mode in ("word", "fold")
         for priority, (pattern, name) in enumerate(rules):
             regex = None if literal else rx(pattern, ci=mode == "any")
-            rows.append((rule_set, priority, mode, kind, pattern, name, regex, literal_factors(pattern, literal)))
+            words = plain_words(pattern, mode)
+            rows.append((rule_set, priority, mode, kind, pattern, name, regex, words, literal_factors(pattern, literal), literal_runs(pattern, literal)))
     return spark.createDataFrame(
         rows,
-        "rule_set string, priority int, mode string, kind string, pattern string, name string, regex string, factors array<string>",
+        "rule_set string, priority int, mode string, kind string, pattern string, name string, regex string, words array<string>, factors array<string>, runs array<array<string>>",
     )
 
 
@@ -948,36 +965,57 @@ def is_offer_text(text: Column) -> Column:
 def names_by_rules(texts: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
     """texts with `names`: the first matching rule of each set, as array<struct<rule_set,name>>; `classify` by rules as data.
 
-    The rules, a list of bounded size, reach each row as one value. A rule is a candidate if the text holds one of the
-    literal factors that its matches must contain; only candidates are verified, so no text is copied or shuffled.
+    The rules, a list of bounded size, reach each row as one value, by the literal factors of which their matches must
+    contain one. Each factor is searched once, whatever the number of its rules, and rules with one pattern are one test,
+    verified once if all its literal texts are there; plain words need no regular expression. No text is copied or shuffled.
     """
-    fields = ["rule_set", "priority", "mode", "pattern", "regex", "name", "factors"]
     # Rules without these columns are plain words.
-    plain_words = {"mode": F.lit("word"), "regex": F.lit(None).cast("string"), "factors": F.array(F.lower("pattern"))}
-    rules = rules.withColumns({c: v for c, v in plain_words.items() if c not in rules.columns})
-    listed = rules.filter(F.length("pattern") > 0).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rules")).scalar()
+    plain_word = F.when(F.col("regex").isNull(), F.array("pattern")) if "regex" in rules.columns else F.array("pattern")
+    absent = {
+        "mode": F.lit("word"),
+        "regex": F.lit(None).cast("string"),
+        "words": plain_word,
+        "factors": F.array(F.lower("pattern")),
+        "runs": F.array().cast("array<array<string>>"),
+    }
+    rules = rules.withColumns({c: v for c, v in absent.items() if c not in rules.columns}).filter(F.length("pattern") > 0)
+    test = ["mode", "regex", "words", "factors", "runs"]
+    tests = rules.groupBy(*test).agg(F.collect_list(F.struct("rule_set", "priority", "name")).alias("rules"))
+    factors = F.when(F.size("factors") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("factors"))
+    by_factor = tests.select(F.explode(factors).alias("factor"), F.struct("mode", "regex", "words", "runs", "rules").alias("test"))
+    by_factor = by_factor.groupBy("factor").agg(F.collect_list("test").alias("tests"))
+    listed = by_factor.agg(F.collect_list(F.struct("factor", "tests")).alias("groups")).scalar()
     held = F.col("_rules")
 
     def found_in(forms: Column) -> Column:
-        def candidate(rule: Column) -> Column:
-            return (F.size(rule["factors"]) == 0) | F.exists(rule["factors"], lambda f: F.contains(forms["searched"], f))
+        searched = forms["searched"]
+
+        def complete(test: Column) -> Column:
+            whole = F.exists(test["runs"], lambda runs: F.forall(runs, lambda run: F.contains(searched, run)))
+            return (F.size(test["runs"]) == 0) | whole
 
-        def matches(rule: Column) -> Column:
-            mode = rule["mode"]
+        groups = F.filter(held, lambda g: F.contains(searched, g["factor"]))
+        candidates = F.flatten(F.transform(groups, lambda g: F.filter(g["tests"], complete)))
+
+        def matches(test: Column) -> Column:
+            mode = test["mode"]
             form = F.when(mode == "upper", forms["upper"]).when(mode == "fold", forms["folded"])
             form = form.when(mode == "any", forms["plain"]).otherwise(forms["low"])
-            return F.when(rule["regex"].isNull(), F.contains(form, rule["pattern"])).otherwise(F.regexp_like(form, rule["regex"]))
+            words = F.exists(test["words"], lambda w: F.contains(form, w))
+            return F.when(test["words"].isNull(), F.regexp_like(form, test["regex"])).otherwise(words)
 
-        hits = F.filter(F.filter(held, candidate), matches)
+        hits = F.sort_array(F.flatten(F.transform(F.filter(F.array_distinct(candidates), matches), lambda t: t["rules"])))
         return bind(hits, lambda x: F.filter(x, lambda r, i: (i == 0) | (F.get(x, i - 1)["rule_set"] != r["rule_set"])))
 
-    plain = or_blank(F.col(text_col))
-    low, folded = F.lower(plain), fold_accents(F.lower(plain))
     # Factors are searched with and without accents, as rules of folded sets are written without.
-    searched = F.when(low == folded, low).otherwise(F.concat(low, F.lit("\n"), folded))
-    forms = F.struct(
-        low.alias("low"), folded.alias("folded"), F.upper(plain).alias("upper"), plain.alias("plain"), searched.alias("searched")
-    )
+    def forms_of(plain: Column, low: Column, folded: Column) -> Column:
+        searched = F.when(low == folded, low).otherwise(F.concat(low, F.lit("\n"), folded))
+        return F.struct(
+            low.alias("low"), folded.alias("folded"), F.upper(plain).alias("upper"), plain.alias("plain"), searched.alias("searched")
+        )
+
+    plain = or_blank(F.col(text_col))
+    forms = bind(F.lower(plain), lambda low: bind(fold_accents(low), lambda folded: forms_of(plain, low, folded)))
     names = F.transform(bind(forms, found_in), lambda r: F.struct(r["rule_set"].alias("rule_set"), r["name"].alias("name")))
     return texts.withColumn("_rules", listed).withColumn("names", names).drop("_rules")
 

@@ -314,3 +314,14 @@ def test_digests_join_users_last(spark, sf):
     """No message is shuffled once it is a user's: the plan ends in the union of headers and messages."""
     found = ask.digests(fixture(spark, sf, "fx_users"), methods(spark, sf), promos(spark, sf), merchants(spark, sf), AS_OF)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_texts_are_searched_once(spark):
+    """No second search only to drop texts without a match, and false candidates of rules go before their expressions."""
+    texts = spark.createDataFrame([(1, "10% DE DESCUENTO - BANCO A: con Banco Macro " + "x" * 100), (2, "nada")], "id long, t string")
+    for found in (blocks.offer_sections(texts, F.col("t"), ["id"]), blocks.badge_cards(texts, F.col("t"), ["id"])):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+        assert [(r["id"], r["pos"]) for r in found.collect()] == [(1, 0)]
+    assert rules.literal_runs(r"BANCO\s+MACRO|CUENTAS?\s+DNI", False) == [["banco", "macro"], ["cuenta", "dni"]]
+    counts = QUERIES["a11_rule_sets"](spark, "/root/testdata/sf0.001")
+    assert "Filter (size(" not in counts._jdf.queryExecution().optimizedPlan().toString()
