@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,33 +119,72 @@ def first_strategy(rows: DataFrame, page: str = "page_id", rank: str = "strategy
     return rows.join(best, [page, rank], "left_semi")
 
 
+# Levels of nested texts: shortest length, characters of a gram, grams of a window. A window fits into the shortest text.
+LEVELS = ((32, 8, 25), (16, 8, 9), (8, 4, 5), (4, 2, 3), (2, 2, 1), (1, 1, 1))
+
+
+def _grams(text: str, level: int) -> np.ndarray:
+    """Hashes of the grams of a text at a level."""
+    size = LEVELS[level][1]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = np.full(len(codes) - size + 1, level, np.uint64)
+    for k in range(size):
+        out = (out ^ codes[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def wanted_key(text: str, level: int) -> int:
+    """The least gram of the first window of a text."""
+    return int(_grams(text, level)[: LEVELS[level][2]].min().view(np.int64))
+
+
+def offered_keys(text: str, levels: list[int]) -> np.ndarray:
+    """The different least grams of all windows of a text: what it holds has its wanted key among them."""
+    found = [np.zeros(0, np.int64)]
+    for level in levels:
+        least, _, width = LEVELS[level]
+        if len(text) >= least:
+            windows = np.lib.stride_tricks.sliding_window_view(_grams(text, level), width)
+            found.append(np.unique(windows.min(axis=1)).view(np.int64))
+    return np.concatenate(found)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_page, _pos, _key) of each text: its wanted key, or all that it offers if the page's levels come with it."""
+    for batch in batches:
+        texts, levels = batch.column("_text").to_pylist(), batch.column("_level").to_pylist()
+        if "_levels" in batch.schema.names:
+            keys = [offered_keys(t, held) for t, held in zip(texts, batch.column("_levels").to_pylist(), strict=True)]
+        else:
+            keys = [np.array([wanted_key(t, level)]) for t, level in zip(texts, levels, strict=True)]
+        if not keys:
+            continue
+        at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+        columns = [batch.column("_page").take(at), batch.column("_pos").take(at), pa.array(np.concatenate(keys), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_page", "_pos", "_key"])
+
+
 def nested_text_dedup(blocks: DataFrame, page: str = "page_id", pos: str = "block_pos", text: str = "text") -> DataFrame:
     """Drop a block whose text lies inside that of another block of the page.
 
-    Blocks meet by the hash of an anchor of the nested block (its first 32 characters, or all of a shorter one) that the
-    container offers at some offset; whole texts are compared for these candidates only. Equal texts keep the first
-    position.
+    Blocks meet by the least gram of a window: the nested block names that of its first window, the container those of all
+    its windows, few of which differ (one in about 13 characters), so the text of the first window is among them wherever
+    it lies. Whole texts are compared for these candidates only. Equal texts keep the first position.
     """
-    anchor, step = 32, 512
     whole = blocks.select(F.col(page).alias("_page"), F.col(pos).alias("_pos"), F.trim(F.col(text)).alias("_text"))
     # Equal texts: first position only, so that what follows compares distinct texts.
     whole = whole.groupBy("_page", "_text").agg(F.min("_pos").alias("_pos"))
     filled = whole.filter(F.length("_text") > 0)
-    size = F.least(F.length("_text"), F.lit(anchor))
-    wanted = filled.select("_page", "_pos", size.alias("_n"), F.xxhash64(F.substring(F.col("_text"), F.lit(1), size)).alias("_key"))
-    sizes = wanted.groupBy("_page").agg(F.collect_set("_n").alias("_sizes"))
-    # Texts are cut into overlapping chunks, as finding a character takes time in proportion to its offset.
-    starts = F.sequence(F.lit(1), F.length("_text"), F.lit(step))
-    chunks = F.explode(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(step + anchor - 1)))).alias("_chunk")
-    chunked = filled.join(sizes, "_page").select("_page", F.col("_pos").alias("_big"), "_sizes", chunks)
-    keys = F.transform(
-        "_sizes",
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_chunk") - n + 1, F.lit(1))),
-            lambda i: F.xxhash64(F.substring(F.col("_chunk"), i, n)),
-        ),
-    )
-    offered = chunked.select("_page", "_big", F.explode(F.array_distinct(F.flatten(keys))).alias("_key"))
+    level = F.lit(len(LEVELS) - 1)
+    for number in reversed(range(len(LEVELS) - 1)):
+        level = F.when(F.length("_text") >= LEVELS[number][0], F.lit(number)).otherwise(level)
+    leveled = filled.filter(F.col("_page").isNotNull() & F.col("_pos").isNotNull()).withColumn("_level", level)
+    kinds = dict(filled.dtypes)
+    schema = f"_page {kinds['_page']}, _pos {kinds['_pos']}, _key long"
+    wanted = leveled.mapInArrow(_keys, schema)
+    levels = leveled.groupBy("_page").agg(F.collect_set("_level").alias("_levels"))
+    offered = leveled.join(levels, "_page").mapInArrow(_keys, schema).withColumnRenamed("_pos", "_big")
     met = wanted.join(offered, ["_page", "_key"]).filter(F.col("_pos") != F.col("_big")).select("_page", "_pos", "_big").distinct()
     containers = filled.select("_page", F.col("_pos").alias("_big"), F.col("_text").alias("_container"))
     nested = (

@@ -325,3 +325,19 @@ def test_texts_are_searched_once(spark):
     assert rules.literal_runs(r"BANCO\s+MACRO|CUENTAS?\s+DNI", False) == [["banco", "macro"], ["cuenta", "dni"]]
     counts = QUERIES["a11_rule_sets"](spark, "/root/testdata/sf0.001")
     assert "Filter (size(" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nested_blocks_of_all_lengths_against_brute_force(spark):
+    """Pieces of every length at any offset, none of them too short or too long to be found; keys grow slower than texts."""
+    import random
+
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzáé😀") for _ in range(3000))
+    texts = [long, *[long[at : at + n] for n in (1, 2, 3, 4, 7, 8, 15, 16, 31, 32, 33, 60, 500) for at in (0, 17, 1400, 3000 - n)]]
+    texts += [t[:-1] + "#" for t in texts if len(t) > 1]
+    rows = [(1, i, t) for i, t in enumerate(texts)]
+    blocks_ = spark.createDataFrame([*rows, (2, 0, long[5:50])], "page_id long, block_pos int, text string")
+    first = {t: i for i, t in reversed([*enumerate(texts)])}
+    want = {(1, i) for t, i in first.items() if not any(t != o and t in o for o in first)} | {(2, 0)}
+    assert {(r["page_id"], r["block_pos"]) for r in dedup.nested_text_dedup(blocks_).collect()} == want
+    assert len(dedup.offered_keys(long, [0])) < len(long) / 8
