@@ -56,13 +56,15 @@ def _(s, sf):
     """The richest offer of each key, from observations that come in several micro-batches."""
     root = f"{shared_dir(s)}/richest-{uuid.uuid4().hex}"
     rows = crawl(s, sf).withColumn("seen_at", F.timestamp_add("day", F.col("batch"), F.lit("2026-01-01 00:00:00").cast("timestamp")))
-    rows.repartition(4, "title").write.parquet(f"{root}/in")
+    # As many files as there are tasks elsewhere, half of them in each micro-batch: no task grows with the share of a file.
+    files = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4)
+    rows.repartition(files, "title").write.parquet(f"{root}/in")
     # A row of a later day moves the watermark past all others; its own span stays open.
     late = rows.limit(1).withColumns({"seen_at": F.lit("2026-02-01").cast("timestamp"), "bank": F.lit("fin")})
     late.write.mode("append").parquet(f"{root}/in")
-    stream = streams.file_stream(s, f"{root}/in", rows.schema, files_per_batch=2)
+    stream = streams.file_stream(s, f"{root}/in", rows.schema, files_per_batch=files // 2)
     found = streams.stream_keep_richest(stream, "seen_at", ["batch", "merchant_id"], delay="20 days")
-    streams.run_to_files(found, f"{root}/out", f"{root}/state")
+    streams.run_to_files(found, f"{root}/out", f"{root}/state", streams.ON_DISK)
     return s.read.schema(found.schema).parquet(f"{root}/out").select("batch", "merchant_id", "pos", "title", "bank", "wallet", "discount")
 
 
