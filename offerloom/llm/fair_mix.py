@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,11 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_doc
     target = {n: (weights.get(n, 0.0) if weights is not None else c**0.5) for n, c in counts.items()}
     slots = whole_weights(target)
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(n, slots[n], sum(slots.values()), k, r, d, s) for n, k, r, d, s in schedule(slots)] if slots else [],
-        "name string, share long, period long, turn long, release long, deadline long, slot long",
-    )
+    dealt = [(n, slots[n], sum(slots.values()), k, r, d, s) for n, k, r, d, s in schedule(slots)] if slots else []
+    # As an Arrow table the rows need no Python workers on the executors.
+    names = ["name", "share", "period", "turn", "release", "deadline", "slot"]
+    kinds = pa.schema([(c, pa.string() if c == "name" else pa.int64()) for c in names])
+    plan = spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, t, strict=True)) for t in dealt], kinds))
     buckets = max(1, -(-sum(counts.values()) // BUCKET_DOCS))
     keyed = keyed.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     sizes = keyed.groupBy("name", "bucket").agg(F.count("*").alias("n"))

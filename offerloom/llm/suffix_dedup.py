@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import U64, longs, mixed, pieces, release, saved, table, utf8_bytes
+from offerloom.llm.common import BATCH_ROWS, U64, longs, mixed, pieces, release, saved, table, utf8_bytes
 
 LENGTH = 200
 GRAM = 8
@@ -214,6 +214,7 @@ def _repeated_in_buckets(length: int):
     return rows
 
 
+CONTEXTS = "text_key binary, run long, core long, context binary"
 NODES = "text_key binary, run long, at int, low int, core long, whole long, context binary"
 
 
@@ -280,6 +281,31 @@ def _halves(length: int, width: int):
     return rows
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to BATCH_ROWS."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, len(batch), BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            if waiting and sum(map(len, waiting)) + len(part) > BATCH_ROWS:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting = []
+            waiting.append(part)
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
+def _first_halves(length: int, width: int):
+    """Contexts, anchors and first halves in one Python step: each step of a stage has a worker of its own for each task,
+    and these stay in an executor's memory."""
+    contexts, halves = _contexts(length), _halves(length, width)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return halves(_anchored(_gathered(contexts(batches))))
+
+    return rows
+
+
 def _text_key():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text_key")
 
@@ -305,27 +331,23 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     live = saved(anchors.join(shared, "core"))
     found, closer = _grouped(live)
 
-    def contexts(which: str) -> DataFrame:
+    def listed(which: str) -> DataFrame:
         runs = F.collect_list(F.struct("member.run", "core")).alias("runs")
-        listed = saved(closer.where(which).groupBy("member.text_key").agg(runs))
-        return texts.join(listed, "text_key").mapInArrow(
-            _contexts(length), "text_key binary, run long, core long, context binary"
-        )
+        return texts.join(saved(closer.where(which).groupBy("member.text_key").agg(runs)), "text_key")
 
     fits, large = f"members <= {BUCKET_ROWS}", f"members > {BUCKET_ROWS}"
-    small = contexts(fits)
+    small = listed(fits).mapInArrow(_contexts(length), CONTEXTS)
     if not closer.where(large).isEmpty():
-        nodes = contexts(large).mapInArrow(_anchored, "text_key binary, run long, at int, low int, context binary")
-        width = length - CORE + 1
+        nodes, step, width = listed(large), _first_halves, length - CORE + 1
         while width > 1:
             width = -(-width // 2)
-            halves = saved(nodes.mapInArrow(_halves(length, width), NODES))
+            halves = saved(nodes.mapInArrow(step(length, width), NODES))
             whole, members = _grouped(halves.select("text_key", "run", "core", "whole"))
             found = found.unionByName(whole)
             left = members.select("core", "members", "member.*")
             left = saved(halves.join(left, ["text_key", "run", "core"]))
             small = small.unionByName(left.where(fits).select("text_key", "run", "core", "context"))
-            nodes = left.where(large).select("text_key", "run", "at", "low", "context")
+            nodes, step = left.where(large).select("text_key", "run", "at", "low", "context"), _halves
             if nodes.isEmpty():
                 break
     dealt = small.repartition("core").sortWithinPartitions("core")

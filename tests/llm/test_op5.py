@@ -87,3 +87,34 @@ def test_columns_stay_and_repeated_ids_are_rows(spark):
 @pytest.mark.parametrize("function", [removal_report, without_repeats])
 def test_empty_table(spark, function):
     assert function(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_stage_has_one_python_step(spark, monkeypatch):
+    """Steps in a row have workers of their own for each task, which stay in an executor's memory."""
+    from offerloom.llm import suffix_dedup
+
+    plans, save = [], suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(df))[1])
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in enumerate(texts())], SCHEMA)
+    removal_report(docs).collect()
+    assert sum("MapInArrow" in p for p in plans) > 3
+    for plan in plans:
+        steps = 0
+        for line in plan.splitlines():
+            steps = 0 if "Exchange" in line or "Scan" in line else steps + ("MapInArrow" in line)
+            assert steps <= 1, plan
+
+
+def test_gathered_batches_hold_the_same_rows(monkeypatch):
+    import pyarrow as pa
+
+    from offerloom.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 5)
+    sizes = [0, 1, 3, 2, 12, 0, 4, 5, 1]
+    given = [pa.record_batch({"x": pa.array(range(100 * i, 100 * i + n), pa.int64())}) for i, n in enumerate(sizes)]
+    got = list(suffix_dedup._gathered(iter(given)))
+    assert [x for b in got for x in b.column(0).to_pylist()] == [x for b in given for x in b.column(0).to_pylist()]
+    assert all(0 < len(b) <= 5 for b in got)
+    assert list(suffix_dedup._gathered(iter([]))) == []
