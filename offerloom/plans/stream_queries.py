@@ -102,7 +102,7 @@ CLOSED = "(select date_trunc('millisecond', max(ts)) - interval '10' minute from
     select window_start, window_start + interval '1' hour as window_end, user_id, count(*) as n from w where window_start + interval '1' hour <= {CLOSED} group by 1, 2, 3""",
 )
 def _(s, sf):
-    out = streams.run_now(streams.stream_rate_counts(event_stream(s, sf), "user_id", "ts"), "rates")
+    out = streams.run_now(streams.stream_rate_counts(event_stream(s, sf), "user_id", "ts"), "rates", streams.ON_DISK)
     return out.select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "user_id", "n")
 
 

@@ -341,3 +341,14 @@ def test_nested_blocks_of_all_lengths_against_brute_force(spark):
     want = {(1, i) for t, i in first.items() if not any(t != o and t in o for o in first)} | {(2, 0)}
     assert {(r["page_id"], r["block_pos"]) for r in dedup.nested_text_dedup(blocks_).collect()} == want
     assert len(dedup.offered_keys(long, [0])) < len(long) / 8
+
+
+def test_rate_counts_keep_their_state_on_disk(spark, sf, monkeypatch):
+    from offerloom.streaming import streams
+
+    given, run = [], streams.run_to_files
+    monkeypatch.setattr(streams, "run_to_files", lambda *a: (given.append(a[3]), run(*a))[1])
+    before = {name: spark.conf.get(name, None) for name in streams.ON_DISK}
+    assert QUERIES["s4_stream_rate_counts"](spark, sf).count() > 0
+    assert given == [streams.ON_DISK]
+    assert {name: spark.conf.get(name, None) for name in streams.ON_DISK} == before
