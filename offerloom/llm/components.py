@@ -13,6 +13,8 @@ from offerloom.llm.common import saved
 
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
+PART_LINKS = 50_000  # of a partition while links are contracted
+MOST_BROADCAST = 200_000  # links (16 bytes each) whose smallest neighbours are sent to all
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,22 +105,29 @@ def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that it reaches) of every node with a link; links: a, b (long).
 
     Alternating large-star and small-star steps: a node's neighbours are joined to its smallest neighbour. Smallest
-    neighbours are aggregated on the map side, so a node with very many links is no hot spot.
+    neighbours are aggregated on the map side, so a node with very many links is no hot spot. Steps have partitions by the
+    number of links that are left, and up to MOST_BROADCAST links the smallest neighbours travel to the links.
     """
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def least_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = saved(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(parts))
+        return least, F.broadcast(least) if before[0] <= MOST_BROADCAST else least
+
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(edges)
     while before[0]:
+        parts = -(-before[0] // PART_LINKS)
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.where("a <> b").distinct())
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        _, sent = least_of(both)
+        large = both.where("b > a").join(sent, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = saved(large.where("a <> b").distinct().coalesce(parts))
+        least, sent = least_of(large)
+        small = large.join(sent, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
         after = state(edges)
         if after == before:
             break

@@ -316,7 +316,8 @@ def _grouped(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = saved(
         runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "run")).alias("member"))
     )
-    found = runs.join(saved(groups.where("n > 1").select("core", "whole")), ["core", "whole"]).select("text_key", "run")
+    # Saved as keys alone, so that the runs, which may carry their bytes, can go.
+    found = saved(runs.join(groups.where("n > 1").select("core", "whole"), ["core", "whole"]).select("text_key", "run"))
     alone = groups.groupBy("core").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("least = 1")
     return found, groups.join(saved(alone.where("members > 1").select("core", "members")), "core")
 
@@ -330,6 +331,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = saved(anchors.groupBy("core").count().where("count > 1").select("core"))
     live = saved(anchors.join(shared, "core"))
     found, closer = _grouped(live)
+    closer = saved(closer.select("core", "members", "member"))
 
     def listed(which: str) -> DataFrame:
         runs = F.collect_list(F.struct("member.run", "core")).alias("runs")
@@ -352,10 +354,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 break
     dealt = small.repartition("core").sortWithinPartitions("core")
     found = found.unionByName(dealt.mapInArrow(_repeated_in_buckets(length), "text_key binary, run long"))
-    runs = saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
-    del found, small, dealt, live, closer
-    release(docs.sparkSession)
-    return runs
+    return saved(found.groupBy("text_key").agg(F.collect_set("run").alias("runs")))
 
 
 def _marked(text: str | None, runs, length: int) -> tuple[bytes, np.ndarray]:
@@ -399,7 +398,9 @@ def _kept(length: int):
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
     """docs as struct `doc`, with the repeated runs of its text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _text_key())
-    return rows.join(repeated_runs(docs, length), "text_key", "left")
+    runs = repeated_runs(docs, length)
+    release(docs.sparkSession)
+    return rows.join(runs, "text_key", "left")
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -189,3 +189,35 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b", 1, "x")], SCHEMA)
     assert near_duplicates(none).count() == one_of_each(none).count() == contamination(none, items).count() == 0
     assert [r.contaminated for r in contamination(some, items).collect()] == [False]
+
+
+@pytest.mark.parametrize("most_broadcast", [200_000, 0])
+def test_few_links_are_contracted_in_few_partitions(spark, monkeypatch, most_broadcast):
+    from offerloom.llm import components as module
+
+    counts, save = [], module.saved
+    monkeypatch.setattr(module, "saved", lambda df: (counts.append((out := save(df)).rdd.getNumPartitions()), out)[1])
+    monkeypatch.setattr(module, "MOST_BROADCAST", most_broadcast)
+    monkeypatch.setattr(module, "PART_LINKS", 60)
+    rng = random.Random(11)
+    links = [(i + 1, i) for i in range(0, 40)] + [(500, rng.randrange(300, 400)) for _ in range(50)] + [(7, 7), (90, 80), (80, 90)]
+    parent = {x: x for ab in links for x in ab}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame(links, "a long, b long"))
+        got = {r.node: r.root for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {x: top(x) for x in parent}
+    assert len(counts) > 4 and max(counts[1:]) <= 2
