@@ -108,7 +108,8 @@ def build_digests(
     receivers = holders.join(wanted, "user_id").join(n_users, "set_id")
     receivers = receivers.withColumn("slice", F.pmod(F.xxhash64("user_id"), "n_slices"))
     spread = messages.join(n_users, "set_id").withColumn("slice", all_slices(F.col("n_slices"))).drop("n_slices")
-    body = receivers.join(spread, ["set_id", "slice"]).select(
+    # Each message goes to its receivers in a row, which keeps files of the digests small.
+    body = spread.join(receivers, ["set_id", "slice"]).select(
         "user_id", F.lit("merchant").alias("kind"), "merchant_name", "chunk_no", "text", "telegram_chat_id"
     )
     return heads.join(wanted, "user_id").unionByName(body)

@@ -316,6 +316,31 @@ def test_digests_join_users_last(spark, sf):
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_each_message_goes_to_its_receivers_in_a_row(spark):
+    """A task holds the receivers of a cell, which are bounded, not all messages of a set, and equal texts follow each other."""
+    from itertools import groupby
+
+    users = spark.createDataFrame([(i, str(i), 1) for i in range(5)], "id long, telegram_chat_id string, notify_daily int")
+    own = spark.createDataFrame([(i, "Banco A") for i in range(5)], "user_id long, entity_name string")
+    shops = spark.createDataFrame([(i, f"M{i}", "fuel") for i in range(3)], "id long, name string, category string")
+    offers = spark.createDataFrame(
+        [(i, i % 3, "T", "10%", "Banco A", "", None, None, None, None, 1) for i in range(6)],
+        "id long, merchant_id long, title string, discount string, bank string, wallet string, store_types string, "
+        "valid_days string, valid_from date, valid_until date, is_active int",
+    )
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = ask.digests(users, own, offers, shops, AS_OF).where("kind = 'merchant'").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r.user_id, r.merchant_name) for r in rows) == [(i, f"M{n}") for i in range(5) for n in range(3)]
+    assert [len([*same]) for _, same in groupby(rows, lambda r: r.text)] == [5, 5, 5]
+
+
 def test_texts_are_searched_once(spark):
     """No second search only to drop texts without a match, and false candidates of rules go before their expressions."""
     texts = spark.createDataFrame([(1, "10% DE DESCUENTO - BANCO A: con Banco Macro " + "x" * 100), (2, "nada")], "id long, t string")
